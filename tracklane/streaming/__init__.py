@@ -1,0 +1,5 @@
+"""Intentionally empty: every computation this engine covers is a batch job.
+
+The only ordered-state computation (the field rating) is a sequence of batch
+rounds, see ``tracklane.operators.rating``.
+"""
