@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracklane.config import SETTINGS, Settings
 from tracklane.functions.columns import mean_of, pct_change, ratio, std_of
 from tracklane.operators.clean import short_gap_guard
-from tracklane.operators.history import PanelKeys, Running, lag_name, with_history
+from tracklane.operators.history import PanelKeys, Running, lag_name
 
 
 def at(col: str, k: int = 0) -> Column:
@@ -132,5 +132,3 @@ def leakage_report(df: DataFrame, keys: PanelKeys, event_no: str, pairs: dict[st
     checks = [F.struct(F.lit(c).alias("feature"), F.col(f"_bad_{c}").alias("mismatches")) for c in pairs]
     counted = both.agg(*[F.count_if(differs(c, s)).alias(f"_bad_{c}") for c, s in pairs.items()])
     return counted.select(F.inline(F.array(*checks)))
-
-

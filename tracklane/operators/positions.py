@@ -9,12 +9,43 @@ no group is gathered in one task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tracklane.operators.history import hot_entities
 from tracklane.runtime import store
 
+
+
+@dataclass(frozen=True, order=True)
+class Quantile:
+    """``linear`` interpolates between neighbours, ``nearest`` picks row ``round((n - 1) q)``."""
+
+    q: float
+    interpolation: str = "linear"
+
+    def ranks(self, n: Column) -> tuple[Column, Column, Column]:
+        """Lower rank, upper rank (0-based) and the share of the way between them."""
+        exact = (n - 1) * F.lit(self.q)
+        if self.interpolation == "linear":
+            low = F.floor(exact)
+            return low, F.ceil(exact), exact - low
+        if self.interpolation == "nearest":
+            nearest = F.floor(exact + 0.5)
+            return nearest, nearest, F.lit(0.0)
+        raise ValueError(f"unknown interpolation {self.interpolation!r}")
+
+
+MEDIAN = Quantile(0.5)
+
+
+def quartiles(low: str, median: str, high: str, interpolation: str = "nearest") -> dict[str, Quantile]:
+    """Outer quartiles by ``interpolation``; a median is always the middle of the two middle rows."""
+    return {low: Quantile(0.25, interpolation), median: MEDIAN, high: Quantile(0.75, interpolation)}
+
+
 # Buckets per doubling of the value: neighbouring buckets differ by 0.07 %.
 BUCKETS_PER_OCTAVE = 1024
 
@@ -74,21 +105,19 @@ def add_percentile_rank(df: DataFrame, groups: Sequence[str], value: str, out: s
 def group_quantiles(
     df: DataFrame,
     groups: Sequence[str],
-    columns: Mapping[str, Mapping[str, float]],
+    columns: Mapping[str, Mapping[str, Quantile]],
     counts: Mapping[str, str] | None = None,
-    interpolation: str = "linear",
 ) -> DataFrame:
     """Exact quantiles per group, one output row per group.
 
-    ``columns`` maps a column to ``{output name: probability}``; ``counts`` maps an
-    output name to a column whose non-null rows are counted. ``linear``
-    interpolates between neighbours, ``nearest`` picks row ``round((n - 1) q)``.
+    ``columns`` maps a column to ``{output name: Quantile}``; ``counts`` maps an
+    output name to a column of ``columns`` whose non-null rows are counted.
 
     Two narrow scans. The first counts rows per bucket; the second keeps only the
     buckets that hold a wanted rank, so a small share of the values is shuffled.
     """
     groups, names = list(groups), list(columns)
-    probs = sorted({q for wanted in columns.values() for q in wanted.values()})
+    wanted_quantiles = sorted({q for outs in columns.values() for q in outs.values()})
     keys = [*groups, "_col"]
 
     entries = [F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in names]
@@ -103,7 +132,7 @@ def group_quantiles(
         F.coalesce(F.sum("_in_bucket").over(_below(keys, "_bucket")), F.lit(0)).alias("_start"),
         F.sum("_in_bucket").over(Window.partitionBy(*keys)).alias("_n"),
     )
-    ranks = {q: _wanted_ranks(F.col("_n"), q, interpolation) for q in probs}
+    ranks = {q: q.ranks(F.col("_n")) for q in wanted_quantiles}
     start, end = F.col("_start"), F.col("_start") + F.col("_in_bucket")
     holds_one = F.col("_n") == 0  # a group without values keeps its output row
     for low, high, _ in ranks.values():
@@ -127,25 +156,21 @@ def group_quantiles(
         for i, (q, (_, _, share)) in enumerate(ranks.items())
     }
     wide = []
-    for c, wanted_of in columns.items():
-        for out, q in wanted_of.items():
+    for c, outs in columns.items():
+        for out, q in outs.items():
             wide.append(F.max(F.when(F.col("_col") == c, quantile[q])).alias(out))
     for out, c in (counts or {}).items():
         wide.append(F.coalesce(F.max(F.when(F.col("_col") == c, F.col("_n"))), F.lit(0)).alias(out))
     return per_column.groupBy(*groups).agg(*wide)
 
 
-def _below(partition: Sequence[str], order: str) -> WindowSpec:
-    return Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def entity_median(df: DataFrame, entity: str, value: str, out: str, **limits: int) -> DataFrame:
+    """Median per entity: the built-in aggregate, but bucketed for the largest entities."""
+    hot = F.broadcast(hot_entities(df, entity, **limits))
+    others = df.join(hot, entity, "left_anti").groupBy(entity).agg(F.median(value).alias(out))
+    largest = group_quantiles(df.join(hot, entity, "left_semi"), [entity], {value: {out: MEDIAN}})
+    return others.unionByName(largest)
 
 
-def _wanted_ranks(n: Column, q: float, interpolation: str) -> tuple[Column, Column, Column]:
-    """Lower rank, upper rank (0-based) and the share of the way between them."""
-    exact = (n - 1) * F.lit(q)
-    if interpolation == "linear":
-        low = F.floor(exact)
-        return low, F.ceil(exact), exact - low
-    if interpolation == "nearest":
-        nearest = F.floor(exact + 0.5)
-        return nearest, nearest, F.lit(0.0)
-    raise ValueError(f"unknown interpolation {interpolation!r}")
+def _below(partition: Sequence[str], order: str) -> WindowSpec:
+    return Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,7 @@ from tracklane.config import SETTINGS, Settings
 from tracklane.functions import columns as C
 from tracklane.operators import features as P
 from tracklane.operators.clean import fill_defaults, keep_event
-from tracklane.operators.history import PanelKeys, lag_name, split_hot, with_history
+from tracklane.operators.history import PanelKeys, split_hot, with_history
 from tracklane.operators.identity import resolve_entities
 from tracklane.operators.positions import add_percentile_rank
 from tracklane.operators.rating import field_rating
@@ -181,7 +181,7 @@ def segment_features(rows: DataFrame, settings: Settings = SETTINGS) -> DataFram
     )
 
 
-RATING_COLUMNS = ["elo_rating", "elo_change", "meet_field_elo"]
+RATING_COLUMNS = ["elo_rating", "elo_change", "meet_field_elo", "prev_elo_change"]
 
 
 def rating_features(rows: DataFrame, period: str, settings: Settings = SETTINGS) -> DataFrame:
@@ -197,7 +197,10 @@ def rating_features(rows: DataFrame, period: str, settings: Settings = SETTINGS)
         meet_type="meet_type",
         period=period,
         settings=settings,
-    ).select(*key, *RATING_COLUMNS)
+    )
+    # A change is known only after its event: models get the one before.
+    rated = with_history(split_hot(rated, KEYS), KEYS, {"elo_change": 1})
+    rated = rated.withColumn("prev_elo_change", P.at("elo_change", 1)).select(*key, *RATING_COLUMNS)
     return rows.join(rated, key, "left").withColumn("elo_gap_vs_field", F.col("elo_rating") - F.col("meet_field_elo"))
 
 
