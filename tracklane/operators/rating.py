@@ -47,7 +47,8 @@ def field_rating(
     events_path, rated_path = new_path(spark, "rating-events"), new_path(spark, "rated")
 
     events = _contests(df, entity, date, list(field), measure, tie, meet_type, period, settings)
-    events.write.partitionBy("_period").parquet(events_path)
+    # Rebalanced, so that each partition folder gets few files of a sound size.
+    events.hint("rebalance", "_period").write.partitionBy("_period").parquet(events_path)
 
     # One row per period: the calendar bounds what reaches the driver.
     stored = spark.read.parquet(events_path)
@@ -64,7 +65,7 @@ def field_rating(
             contests = contests.withColumn("_rating", F.lit(None).cast("double"))
         rated = _rate(contests, settings)
         out_schema = rated.drop("_next").schema
-        rated.write.mode("append").partitionBy("_next").parquet(rated_path)
+        rated.hint("rebalance", "_next").write.mode("append").partitionBy("_next").parquet(rated_path)
 
     results = spark.read.schema(rated.schema).parquet(rated_path)
     return results.select(entity, date, tie, "elo_rating", "elo_change", "meet_field_elo")
@@ -128,7 +129,8 @@ def _contests(
 
 def _ratings_after(rated: DataFrame, entity: str) -> DataFrame:
     """Rating of each entity after a round: one change per field, added over its fields."""
-    per_field = rated.groupBy(entity, "_field").agg(
+    # One exchange on the entity serves both aggregates and the join that follows.
+    per_field = rated.repartition(entity).groupBy(entity, "_field").agg(
         F.first("elo_rating").alias("_before"), F.max_by("elo_change", "_position").alias("_change")
     )
     return per_field.groupBy(entity).agg(

@@ -1,6 +1,6 @@
 """Every operator as a named query, each with its SQL twin where one exists."""
 
-from tracklane.queries import cleaning, features, modelling, panel, reports, storage
+from tracklane.queries import cleaning, features, modelling, panel, reports, sql, storage
 
 _MODULES = (storage, cleaning, panel, features, reports, modelling)
 
@@ -10,4 +10,4 @@ def all_queries() -> dict:
 
 
 def all_sql() -> dict[str, str]:
-    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
+    return {name: sql.half_up(text) for module in _MODULES for name, text in module.SQL.items()}

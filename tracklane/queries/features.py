@@ -77,13 +77,13 @@ def base_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.select(
+    lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        F.round(C.ratio("l_extendedprice", "l_quantity"), 6).alias("unit_price"),
-        F.round(C.ratio("l_tax", "l_discount"), 6).alias("tax_per_discount"),
+        C.ratio("l_extendedprice", "l_quantity").alias("unit_price"),
+        C.ratio("l_tax", "l_discount").alias("tax_per_discount"),
     )
+    return rounded(lines)
 
 
 def experience_level(spark: SparkSession, sf_dir: str) -> DataFrame:

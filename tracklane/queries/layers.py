@@ -45,7 +45,11 @@ def orders_history(spark: SparkSession, sf_dir: str, lags=None, running=(), even
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, as the SQL side does."""
+    """Round every double column half up, as ``sql.half_up`` does on the SQL side."""
+    scale = float(10**digits)
     return df.select(
-        *[F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name for f in df.schema]
+        *[
+            (F.floor(F.col(f.name) * scale + 0.5) / scale).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name
+            for f in df.schema
+        ]
     )

@@ -69,19 +69,19 @@ CANDIDATES = [
 
 
 def importance_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top five features by absolute correlation, training rows against all rows."""
+    """Top five features by absolute correlation, training rows against test rows."""
     rows = _split(spark, sf_dir)
-    train = {f: F.abs(F.corr(F.when(F.col("split") == "train", F.col(f).cast("double")), F.col(TARGET))) for f in CANDIDATES}
-    every = {f: F.abs(F.corr(F.col(f).cast("double"), F.col(TARGET))) for f in CANDIDATES}
-    entries = []
-    for version, scores in (("train", train), ("all", every)):
-        entries += [
-            F.struct(F.lit(version).alias("version"), F.lit(f).alias("feature"), F.col(f"{version}_{f}").alias("importance"))
-            for f in scores
-        ]
-    scored = rows.agg(*[c.alias(f"train_{f}") for f, c in train.items()], *[c.alias(f"all_{f}") for f, c in every.items()])
+    versions, entries, scores = ("train", "test"), [], []
+    for v in versions:
+        for f in CANDIDATES:
+            inside = F.when(F.col("split") == v, F.col(f).cast("double"))
+            scores.append(F.abs(F.corr(inside, F.col(TARGET))).alias(f"{v}_{f}"))
+            entries.append(
+                F.struct(F.lit(v).alias("version"), F.lit(f).alias("feature"), F.col(f"{v}_{f}").alias("importance"))
+            )
+    scored = rows.agg(*scores)
     ranks = M.importance_ranks(scored.select(F.inline(F.array(*entries))), top=5)
-    return M.importance_delta(ranks, "train", "all")
+    return M.importance_delta(ranks, *versions)
 
 
 VERSIONS = {"v08": -0.5, "v09": -0.25, "v10": 0.0}
@@ -189,7 +189,7 @@ _VERSIONED = " UNION ALL ".join(
 )
 _CORR = " UNION ALL ".join(
     f"SELECT '{v}' AS version, '{f}' AS feature, abs(corr(y, CAST({f} AS DOUBLE))) AS importance FROM s{w}"
-    for v, w in (("train", " WHERE split = 'train'"), ("all", ""))
+    for v, w in (("train", " WHERE split = 'train'"), ("test", " WHERE split = 'test'"))
     for f in CANDIDATES
 )
 
@@ -236,9 +236,9 @@ FROM t a FULL JOIN u b ON a.primary_key = b.primary_key AND a.date = b.date AND
     ),
     "importance_delta": _q(
         """SELECT o.feature, CAST(o.rank AS INTEGER) AS rank, 'dropped out' AS change FROM k o
-  WHERE o.version = 'train' AND o.feature NOT IN (SELECT feature FROM k WHERE version = 'all')
+  WHERE o.version = 'train' AND o.feature NOT IN (SELECT feature FROM k WHERE version = 'test')
 UNION ALL SELECT o.feature, CAST(o.rank AS INTEGER), 'entered' FROM k o
-  WHERE o.version = 'all' AND o.feature NOT IN (SELECT feature FROM k WHERE version = 'train')""",
+  WHERE o.version = 'test' AND o.feature NOT IN (SELECT feature FROM k WHERE version = 'train')""",
         i=_CORR,
         k="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY version ORDER BY importance DESC, feature) AS rank FROM i) WHERE rank <= 5",
     ),

@@ -120,9 +120,9 @@ def prev_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_mean(mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = add_segment_mean(
-            segmented_panel(spark, sf_dir), ["region", "market"], "date", "total", "segment_mean", mode, "tie"
-        )
+        # Decimal sums are exact in any order.
+        panel = segmented_panel(spark, sf_dir).withColumn("total", F.col("total").cast("decimal(15,2)"))
+        rows = add_segment_mean(panel, ["region", "market"], "date", "total", "segment_mean", mode, "tie")
         return rounded(rows.select(*KEY, "segment_mean", C.ratio("total", "segment_mean").alias("vs_segment_mean")), 4)
 
     return run
@@ -198,10 +198,12 @@ SELECT entity, tie, round(lag(rate) OVER w, 4) AS prev_progress,
   round(CASE WHEN count(rate) OVER r >= 2 THEN avg(rate) OVER r END, 4) AS prev_avg_progress_3,
   round(lag(pct) OVER w, 4) AS prev_pct_change
 FROM g WINDOW w AS (PARTITION BY entity ORDER BY date, tie), r AS ({_W3} 3 PRECEDING AND 1 PRECEDING)""",
-    "segment_mean": f"""WITH {_SEG}, s AS (SELECT *, avg(total) OVER (PARTITION BY region, market ORDER BY date
-  RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS m FROM p) {_MEAN}""",
-    "segment_mean_rows": f"""WITH {_SEG}, s AS (SELECT *, avg(total) OVER (PARTITION BY region, market ORDER BY date, tie
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM p) {_MEAN}""",
+    "segment_mean": f"""WITH {_SEG}, s AS (SELECT *, CAST(sum(CAST(total AS DECIMAL(15,2))) OVER d AS DOUBLE) / count(*) OVER d AS m
+  FROM p WINDOW d AS (PARTITION BY region, market ORDER BY date
+  RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)) {_MEAN}""",
+    "segment_mean_rows": f"""WITH {_SEG}, s AS (SELECT *, CAST(sum(CAST(total AS DECIMAL(15,2))) OVER d AS DOUBLE) / count(*) OVER d AS m
+  FROM p WINDOW d AS (PARTITION BY region, market ORDER BY date, tie
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) {_MEAN}""",
     "percentile_rank": f"""WITH {_SEG}, f AS (SELECT entity, tie, region, market, floor(total / 2500) * 2500.0 AS total FROM p)
 SELECT entity, tie, CAST(total AS DOUBLE) AS total, round((rank() OVER (PARTITION BY region, market ORDER BY total)
   + (count(*) OVER (PARTITION BY region, market, total) - 1) / 2.0) / count(*) OVER (PARTITION BY region, market) * 100, 6)

@@ -50,6 +50,24 @@ def r(expr: str, name: str | None = None, digits: int = 6) -> str:
     return f"round({expr}, {digits}) AS {name or expr}"
 
 
+def half_up(text: str) -> str:
+    """Spell out ``round(x, d)`` as ``floor(x * 10^d + 0.5) / 10^d``.
+
+    The engines' own functions treat a value that lies on a decimal tie
+    differently; this form is the same arithmetic on both sides.
+    """
+    while (start := text.find("round(")) >= 0:
+        depth, end, comma = 1, start + len("round("), -1
+        while depth:
+            ch = text[end]
+            depth += (ch == "(") - (ch == ")")
+            comma = end if ch == "," and depth == 1 else comma
+            end += 1
+        inner, scale = text[start + len("round(") : comma], 10 ** int(text[comma + 1 : end - 1])
+        text = f"{text[:start]}(floor(({inner}) * CAST({scale} AS DOUBLE) + 0.5) / CAST({scale} AS DOUBLE)){text[end:]}"
+    return text
+
+
 PARTS = ("squat", "bench", "deadlift")
 MEASURES = ("total", *PARTS)
 
@@ -66,7 +84,7 @@ SELECT l_orderkey, count(*) AS n_lines,
 FROM lineitem GROUP BY l_orderkey"""
 
 CTES["aged"] = """
-SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice / 500.0 AS kg,
+SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day, floor(o_totalprice / 250.0) / 2.0 AS kg,
   CASE WHEN o_orderkey % 97 <> 0 THEN CAST(year(o_orderdate) - (1940 + c_custkey % 40) AS DOUBLE)
     + 0.5 * CAST(c_custkey % 2 AS DOUBLE) - CASE WHEN o_orderkey % 23 = 0 THEN 1.0 ELSE 0.0 END END AS age
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey

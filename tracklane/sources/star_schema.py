@@ -78,7 +78,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     )
     status, priority, region = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("n_regionkey")
-    total = F.col("o_totalprice") / 500.0
+    total = F.floor(F.col("o_totalprice") / 250.0) / 2.0  # half kilograms
     born = 1940 + F.col("c_custkey") % 40
     age = (
         F.year("o_orderdate")
