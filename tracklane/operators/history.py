@@ -96,50 +96,49 @@ def with_history(
     source = df.withColumns(inputs)
     carry = _carry(source, keys, lags, running)
 
-    block = Window.partitionBy(keys.entity, BLOCK).orderBy(*keys.order())
-    local = {"_pos": F.row_number().over(block)}
+    block = f"PARTITION BY `{keys.entity}`, `{BLOCK}` ORDER BY {_names(keys.order())}"
+    local = [f"row_number() OVER ({block}) AS _pos"]
     for col, depth in lags.items():
-        for k in range(1, depth + 1):
-            local[f"_in{lag_name(col, k)}"] = F.lag(col, k).over(block)
+        local += [f"lag(`{col}`, {k}) OVER ({block}) AS _in{lag_name(col, k)}" for k in range(1, depth + 1)]
     for r in running:
-        end = -1 if r.prior else Window.currentRow
-        frame = block.rowsBetween(Window.unboundedPreceding, end)
-        local[f"_local_{r.name}"] = _aggregate(r.kind, F.col(f"_in_{r.name}")).over(frame)
+        frame = f"{block} ROWS BETWEEN UNBOUNDED PRECEDING AND {'1 PRECEDING' if r.prior else 'CURRENT ROW'}"
+        local.append(f"{r.kind}(`_in_{r.name}`) OVER ({frame}) AS `_local_{r.name}`")
 
-    rows = source.select("*", *[c.alias(n) for n, c in local.items()])
+    rows = source.selectExpr("*", *local)
     # Same keys as the window: the rows are not exchanged again for this join.
     rows = rows.join(carry, [keys.entity, BLOCK], "left")
 
-    out = [F.col(f"`{c}`") for c in df.columns]
+    out = [f"`{c}`" for c in df.columns]
     for col, depth in lags.items():
-        out += [_combine_lag(col, k).alias(lag_name(col, k)) for k in range(1, depth + 1)]
-    out += [_combine_running(r).alias(r.name) for r in running]
-    return rows.select(*out)
+        out += [f"{_combine_lag(col, k)} AS {lag_name(col, k)}" for k in range(1, depth + 1)]
+    out += [f"{_combine_running(r)} AS `{r.name}`" for r in running]
+    return rows.selectExpr(*out)
 
 
-def _aggregate(kind: str, value: Column) -> Column:
-    return {"sum": F.sum, "max": F.max, "count": F.count, "first": F.first}[kind](value)
+def _names(cols: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in cols)
 
 
 def _carry(source: DataFrame, keys: PanelKeys, lags: Mapping[str, int], running: Sequence[Running]) -> DataFrame:
     """Per block of a hot entity: running totals of all earlier blocks and their last rows."""
     hot = source.filter(F.col(BLOCK).isNotNull())
-    position = F.struct(*keys.order())
-    totals = [F.count(F.lit(1)).alias("_rows")]
-    for r in running:
-        value = F.col(f"_in_{r.name}")
-        total = F.min_by(value, position) if r.kind == "first" else _aggregate(r.kind, value)
-        totals.append(total.alias(f"_total_{r.name}"))
-    blocks = hot.groupBy(keys.entity, BLOCK).agg(*totals)
+    position = f"struct({_names(keys.order())})"
+
+    def total(r: Running) -> str:
+        value = f"`_in_{r.name}`"
+        return f"min_by({value}, {position})" if r.kind == "first" else f"{r.kind}({value})"
+
+    totals = [f"{total(r)} AS `_total_{r.name}`" for r in running]
+    blocks = hot.groupBy(keys.entity, BLOCK).agg(F.expr("count(1) AS _rows"), *map(F.expr, totals))
 
     # One row per day of a hot entity: the length of the calendar bounds the window.
-    earlier = Window.partitionBy(keys.entity).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = f"PARTITION BY `{keys.entity}` ORDER BY {BLOCK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     combine = {"sum": "sum", "count": "sum", "max": "max", "first": "first"}
-    prefix = blocks.select(
-        keys.entity,
+    prefix = blocks.selectExpr(
+        f"`{keys.entity}`",
         BLOCK,
-        (F.sum("_rows").over(earlier) > 0).alias("_has_prefix"),
-        *[_aggregate(combine[r.kind], F.col(f"_total_{r.name}")).over(earlier).alias(f"_before_{r.name}") for r in running],
+        f"sum(_rows) OVER ({earlier}) > 0 AS _has_prefix",
+        *[f"{combine[r.kind]}(`_total_{r.name}`) OVER ({earlier}) AS `_before_{r.name}`" for r in running],
     )
     if not lags:
         return prefix
@@ -149,28 +148,31 @@ def _carry(source: DataFrame, keys: PanelKeys, lags: Mapping[str, int], running:
     depth = max(lags.values())
     newest = Window.partitionBy(keys.entity, BLOCK).orderBy(*[F.desc(c) for c in keys.order()])
     tail = hot.withColumn("_age", F.row_number().over(newest)).filter(F.col("_age") <= depth)
-    timeline = Window.partitionBy(keys.entity).orderBy(*keys.order())
-    seen = [F.lag(c, k).over(timeline).alias(f"_tail{lag_name(c, k)}") for c, n in lags.items() for k in range(1, n + 1)]
-    tail = tail.select(keys.entity, BLOCK, *keys.order(), *seen)
-    names = [f"_tail{lag_name(c, k)}" for c, n in lags.items() for k in range(1, n + 1)]
-    first = tail.groupBy(keys.entity, BLOCK).agg(F.min_by(F.struct(*names), position).alias("_t"))
+    timeline = f"PARTITION BY `{keys.entity}` ORDER BY {_names(keys.order())}"
+    wanted = [(c, k) for c, n in lags.items() for k in range(1, n + 1)]
+    tail = tail.selectExpr(
+        _names([keys.entity]),
+        BLOCK,
+        f"{position} AS _position",
+        *[f"lag(`{c}`, {k}) OVER ({timeline}) AS _tail{lag_name(c, k)}" for c, k in wanted],
+    )
+    names = [f"_tail{lag_name(c, k)}" for c, k in wanted]
+    first = tail.groupBy(keys.entity, BLOCK).agg(F.min_by(F.struct(*names), "_position").alias("_t"))
     first = first.select(keys.entity, BLOCK, "_t.*")
     return prefix.join(first, [keys.entity, BLOCK])
 
 
-def _combine_lag(col: str, k: int) -> Column:
+def _combine_lag(col: str, k: int) -> str:
     """Inside the block when it reaches back far enough, else from the earlier rows."""
-    value = F.col(f"_in{lag_name(col, k)}")
-    for position in range(1, k + 1):
-        value = F.when(F.col("_pos") == position, F.col(f"_tail{lag_name(col, k - position + 1)}")).otherwise(value)
-    return value
+    outside = [f"WHEN {p} THEN _tail{lag_name(col, k - p + 1)}" for p in range(1, k + 1)]
+    return f"CASE _pos {' '.join(outside)} ELSE _in{lag_name(col, k)} END"
 
 
-def _combine_running(r: Running) -> Column:
-    local, before = F.col(f"_local_{r.name}"), F.col(f"_before_{r.name}")
+def _combine_running(r: Running) -> str:
+    local, before = f"`_local_{r.name}`", f"`_before_{r.name}`"
     if r.kind == "max":
-        return F.greatest(before, local)
+        return f"greatest({before}, {local})"
     if r.kind == "first":
-        return F.when(F.col("_has_prefix"), before).otherwise(local)
-    total = F.coalesce(before + local, before, local)
-    return F.coalesce(total, F.lit(0)) if r.kind == "count" else total
+        return f"CASE WHEN _has_prefix THEN {before} ELSE {local} END"
+    total = f"coalesce({before} + {local}, {before}, {local})"
+    return f"coalesce({total}, 0)" if r.kind == "count" else total

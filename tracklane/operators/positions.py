@@ -89,17 +89,30 @@ def value_positions(df: DataFrame, groups: Sequence[str], value: str) -> DataFra
     return placed.select("_group.*", value, "copies", (F.col("_start") + F.col("_inside")).alias("before"), "size")
 
 
-def percentile_ranks(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
-    """One row per group and value: average rank over the group's count, times 100."""
-    placed = value_positions(df, groups, value)
+def percentile_ranks(df: DataFrame, groups: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """One row per group, measure and value: average rank over the group's count, times 100.
+
+    ``values`` names the measures; one pass ranks all of them.
+    """
+    entries = [F.struct(F.lit(name).alias("measure"), v.cast("double").alias("value")) for name, v in values.items()]
+    long = df.select(*groups, F.inline(F.array(*entries)))
+    placed = value_positions(long, [*groups, "measure"], "value")
     average_rank = F.col("before") + (F.col("copies") + 1) / 2
-    return placed.select(*groups, value, (average_rank / F.col("size") * 100).alias(out))
+    return placed.select(*groups, "measure", "value", (average_rank / F.col("size") * 100).alias("percentile"))
+
+
+def lookup_percentile(df: DataFrame, ranks: DataFrame, measure: str, groups: Sequence[str], value: str, out: str) -> DataFrame:
+    """Attach the percentile of ``value`` in the group named by the columns ``groups``; null has none."""
+    names = [c for c in ranks.columns if c not in ("measure", "value", "percentile")]
+    of_measure = ranks.filter(F.col("measure") == measure).select(
+        *[F.col(n).alias(g) for n, g in zip(names, groups)], F.col("value").alias(value), F.col("percentile").alias(out)
+    )
+    return lookup_join(df, of_measure, [*groups, value])
 
 
 def add_percentile_rank(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
-    """Attach ``percentile_ranks``; a null value has none."""
-    ranks = store(percentile_ranks(df, groups, value, out), "percentile-ranks")
-    return lookup_join(df, ranks, [*groups, value])
+    ranks = store(percentile_ranks(df, groups, {out: F.col(value)}), "percentile-ranks")
+    return lookup_percentile(df, ranks, out, groups, value, out)
 
 
 def group_quantiles(

@@ -18,6 +18,10 @@ from tracklane.config import SETTINGS, Settings
 from tracklane.operators.positions import bucket_of
 from tracklane.runtime import new_path
 
+# A round whose largest field has more rows than this averages fields before shuffling them.
+HOT_FIELD = 1_000_000
+FILE_ROWS = 5_000_000
+
 PERIODS = ("day", "week", "month", "quarter", "year")
 
 
@@ -47,12 +51,17 @@ def field_rating(
     events_path, rated_path = new_path(spark, "rating-events"), new_path(spark, "rated")
 
     events = _contests(df, entity, date, list(field), measure, tie, meet_type, period, settings)
-    # Rebalanced, so that each partition folder gets few files of a sound size.
     events.hint("rebalance", "_period").write.partitionBy("_period").parquet(events_path)
 
     # One row per period: the calendar bounds what reaches the driver.
     stored = spark.read.parquet(events_path)
-    rounds = stored.groupBy("_period").agg(F.count("_previous").alias("returning")).orderBy("_period").collect()
+    rounds = stored.groupBy("_period").agg(
+        F.count("_previous").alias("returning"),
+        F.max("_size").alias("largest"),
+        F.count(F.lit(1)).alias("rows"),
+    )
+    rounds = rounds.orderBy("_period").collect()
+    writers = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = events.drop("_period").schema
     out_schema = None
     for row in rounds:
@@ -63,9 +72,11 @@ def field_rating(
             contests = contests.join(ratings, entity, "left")
         else:
             contests = contests.withColumn("_rating", F.lit(None).cast("double"))
-        rated = _rate(contests, settings)
+        rated = _rate(contests, row["largest"] > HOT_FIELD, settings)
         out_schema = rated.drop("_next").schema
-        rated.hint("rebalance", "_next").write.mode("append").partitionBy("_next").parquet(rated_path)
+        # A next period is written by one task per FILE_ROWS rows of the round.
+        part = F.pmod(F.xxhash64(entity), F.lit(1 + row["rows"] // FILE_ROWS))
+        rated.repartition(writers, "_next", part).write.mode("append").partitionBy("_next").parquet(rated_path)
 
     results = spark.read.schema(rated.schema).parquet(rated_path)
     return results.select(entity, date, tie, "elo_rating", "elo_change", "meet_field_elo")
@@ -138,10 +149,13 @@ def _ratings_after(rated: DataFrame, entity: str) -> DataFrame:
     )
 
 
-def _rate(contests: DataFrame, settings: Settings) -> DataFrame:
+def _rate(contests: DataFrame, hot: bool, settings: Settings) -> DataFrame:
     rows = contests.withColumn("elo_rating", F.coalesce("_rating", F.lit(settings.rating_initial))).drop("_rating")
-    means = rows.groupBy("_field").agg(F.avg("elo_rating").alias("meet_field_elo"))
-    rows = rows.join(means, "_field")
+    if hot:  # average before the shuffle
+        means = rows.groupBy("_field").agg(F.avg("elo_rating").alias("meet_field_elo"))
+        rows = rows.join(means, "_field")
+    else:
+        rows = rows.withColumn("meet_field_elo", F.avg("elo_rating").over(Window.partitionBy("_field")))
     actual = F.try_divide(F.col("_position"), F.col("_size") - 1)
     expected = 1.0 / (1.0 + F.pow(F.lit(10.0), (F.col("meet_field_elo") - F.col("elo_rating")) / 400.0))
     return rows.withColumn("elo_change", F.when(F.col("_size") > 1, F.col("_k") * (actual - expected)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklane.functions.columns import ratio
-from tracklane.operators.positions import lookup_join, percentile_ranks
+from tracklane.operators.positions import lookup_join
 from tracklane.runtime import store
 
 
@@ -52,17 +52,3 @@ def add_segment_mean(
 
 def _plus(a: Column, b: Column) -> Column:
     return F.coalesce(a + b, a, b)
-
-
-def add_first_event_percentile(
-    df: DataFrame, groups: Sequence[str], event_no: str, score: str, first_groups: Sequence[str], first_score: str, out: str
-) -> DataFrame:
-    """Percentile of an entity's first score among all first scores of its first segment.
-
-    Every row already carries its entity's first segment and score, so the rank is
-    looked up by value; no join on the entity is needed.
-    """
-    firsts = df.filter(F.col(event_no) == 1)
-    ranks = store(percentile_ranks(firsts, groups, score, out), "first-event-ranks")
-    ranks = ranks.withColumnsRenamed({**dict(zip(groups, first_groups)), score: first_score})
-    return lookup_join(df, ranks, [*first_groups, first_score])

@@ -16,9 +16,9 @@ from tracklane.operators import features as P
 from tracklane.operators.clean import fill_defaults, keep_event
 from tracklane.operators.history import PanelKeys, split_hot, with_history
 from tracklane.operators.identity import resolve_entities
-from tracklane.operators.positions import add_percentile_rank
+from tracklane.operators.positions import lookup_percentile, percentile_ranks
 from tracklane.operators.rating import field_rating
-from tracklane.operators.segments import add_first_event_percentile, add_segment_mean
+from tracklane.operators.segments import add_segment_mean
 from tracklane.runtime import store
 from tracklane.sources.schemas import BASE_INPUT, BASE_NAMES
 
@@ -158,20 +158,20 @@ def history_features(rows: DataFrame, keys: PanelKeys = KEYS, settings: Settings
 
 
 def segment_features(rows: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """Running means and ranks of the segment, each looked up by value."""
+    """Running means and ranks of the segment, each looked up by value.
+
+    First scores are ranked among first events only. Every row carries its
+    entity's first segment and score, so that rank needs no join on the entity.
+    """
+    first_score = F.when(F.col("cumulative_comps") == 1, F.col("dots"))
+    measures = {"total": F.col("total"), "previous": F.col("previous_total"), "first": first_score}
+    ranks = store(percentile_ranks(rows, SEGMENT, measures), "percentile-ranks")
+    first_segment = [f"_first_{c}" for c in SEGMENT]
     ranked = (
         rows.transform(add_segment_mean, SEGMENT, "date", "total", "segment_mean_total")
-        .transform(add_percentile_rank, SEGMENT, "total", "total_percentile_rank")
-        .transform(add_percentile_rank, SEGMENT, "previous_total", "prev_total_percentile_rank")
-        .transform(
-            add_first_event_percentile,
-            SEGMENT,
-            "cumulative_comps",
-            "dots",
-            [f"_first_{c}" for c in SEGMENT],
-            "_first_dots",
-            "first_comp_percentile_vs_sex_wc",
-        )
+        .transform(lookup_percentile, ranks, "total", SEGMENT, "total", "total_percentile_rank")
+        .transform(lookup_percentile, ranks, "previous", SEGMENT, "previous_total", "prev_total_percentile_rank")
+        .transform(lookup_percentile, ranks, "first", first_segment, "_first_dots", "first_comp_percentile_vs_sex_wc")
     )
     return ranked.withColumns(
         {
