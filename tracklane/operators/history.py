@@ -66,9 +66,15 @@ def hot_entities(df: DataFrame, entity: str, max_hot: int = MAX_HOT, hot_rows: i
 
 
 def split_hot(df: DataFrame, keys: PanelKeys, max_hot: int = MAX_HOT, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the block column: the day for rows of a hot entity, null otherwise."""
-    hot = hot_entities(df, keys.entity, max_hot, hot_rows).withColumn("_hot", F.lit(True))
-    marked = df.join(F.broadcast(hot), keys.entity, "left")
+    """Add the block column: the day for rows of a hot entity, null otherwise.
+
+    Looks for hot entities first. Without any the column is a null literal, from
+    which the planner sees that there are no blocks to carry anything over to.
+    """
+    hot = hot_entities(df, keys.entity, max_hot, hot_rows)
+    if hot.isEmpty():
+        return df.withColumn(BLOCK, F.lit(None).cast("date"))
+    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys.entity, "left")
     return marked.withColumn(BLOCK, F.when(F.col("_hot"), F.col(keys.date).cast("date"))).drop("_hot")
 
 

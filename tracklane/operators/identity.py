@@ -34,12 +34,11 @@ def add_entity_key(df: DataFrame, out: str = "primary_key") -> DataFrame:
 def one_row_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of the rows sharing ``keys`` (null equals null), the first by ``order``, nulls first.
 
-    An aggregate rather than a numbered window: copies collapse before the
-    shuffle, so a key with any number of copies costs one row per task.
+    The limit on the row number is applied before the exchange as well, so a key
+    with any number of copies sends one row per task.
     """
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return picked.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+    ranked = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def origin(df: DataFrame, entity: str, value: str, order: Sequence[str], out: str) -> DataFrame:

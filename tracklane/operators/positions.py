@@ -179,7 +179,10 @@ def group_quantiles(
 
 def entity_median(df: DataFrame, entity: str, value: str, out: str, **limits: int) -> DataFrame:
     """Median per entity: the built-in aggregate, but bucketed for the largest entities."""
-    hot = F.broadcast(hot_entities(df, entity, **limits))
+    hot = hot_entities(df, entity, **limits)
+    if hot.isEmpty():
+        return df.groupBy(entity).agg(F.median(value).alias(out))
+    hot = F.broadcast(hot)  # at most max_hot keys
     others = df.join(hot, entity, "left_anti").groupBy(entity).agg(F.median(value).alias(out))
     largest = group_quantiles(df.join(hot, entity, "left_semi"), [entity], {value: {out: MEDIAN}})
     return others.unionByName(largest)

@@ -75,12 +75,12 @@ CTES: dict[str, str] = {}
 
 CTES["li"] = """
 SELECT l_orderkey, count(*) AS n_lines,
-  CAST(sum(CAST(l_quantity AS DECIMAL(15,2))) AS DOUBLE) AS qty,
-  CAST(sum(CAST(l_discount AS DECIMAL(15,2))) AS DOUBLE) AS disc,
-  CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) AS ext,
-  CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS ext_r,
-  CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) AS ext_a,
-  CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) FILTER (WHERE l_returnflag = 'N') AS DOUBLE) AS ext_n
+  CAST(sum(CAST(floor(0.5 + l_quantity * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS qty,
+  CAST(sum(CAST(floor(0.5 + l_discount * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS disc,
+  CAST(sum(CAST(floor(0.5 + l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS ext,
+  CAST(sum(CAST(floor(0.5 + l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) / 100.0 AS ext_r,
+  CAST(sum(CAST(floor(0.5 + l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) / 100.0 AS ext_a,
+  CAST(sum(CAST(floor(0.5 + l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_returnflag = 'N') AS DOUBLE) / 100.0 AS ext_n
 FROM lineitem GROUP BY l_orderkey"""
 
 CTES["aged"] = """

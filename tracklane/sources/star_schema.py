@@ -46,11 +46,11 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: quantities, discounts and revenue, split by return flag.
 
-    Sums run on decimals, so they do not depend on the order of addition.
+    Sums run on whole cents, so they do not depend on the order of addition.
     """
 
     def exact_sum(value: Column) -> Column:
-        return F.sum(value.cast("decimal(15,2)")).cast("double")
+        return F.sum(F.round(value * 100).cast("bigint")) / 100.0
 
     price = F.col("l_extendedprice")
     return (
@@ -77,29 +77,33 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     )
-    status, priority, region = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("n_regionkey")
-    total = F.floor(F.col("o_totalprice") / 250.0) / 2.0  # half kilograms
-    born = 1940 + F.col("c_custkey") % 40
     age = (
         F.year("o_orderdate")
-        - born
+        - (1940 + F.col("c_custkey") % 40)
         + 0.5 * (F.col("c_custkey") % 2).cast("double")
         - F.when(F.col("o_orderkey") % 23 == 0, 1.0).otherwise(0.0)
     )
-    age = F.when(F.col("o_orderkey") % 97 != 0, age)
+    wide = wide.select(
+        *["o_orderstatus", "o_orderpriority", "n_regionkey", "n_name", "c_mktsegment", "c_name"],
+        *["n_lines", "qty", "disc", "ext", "ext_r", "ext_a", "ext_n"],
+        F.when(F.col("o_orderkey") % 97 != 0, age).alias("age"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        (F.floor(F.col("o_totalprice") / 250.0) / 2.0).alias("total"),  # half kilograms
+    )
+    status, priority, region = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("n_regionkey")
+    age, day, total = F.col("age"), F.col("day"), F.col("total")
     meet = (
         F.when(priority == "1-URGENT", "World Cup")
         .when(priority == "2-HIGH", "National Open")
         .when(priority == "3-MEDIUM", "State Titles")
         .when(priority == "4-NOT SPECIFIED", "International Classic")
     )
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
     return wide.select(
         day.alias("date"),
         F.concat_ws(" ", "c_mktsegment", "c_name", "n_name").alias("name"),
         F.when(region.isin(0, 1), "M").when(region.isin(2, 3), "F").otherwise("Mx").alias("sex"),
         F.when(priority == "4-NOT SPECIFIED", "DQ").otherwise(F.substring(priority, 1, 1)).alias("place"),
-        age.alias("age"),
+        age,
         _age_class(age).alias("age_class"),
         (35.0 + 2.0 * F.try_divide("qty", "n_lines")).alias("bodyweight_kg"),
         F.when((status == "P") & (priority == "3-MEDIUM"), "B").otherwise("SBD").alias("event"),
