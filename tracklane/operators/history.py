@@ -1,10 +1,11 @@
 """Ordered per-entity history that also holds for entities too large for one task.
 
 A plain ``Window.partitionBy(entity)`` sends all rows of an entity to one task.
-Here the largest entities are split by day into blocks, every window runs inside
-one (entity, block), and what a block must know about earlier blocks - the last
-few rows and the running totals - comes from a small table with one row per
-block. All other entities form a single block and take no part in that table.
+Here the largest entities are split by day (by minute where rows carry a time)
+into blocks, every window runs inside one (entity, block), and what a block must know
+about earlier blocks - the last few rows and the running totals - comes from a
+small table with one row per block. All other entities form a single block and
+take no part in that table.
 
 The result is the same as with plain windows. The cost is one column-pruned
 count per entity, plus one exchange on (entity, block) for the rows themselves.
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = "_block"
 
@@ -66,16 +68,18 @@ def hot_entities(df: DataFrame, entity: str, max_hot: int = MAX_HOT, hot_rows: i
 
 
 def split_hot(df: DataFrame, keys: PanelKeys, max_hot: int = MAX_HOT, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the block column: the day for rows of a hot entity, null otherwise.
+    """Add the block column: the day or minute for rows of a hot entity, null otherwise.
 
     Looks for hot entities first. Without any the column is a null literal, from
     which the planner sees that there are no blocks to carry anything over to.
     """
     hot = hot_entities(df, keys.entity, max_hot, hot_rows)
+    has_time = df.schema[keys.date].dataType != T.DateType()
+    block = F.date_trunc("minute", keys.date) if has_time else F.col(keys.date)
     if hot.isEmpty():
-        return df.withColumn(BLOCK, F.lit(None).cast("date"))
+        return df.withColumn(BLOCK, F.when(F.lit(False), block))
     marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys.entity, "left")
-    return marked.withColumn(BLOCK, F.when(F.col("_hot"), F.col(keys.date).cast("date"))).drop("_hot")
+    return marked.withColumn(BLOCK, F.when(F.col("_hot"), block)).drop("_hot")
 
 
 def lag_name(col: str, k: int) -> str:
@@ -137,7 +141,7 @@ def _carry(source: DataFrame, keys: PanelKeys, lags: Mapping[str, int], running:
     totals = [f"{total(r)} AS `_total_{r.name}`" for r in running]
     blocks = hot.groupBy(keys.entity, BLOCK).agg(F.expr("count(1) AS _rows"), *map(F.expr, totals))
 
-    # One row per day of a hot entity: the length of the calendar bounds the window.
+    # One row per block of a hot entity: the length of the calendar bounds the window.
     earlier = f"PARTITION BY `{keys.entity}` ORDER BY {BLOCK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     combine = {"sum": "sum", "count": "sum", "max": "max", "first": "first"}
     prefix = blocks.selectExpr(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from tracklane.config import SETTINGS, Settings
 from tracklane.operators.clean import cast_types, lower_case, numeric_place
-from tracklane.operators.identity import add_birth_year, add_entity_key, add_origin, one_row_per
+from tracklane.operators.identity import add_birth_year, add_entity_key, one_row_per, origin
 
 REPEAT_KEYS = ["primary_key", "date", "meet_name"]
 # Which of several rows of one key, date and meet is kept.
@@ -18,15 +18,16 @@ def typed_results(landing: DataFrame) -> DataFrame:
 
 
 def identified_results(landing: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    return (
-        typed_results(landing)
-        .transform(add_birth_year, settings=settings)
-        .transform(add_entity_key)
-        .transform(one_row_per, REPEAT_KEYS, REPEAT_ORDER)
-    )
+    return typed_results(landing).transform(add_birth_year, settings=settings).transform(add_entity_key)
 
 
 def raw_results(landing: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    return identified_results(landing, settings).transform(
-        add_origin, "primary_key", "meet_country", ["date", "meet_name"], "origin_country"
-    )
+    """Repeated rows dropped, origin country attached.
+
+    The origin is taken from the rows before they are deduplicated: ordered the
+    same way, the earliest row is the one that would be kept, and it costs one
+    narrow aggregate instead of a second deduplication.
+    """
+    rows = identified_results(landing, settings)
+    earliest = origin(rows, "primary_key", "meet_country", ["date", "meet_name", *REPEAT_ORDER], "origin_country")
+    return one_row_per(rows, REPEAT_KEYS, REPEAT_ORDER).join(earliest, "primary_key", "left")

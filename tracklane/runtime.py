@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
-    Only a session that names none (tests, a laptop) gets a folder of its own.
+    Only a local session that names none (tests, a laptop) gets a folder of its own.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="tracklane-")
         sc.setCheckpointDir(configured)
     return configured.rstrip("/")
