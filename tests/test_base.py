@@ -145,6 +145,20 @@ def test_leakage_report_finds_a_leak(spark):
     assert found["previous_total"] > 0 and found["prev_pct_change"] == 0
 
 
+def test_leakage_report_checks_counters_and_constants(spark):
+    out = features(spark, panel_rows()).cache()
+    counters = {"comps_above_advanced_so_far": ("dots", 300.0)}
+
+    def report(df):
+        found = P.leakage_report(df, KEYS, "cumulative_comps", {}, counters, ["first_comp_dots"])
+        return {r.feature: r.mismatches for r in found.collect()}
+
+    assert report(out) == {"comps_above_advanced_so_far": 0, "first_comp_dots": 0}
+    now = F.col("comps_above_advanced_so_far") + (F.col("dots") >= 300).cast("int")
+    leaky = out.withColumns({"comps_above_advanced_so_far": now, "first_comp_dots": F.col("dots")})
+    assert all(n > 0 for n in report(leaky).values())
+
+
 def test_short_gaps_blank_rates_and_what_follows(spark):
     rows = [list(r) for r in panel_rows() if r[0] == "L1"]
     rows[2][2] = date(2021, 6, 20)  # 19 days after event 2

@@ -43,9 +43,8 @@ def progress_by_segment_and_experience(df: DataFrame, interpolation: str = "near
 
 def null_rates(df: DataFrame, threshold: float = SETTINGS.null_rate_threshold) -> DataFrame:
     """Share of nulls per column, for columns above ``threshold``; one pass."""
-    shares = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in df.columns])
-    entries = [F.struct(F.lit(c).alias("column"), F.col(c).alias("rate")) for c in df.columns]
-    listed = shares.select(F.inline(F.array(*entries))).filter(F.col("rate") > threshold)
+    shares = df.agg(*[F.expr(f"avg(CAST(`{c}` IS NULL AS DOUBLE)) AS `{c}`") for c in df.columns])
+    listed = shares.unpivot([], df.columns, "column", "rate").filter(F.col("rate") > threshold)
     return listed.select("column", F.round("rate", 4).alias("null_rate"))
 
 

@@ -7,6 +7,8 @@ lagged features need no second window.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,24 +113,44 @@ def early_growth(
     return F.when((F.col(event_no) >= 4) & (years > 0), growth)
 
 
-def leakage_report(df: DataFrame, keys: PanelKeys, event_no: str, pairs: dict[str, str], tolerance: float = 1e-9) -> DataFrame:
-    """Rows whose lagged column differs from its source at the event before.
-
-    ``pairs`` maps the lagged column to its source. The source is found again by
-    joining event ``n`` to event ``n - 1``, independently of any window.
+def leakage_report(
+    df: DataFrame,
+    keys: PanelKeys,
+    event_no: str,
+    pairs: Mapping[str, str],
+    counters: Mapping[str, tuple[str, float]] | None = None,
+    constants: Sequence[str] = (),
+    tolerance: float = 1e-9,
+) -> DataFrame:
+    """Per feature, the rows that do not follow from the event before.
+
+    ``pairs`` maps a lagged column to its source; ``counters`` a count of earlier
+    events to ``(source, bound)``; ``constants`` must not change within an entity.
+    Event ``n`` is joined to event ``n - 1``, independently of any window.
     """
-    sources = sorted(set(pairs.values()))
+    counters = dict(counters or {})
+    sources = sorted({*pairs.values(), *counters, *constants, *(source for source, _ in counters.values())})
     before = df.select(
         F.col(keys.entity),
         (F.col(event_no) + 1).alias(event_no),
+        F.lit(True).alias("_found"),
         *[F.col(c).cast("double").alias(f"_src_{c}") for c in sources],
     )
     both = df.join(before, [keys.entity, event_no], "left")
 
-    def differs(lagged: str, source: str) -> Column:
-        a, b = F.col(lagged).cast("double"), F.col(f"_src_{source}")
-        return ~a.eqNullSafe(b) & F.coalesce(F.abs(a - b) > tolerance, F.lit(True))
+    def differs(column: str, expected: Column) -> Column:
+        a = F.col(column).cast("double")
+        return ~a.eqNullSafe(expected) & F.coalesce(F.abs(a - expected) > tolerance, F.lit(True))
+
+    def src(column: str) -> Column:
+        return F.col(f"_src_{column}")
+
+    rules = {c: differs(c, src(s)) for c, s in pairs.items()}
+    for c, (source, bound) in counters.items():
+        step = F.coalesce((src(source) >= bound).cast("double"), F.lit(0.0))
+        rules[c] = differs(c, F.when(F.col("_found"), src(c) + step).otherwise(0.0))
+    rules.update({c: F.col("_found") & differs(c, src(c)) for c in constants})
 
-    checks = [F.struct(F.lit(c).alias("feature"), F.col(f"_bad_{c}").alias("mismatches")) for c in pairs]
-    counted = both.agg(*[F.count_if(differs(c, s)).alias(f"_bad_{c}") for c, s in pairs.items()])
+    checks = [F.struct(F.lit(c).alias("feature"), F.col(f"_bad_{c}").alias("mismatches")) for c in rules]
+    counted = both.agg(*[F.count_if(rule).alias(f"_bad_{c}") for c, rule in rules.items()])
     return counted.select(F.inline(F.array(*checks)))

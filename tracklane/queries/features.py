@@ -130,8 +130,12 @@ LEAKAGE_PAIRS = {
 }
 
 
+COUNTERS = {c: ("dots", bound) for c, bound in zip(FAMILIES["above_tier_counts"], SETTINGS.tier_bounds)}
+CONSTANTS = ["first_comp_dots", "first_comp_total_per_bw", "first_comp_age", "first_comp_percentile_vs_sex_wc", "starting_tier"]
+
+
 def leakage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.leakage_report(base_layer(spark, sf_dir), KEYS, "cumulative_comps", LEAKAGE_PAIRS)
+    return P.leakage_report(base_layer(spark, sf_dir), KEYS, "cumulative_comps", LEAKAGE_PAIRS, COUNTERS, CONSTANTS)
 
 
 def rating(period: str):
@@ -182,11 +186,17 @@ def _encode_sql() -> str:
 
 
 def _leakage_sql() -> str:
+    def off(c: str, want: str) -> str:
+        return f"(abs(a.{c} - {want}) > 1e-9 OR (a.{c} IS NULL) <> (({want}) IS NULL))"
+
+    rules = {c: off(c, f"b.{s}") for c, s in LEAKAGE_PAIRS.items()}
+    for c, (source, bound) in COUNTERS.items():
+        rules[c] = off(c, f"CASE WHEN b.primary_key IS NULL THEN 0 ELSE b.{c} + CASE WHEN b.{source} >= {bound} THEN 1 ELSE 0 END END")
+    rules.update({c: f"b.primary_key IS NOT NULL AND {off(c, f'b.{c}')}" for c in CONSTANTS})
     tests = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, count(*) FILTER (WHERE abs(a.{c} - b.{s}) > 1e-9 OR (a.{c} IS NULL) <> (b.{s} IS NULL)) "
-        f"AS mismatches FROM base a LEFT JOIN base b ON a.primary_key = b.primary_key "
-        f"AND a.cumulative_comps = b.cumulative_comps + 1"
-        for c, s in LEAKAGE_PAIRS.items()
+        f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {rule}) AS mismatches FROM base a LEFT JOIN base b "
+        f"ON a.primary_key = b.primary_key AND a.cumulative_comps = b.cumulative_comps + 1"
+        for c, rule in rules.items()
     )
     return sql.query(tests)
 
