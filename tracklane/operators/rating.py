@@ -61,7 +61,7 @@ def field_rating(
         F.count(F.lit(1)).alias("rows"),
     )
     rounds = rounds.orderBy("_period").collect()
-    writers = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writers = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     schema = events.drop("_period").schema
     out_schema = None
     for row in rounds:

@@ -10,9 +10,9 @@ from tracklane.functions import columns as C
 from tracklane.operators import features as P
 from tracklane.operators.model import encode_categories
 from tracklane.operators.rating import field_rating
-from tracklane.plans.base import KEYS, SEGMENT, base_table
+from tracklane.plans.base import KEYS, RATING_COLUMNS, SEGMENT, base_table
 from tracklane.queries import sql
-from tracklane.queries.layers import base_layer, raw_layer, rounded
+from tracklane.queries.layers import base_layer, rated_layer, raw_layer, rounded
 from tracklane.sources.star_schema import table
 
 KEY = ["primary_key", "date", "meet_name"]
@@ -23,6 +23,7 @@ FAMILIES: dict[str, list[str]] = {
         *["ipf_weight_class", "meet_type", "is_origin_country", "approx_age", "years_from_peak_age"],
         *["abs_years_from_peak_age", "total_per_bw", "dots", "squat_ratio", "bench_ratio", "deadlift_ratio"],
     ],
+    "age_features": ["approx_age", "years_from_peak_age", "abs_years_from_peak_age"],
     "history_features": [
         *["cumulative_comps", "time_since_last_comp_days", "time_since_last_comp_years", "time_gap_category", "tenure"],
         *["years_competing", "log_cumulative_comps", "comps_per_year", "bodyweight_change", "prev_total_per_bw"],
@@ -155,6 +156,11 @@ def rating(period: str):
     return run
 
 
+def rating_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rating columns of the base layer, each meet a contest, in rounds of a quarter."""
+    return rounded(rated_layer(spark, sf_dir).select(*KEY, *RATING_COLUMNS, "elo_gap_vs_field"), 4)
+
+
 QUERIES = {
     "base_features": base_features,
     **{name: _family(cols) for name, cols in FAMILIES.items()},
@@ -166,6 +172,7 @@ QUERIES = {
     "leakage_guard": leakage_guard,
     "elo_rating": rating("month"),
     "elo_rating_quarters": rating("quarter"),
+    "rating_features": rating_features,
 }
 
 
@@ -201,32 +208,10 @@ def _leakage_sql() -> str:
     return sql.query(tests)
 
 
-def rating_sql(period: str) -> str:
-    """All rounds as one recursion: each step holds the rating of every entity after a period."""
-    return "WITH RECURSIVE " + sql.query(
-        "",
-        "f0",
-        ev=f"""SELECT *, dense_rank() OVER (ORDER BY p) AS step,
-  row_number() OVER (PARTITION BY p, sex, ipf_weight_class ORDER BY coalesce(total, 0), primary_key, date, meet_name) - 1 AS pos,
-  count(*) OVER (PARTITION BY p, sex, ipf_weight_class) AS size,
-  32 * CASE meet_type WHEN 1 THEN 1.5 WHEN 2 THEN 1.0 WHEN 3 THEN 0.8 ELSE 0.6 END AS k
-  FROM (SELECT *, date_trunc('{period}', date) AS p FROM f0)""",
-        people="SELECT DISTINCT primary_key FROM f0",
-        r="""SELECT CAST(0 AS BIGINT) AS step, primary_key, CAST(1500.0 AS DOUBLE) AS rating FROM people
-UNION ALL
-SELECT cur.step + 1, cur.primary_key, cur.rating + coalesce(d.change, 0) FROM r cur LEFT JOIN (
-  SELECT primary_key, sum(change) AS change FROM (
-    SELECT primary_key, sex, ipf_weight_class, arg_max(k * (pos / nullif(size - 1, 0)
-      - 1.0 / (1.0 + pow(10.0, (field - rating) / 400.0))), pos) AS change
-    FROM (SELECT ev.*, rating, avg(rating) OVER (PARTITION BY ev.sex, ev.ipf_weight_class) AS field
-      FROM ev JOIN r ON ev.primary_key = r.primary_key AND ev.step = r.step + 1)
-    WHERE size > 1 GROUP BY ALL) GROUP BY primary_key) d ON cur.primary_key = d.primary_key
-WHERE cur.step < (SELECT max(step) FROM ev)""",
-    ).removeprefix("WITH ") + """
-SELECT primary_key, date, meet_name, round(rating, 4) AS elo_rating, round(field, 4) AS meet_field_elo,
-  round(CASE WHEN size > 1 THEN k * (pos / (size - 1) - 1.0 / (1.0 + pow(10.0, (field - rating) / 400.0))) END, 4) AS elo_change
-FROM (SELECT ev.*, rating, avg(rating) OVER (PARTITION BY p, sex, ipf_weight_class) AS field
-  FROM ev JOIN r ON ev.primary_key = r.primary_key AND ev.step = r.step + 1)"""
+def _rating_sql(period: str) -> str:
+    cols = ", ".join(sql.r(c, digits=4) for c in ("elo_rating", "meet_field_elo", "elo_change"))
+    parts = sql.rating_parts(period, "sex, ipf_weight_class")
+    return sql.query(f"SELECT primary_key, date, meet_name, {cols} FROM rated", "f0", recursive=True, **parts)
 
 
 SQL = {
@@ -250,6 +235,14 @@ FROM (SELECT name, date, {sql._dots('sex', 'bodyweight_kg', 'total_kg')} AS dots
     ),
     "encode_categories": _encode_sql(),
     "leakage_guard": _leakage_sql(),
-    "elo_rating": rating_sql("month"),
-    "elo_rating_quarters": rating_sql("quarter"),
+    "elo_rating": _rating_sql("month"),
+    "elo_rating_quarters": _rating_sql("quarter"),
+    "rating_features": sql.query(
+        f"""SELECT primary_key, date, meet_name, {', '.join(sql.r(c, digits=4) for c in ('elo_rating', 'elo_change', 'meet_field_elo'))},
+  round(lag(elo_change) OVER (PARTITION BY primary_key ORDER BY date, meet_name), 4) AS prev_elo_change,
+  round(elo_rating - meet_field_elo, 4) AS elo_gap_vs_field FROM rated""",
+        "f0",
+        recursive=True,
+        **sql.rating_parts("quarter", "meet_name, sex, ipf_weight_class"),
+    ),
 }

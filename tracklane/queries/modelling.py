@@ -12,7 +12,7 @@ from tracklane.queries.layers import base_layer, rated_layer, rounded
 
 KEY = ["primary_key", "date", "meet_name"]
 TARGET = "pct_change_total"
-PLAIN = [f for f in ML.feature_set(8) if "elo" not in f]
+FRAME = ML.feature_set(8, post_event=True)
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ML.model_frame(base_layer(spark, sf_dir), TARGET, PLAIN))
+    return rounded(ML.model_frame(rated_layer(spark, sf_dir), TARGET, FRAME), 4)
 
 
 def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ _MODEL = {
 }
 _KEEP = {"parent_federation", "cumulative_comps", "tenure", "approx_age", "abs_years_from_peak_age"}
 _FRAME = ", ".join(
-    f"{_MODEL[f]} AS {f}" if f in _MODEL else f if f in _KEEP else sql.r(f) for f in PLAIN
+    f"{_MODEL[f]} AS {f}" if f in _MODEL else f if f in _KEEP else sql.r(f, digits=4) for f in FRAME
 )
 _ELIGIBLE = f"SELECT * FROM base WHERE {TARGET} IS NOT NULL AND time_since_last_comp_years >= 0.15"
 _CUTS = """SELECT (list(date ORDER BY date))[CAST(floor(count(*) * CAST(0.67 AS DOUBLE)) AS BIGINT) + 1] AS c1,
@@ -196,7 +196,9 @@ _CORR = " UNION ALL ".join(
 SQL = {
     "model_frame": sql.query(
         f"SELECT primary_key, meet_name, name, date, {_FRAME}, CAST(starting_tier AS INTEGER) AS starting_tier, "
-        f"round(greatest(least({TARGET}, hi), lo), 6) AS {TARGET} FROM e, b",
+        f"round(greatest(least({TARGET}, hi), lo), 4) AS {TARGET} FROM e JOIN rated USING (primary_key, date, meet_name), b",
+        recursive=True,
+        **sql.rating_parts("quarter", "meet_name, sex, ipf_weight_class"),
         e=_ELIGIBLE,
         b=f"SELECT {sql.nearest(TARGET, 0.01)} AS lo, {sql.nearest(TARGET, 0.99)} AS hi FROM e",
     ),

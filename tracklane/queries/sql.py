@@ -276,7 +276,7 @@ FROM (SELECT *, avg(total) OVER (PARTITION BY sex, ipf_weight_class ORDER BY dat
 JOIN firsts p USING (primary_key)"""
 
 
-def query(select: str, upto: str = "base", **more: str) -> str:
+def query(select: str, upto: str = "base", recursive: bool = False, **more: str) -> str:
     """``select`` over the shared parts up to ``upto`` and further named parts."""
     parts = []
     for name, body in CTES.items():
@@ -284,7 +284,36 @@ def query(select: str, upto: str = "base", **more: str) -> str:
         if name == upto:
             break
     parts += [f"{name} AS ({body})" for name, body in more.items()]
-    return "WITH " + ",\n".join(parts) + "\n" + select
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + select
+
+
+def rating_parts(period: str, field: str, rows: str = "f0") -> dict[str, str]:
+    """All rating rounds as one recursion: a step holds the rating of every entity after a period.
+
+    ``rated`` has one row per event with the rating before it, its change and the field's mean.
+    """
+    expected = "1.0 / (1.0 + pow(10.0, (mean - rating) / 400.0))"
+    return {
+        "ev": f"""SELECT *, dense_rank() OVER (ORDER BY p) AS step,
+  row_number() OVER (PARTITION BY p, {field} ORDER BY coalesce(total, 0), primary_key, date, meet_name) - 1 AS pos,
+  count(*) OVER (PARTITION BY p, {field}) AS size,
+  32 * CASE meet_type WHEN 1 THEN 1.5 WHEN 2 THEN 1.0 WHEN 3 THEN 0.8 ELSE 0.6 END AS k
+  FROM (SELECT *, date_trunc('{period}', date) AS p FROM {rows})""",
+        "people": f"SELECT DISTINCT primary_key FROM {rows}",
+        "r": f"""SELECT CAST(0 AS BIGINT) AS step, primary_key, CAST(1500.0 AS DOUBLE) AS rating FROM people
+UNION ALL
+SELECT cur.step + 1, cur.primary_key, cur.rating + coalesce(d.change, 0) FROM r cur LEFT JOIN (
+  SELECT primary_key, sum(change) AS change FROM (
+    SELECT primary_key, {field}, arg_max(k * (pos / nullif(size - 1, 0) - {expected}), pos) AS change
+    FROM (SELECT ev.*, rating, avg(rating) OVER (PARTITION BY {field}) AS mean
+      FROM ev JOIN r ON ev.primary_key = r.primary_key AND ev.step = r.step + 1)
+    WHERE size > 1 GROUP BY primary_key, {field}) GROUP BY primary_key) d ON cur.primary_key = d.primary_key
+WHERE cur.step < (SELECT max(step) FROM ev)""",
+        "rated": f"""SELECT primary_key, date, meet_name, rating AS elo_rating, mean AS meet_field_elo,
+  CASE WHEN size > 1 THEN k * (pos / (size - 1) - {expected}) END AS elo_change
+FROM (SELECT ev.*, rating, avg(rating) OVER (PARTITION BY p, {field}) AS mean
+  FROM ev JOIN r ON ev.primary_key = r.primary_key AND ev.step = r.step + 1)""",
+    }
 
 
 KNOWN = "sex IN ('M', 'F') AND ipf_weight_class <> 'unknown'"
