@@ -83,6 +83,13 @@ def test_one_value_may_fill_a_group(spark):
     assert (placed.count(), hot.copies, hot.before, hot["size"]) == (11, 9990, 0, 10_000)
 
 
+def test_special_values_have_buckets(spark):
+    df = spark.createDataFrame([(float("-inf"),), (-1.0,), (-0.0,), (1.0,), (float("inf"),), (float("nan"),), (None,)], "x double")
+    got = [r.b for r in df.select(bucket_of(F.col("x")).alias("b")).collect()]
+    assert got[-1] is None
+    assert got[:-1] == sorted(got[:-1]) and got[2] == 0
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=2, max_size=40))
 def test_buckets_keep_the_order(spark, values):

@@ -76,7 +76,9 @@ def namesakes_to_drop(sizes: DataFrame, entity: str, years: int = 3) -> DataFram
     )
 
 
-def drop_namesakes(df: DataFrame, entity: str = "primary_key", name: str = "name", birth_year: str = "birth_year") -> DataFrame:
+def drop_namesakes(
+    df: DataFrame, entity: str = "primary_key", name: str = "name", birth_year: str = "birth_year"
+) -> DataFrame:
     """Anti-join the drop list. Rows without a key pass; ``keep_active`` removes them."""
     drop = namesakes_to_drop(entity_sizes(df, entity, name, birth_year), entity)
     return df.join(drop, entity, "left_anti")

@@ -127,7 +127,10 @@ def eligible_for_model(df: DataFrame, target: str, settings: Settings = SETTINGS
 
 
 def model_frame(
-    base: DataFrame, target: str = "pct_change_total", features: Sequence[str] | None = None, settings: Settings = SETTINGS
+    base: DataFrame,
+    target: str = "pct_change_total",
+    features: Sequence[str] | None = None,
+    settings: Settings = SETTINGS,
 ) -> DataFrame:
     """Name, date, features and the winsorised target, plus the entity columns for joining back."""
     features = list(features or feature_set(8))
@@ -154,7 +157,9 @@ def split_dates(df: DataFrame, date: str = "date", settings: Settings = SETTINGS
     return daily.agg(cut(settings.train_cutoff).alias("train_end"), cut(settings.val_cutoff).alias("val_end"))
 
 
-def temporal_split(df: DataFrame, date: str = "date", cuts: DataFrame | None = None, settings: Settings = SETTINGS) -> DataFrame:
+def temporal_split(
+    df: DataFrame, date: str = "date", cuts: DataFrame | None = None, settings: Settings = SETTINGS
+) -> DataFrame:
     """Label rows train, val or test by date."""
     cuts = cuts if cuts is not None else split_dates(df, date, settings)
     train_end, val_end = cuts.select("train_end").scalar(), cuts.select("val_end").scalar()

@@ -51,10 +51,10 @@ BUCKETS_PER_OCTAVE = 1024
 
 
 def bucket_of(x: Column) -> Column:
-    """Bucket number, non-decreasing in ``x``: logarithmic on both sides of zero."""
+    """Bucket number, non-decreasing in ``x``: logarithmic on both sides of zero, NaN above all."""
     # Offset beyond the exponent range of doubles keeps each side's sign.
     size = F.floor((F.log2(F.abs(x)) + 1100) * BUCKETS_PER_OCTAVE)
-    return F.when(x == 0, F.lit(0).cast("bigint")).otherwise(F.signum(x).cast("bigint") * size)
+    return F.when(x == 0, F.lit(0)).when(F.isnan(x), F.lit(2**63 - 1)).when(x < 0, -size).otherwise(size)
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -101,7 +101,9 @@ def percentile_ranks(df: DataFrame, groups: Sequence[str], values: Mapping[str,
     return placed.select(*groups, "measure", "value", (average_rank / F.col("size") * 100).alias("percentile"))
 
 
-def lookup_percentile(df: DataFrame, ranks: DataFrame, measure: str, groups: Sequence[str], value: str, out: str) -> DataFrame:
+def lookup_percentile(
+    df: DataFrame, ranks: DataFrame, measure: str, groups: Sequence[str], value: str, out: str
+) -> DataFrame:
     """Attach the percentile of ``value`` in the group named by the columns ``groups``; null has none."""
     names = [c for c in ranks.columns if c not in ("measure", "value", "percentile")]
     of_measure = ranks.filter(F.col("measure") == measure).select(

@@ -225,12 +225,12 @@ SQL = {
 FROM f1 GROUP BY 1, 2""",
         "f1",
     ),
-    "weight_class": f"""SELECT *, {sql._weight_class('sex', 'bodyweight')} AS weight_class FROM (SELECT p_partkey,
+    "weight_class": f"""SELECT *, {sql.weight_class_case('sex', 'bodyweight')} AS weight_class FROM (SELECT p_partkey,
   ['M', 'F', 'Mx', 'X'][p_size % 4 + 1] AS sex, CAST(p_size * 2.5 + 10 AS DOUBLE) AS bodyweight FROM part)""",
     "dots_score": sql.query(
         f"""SELECT name, date, round(dots, 6) AS dots, CAST({sql.tier('dots')} AS INTEGER) AS tier,
   ['Beginner', 'Intermediate', 'Advanced', 'Elite', 'World Class'][{sql.tier('dots')} + 1] AS tier_name
-FROM (SELECT name, date, {sql._dots('sex', 'bodyweight_kg', 'total_kg')} AS dots FROM raw)""",
+FROM (SELECT name, date, {sql.dots_case('sex', 'bodyweight_kg', 'total_kg')} AS dots FROM raw)""",
         "raw",
     ),
     "encode_categories": _encode_sql(),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklane.operators.history import PanelKeys, split_hot, with_history
-from tracklane.plans.base import base_table
+from tracklane.plans.base import base_table, rating_features
 from tracklane.plans.raw import raw_results
 from tracklane.runtime import store
 from tracklane.sources.star_schema import orders_panel, results
@@ -37,7 +37,7 @@ def base_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rated_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base layer with the rating, in rounds of a quarter."""
-    return _layer(spark, sf_dir, "rated", lambda: base_table(raw_layer(spark, sf_dir), period="quarter"))
+    return _layer(spark, sf_dir, "rated", lambda: rating_features(base_layer(spark, sf_dir), "quarter"))
 
 
 def orders_history(spark: SparkSession, sf_dir: str, lags=None, running=(), event_no=None) -> DataFrame:

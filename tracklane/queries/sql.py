@@ -9,7 +9,7 @@ _AGE_CLASSES = " ".join(
 )
 
 
-def _weight_class(sex: str, bw: str) -> str:
+def weight_class_case(sex: str, bw: str) -> str:
     branches = []
     for letter, bounds in SETTINGS.weight_classes.items():
         finite = [b for b in bounds if b != float("inf")]
@@ -18,7 +18,7 @@ def _weight_class(sex: str, bw: str) -> str:
     return f"CASE WHEN {bw} IS NULL THEN 'unknown' {' '.join(branches)} ELSE 'unknown' END"
 
 
-def _dots(sex: str, bw: str, total: str) -> str:
+def dots_case(sex: str, bw: str, total: str) -> str:
     branches = []
     for code, k in SETTINGS.dots_coefficients.items():
         k = [f"CAST({c!r} AS DOUBLE)" for c in k]
@@ -159,7 +159,7 @@ SELECT * FROM raw_events WHERE primary_key IN (SELECT primary_key FROM sizes WHE
     WHERE a.primary_key <> b.primary_key AND abs(a.birth_year - b.birth_year) <= 3 AND a.n < b.n)"""
 
 CTES["f0"] = f"""
-SELECT *, {_weight_class('sex', 'bodyweight')} AS ipf_weight_class,
+SELECT *, {weight_class_case('sex', 'bodyweight')} AS ipf_weight_class,
   CASE WHEN meet_name LIKE '%national%' THEN 2
     WHEN regexp_matches(meet_name, 'international|world|commonwealth') THEN 1
     WHEN meet_name LIKE '%state%' THEN 3 ELSE 4 END AS meet_type,
@@ -168,7 +168,7 @@ SELECT *, {_weight_class('sex', 'bodyweight')} AS ipf_weight_class,
   CAST(year(date) - birth_year - 29 AS INTEGER) AS years_from_peak_age,
   CAST(abs(year(date) - birth_year - 29) AS INTEGER) AS abs_years_from_peak_age,
   total / nullif(bodyweight, 0) AS total_per_bw,
-  {_dots('sex', 'bodyweight', 'total')} AS dots,
+  {dots_case('sex', 'bodyweight', 'total')} AS dots,
   {', '.join(f'{p} / nullif(total, 0) AS {p}_ratio' for p in PARTS)}
 FROM eligible"""
 
