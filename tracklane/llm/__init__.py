@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = "license_scan exact_dedup".split()
+MODULES = "license_scan exact_dedup secret_scan".split()
 
 
 def all_queries() -> dict:
