@@ -61,8 +61,10 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+BLANKS = np.zeros(256, dtype=bool)  # what parts words [^\x20\x09-\x0D]+
+BLANKS[[9, 10, 11, 12, 13, 32]] = True
+MARKS = np.zeros(256, dtype=bool)  # what parts words of ASCII letters, digits and all beyond ASCII
+MARKS[:128] = [not chr(i).isalnum() for i in range(128)]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
@@ -85,21 +87,22 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a column of texts, as 64-bit hashes.
+    """Words of a column of texts, as 64-bit hashes; null counts as empty.
 
     ``hashes`` holds the words of all texts one after another, ``first[i]`` to
     ``first[i + 1]`` those of text ``i``; ``begin`` and ``end`` are byte positions in
-    ``data``. The bytes never become Python strings.
+    ``data``. The bytes never become Python strings. ``prefixes[k]`` are hashes of the
+    first ``k`` bytes, 0 where a word is shorter.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool):
+    def __init__(self, texts: pa.Array, lower: bool, apart: np.ndarray = BLANKS, prefixes: tuple[int, ...] = ()):
         texts = texts.fill_null("").cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         low, high = int(offsets[0]), int(offsets[-1])
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, dtype=np.uint8)[low:high] if raw is not None else np.zeros(0, np.uint8)
         offsets = offsets - low
-        solid = ~_IS_SPACE[data]
+        solid = ~apart[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
         before = np.zeros(len(data), dtype=bool)
@@ -109,6 +112,7 @@ class Words:
         after[:-1] = solid[1:]
         end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         hashes = np.zeros(len(begin), dtype=np.uint64)
+        heads = {k: np.zeros(len(begin), dtype=np.uint64) for k in prefixes}
         piece = 1 << 22  # words are hashed a few MB at a time, so that powers stay small
         at = 0
         while at < len(begin):
@@ -118,10 +122,15 @@ class Words:
             terms = (_BYTE_LOWER if lower else _BYTE)[span] * _powers(_BASE, len(span))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
             b, e = begin[at:upto] - base, end[at:upto] - base
-            hashes[at:upto] = (sums[e] - sums[b]) * _powers(_BASE_INVERSE, len(span) + 1)[b]
+            back = _powers(_BASE_INVERSE, len(span) + 1)[b]
+            hashes[at:upto] = (sums[e] - sums[b]) * back
+            for k, head in heads.items():
+                long = e - b >= k
+                head[at:upto] = np.where(long, (sums[np.minimum(b + k, e)] - sums[b]) * back, 0)
             at = upto
         self.data, self.begin, self.end = data, begin, end
         self.hashes = mix(hashes + (end - begin).astype(np.uint64))
+        self.prefixes = {k: np.where(head == 0, np.uint64(0), mix(head + np.uint64(k) * _GRAM)) for k, head in heads.items()}
         self.first = np.searchsorted(begin, offsets)
 
     def counts(self) -> np.ndarray:
