@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = "decontaminate license_scan url_filter exact_dedup secret_scan".split()
+MODULES = "decontaminate license_scan url_filter quality exact_dedup secret_scan".split()
 
 
 def all_queries() -> dict:
