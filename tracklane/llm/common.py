@@ -79,11 +79,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_IN_LENGTH = mix(np.arange(64, dtype=np.uint64))  # parts beginnings of different length
+
+_known_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    known = _known_powers.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        known[0] = 1
+        known = _known_powers[int(base)] = np.cumprod(known, dtype=np.uint64)
+    return known[:n]
 
 
 class Words:
@@ -130,7 +137,7 @@ class Words:
             at = upto
         self.data, self.begin, self.end = data, begin, end
         self.hashes = mix(hashes + (end - begin).astype(np.uint64))
-        self.prefixes = {k: np.where(head == 0, np.uint64(0), mix(head + np.uint64(k) * _GRAM)) for k, head in heads.items()}
+        self.prefixes = {k: np.where(head == 0, np.uint64(0), mix(head + _IN_LENGTH[k])) for k, head in heads.items()}
         self.first = np.searchsorted(begin, offsets)
 
     def counts(self) -> np.ndarray:
