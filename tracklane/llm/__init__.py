@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = "decontaminate license_scan url_filter quality exact_dedup secret_scan toxicity".split()
+MODULES = "packing decontaminate license_scan url_filter quality exact_dedup secret_scan toxicity".split()
 
 
 def all_queries() -> dict:

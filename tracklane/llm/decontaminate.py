@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import MARKS, Scratch, Words, grams, table
+from tracklane.llm.common import MARKS, Scratch, Words, grams, ship, table
 
 N = 3  # words of a seed
 KEEP = 0.75
@@ -175,6 +175,7 @@ def contaminated(
     The test items pass through the driver in blocks of bounded size.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontaminate")
+    ship(spark)
     source = docs.select(F.col(key).cast("long").alias("key"), F.lower(text).alias("text"))
     out = None
     for rows in _blocks(benchmark, item, "text"):

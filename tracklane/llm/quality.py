@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import Words, mix, table, text_of
+from tracklane.llm.common import Words, mix, ship, table, text_of
 
 ROWS = 4000
 CHARS = 20_000
@@ -203,6 +203,7 @@ class Model:
 
 def scored(docs: DataFrame, model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: its key, ``score`` and ``predicted``. A null text is empty."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -235,6 +236,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts, with their own columns."""
     model = fitted(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    ship(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
