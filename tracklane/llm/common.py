@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +116,17 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return known[:n]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text, so that memory does not follow the batch."""
+    for batch in batches:
+        length = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy()
+        cell = np.cumsum(length, dtype=np.int64) // size
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(length)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 class Words:
     """Words of a column of texts, as 64-bit hashes; null counts as empty.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import MARKS, Scratch, Words, grams, ship, table
+from tracklane.llm.common import MARKS, Scratch, Words, grams, pieces, ship, table
 
 N = 3  # words of a seed
 KEEP = 0.75
@@ -183,7 +183,7 @@ def contaminated(
         sent = spark.sparkContext.broadcast(items)
 
         def count(batches, sent=sent):
-            for batch in batches:
+            for batch in pieces(batches):
                 words = Words(batch["text"], lower=False, apart=MARKS)
                 place, gram = sent.value.hits(words)
                 if len(place):
@@ -197,7 +197,7 @@ def contaminated(
         rare = spark.sparkContext.broadcast(items)
 
         def search(batches, rare=rare):
-            for batch in batches:
+            for batch in pieces(batches):
                 words = Words(batch["text"], lower=False, apart=MARKS)
                 found = list(matches(words, rare.value, threshold))
                 if found:

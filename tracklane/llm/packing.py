@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklane.llm.common import pieces as cut_batches
 from tracklane.llm.common import ship, table, text_of
 
 WINDOW = 2048
@@ -185,7 +186,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         encoder = Encoder.at(path or vocabulary_path())
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) * 7919
-        for batch in batches:
+        for batch in cut_batches(batches):
             out = []
             for ids in encoder.encode(batch["text"].to_pylist()):
                 ids = np.append(np.frombuffer(ids, dtype="<u2"), np.uint16(END))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import Words, mix, ship, table, text_of
+from tracklane.llm.common import Words, mix, pieces, ship, table, text_of
 
 ROWS = 4000
 CHARS = 20_000
@@ -207,7 +207,7 @@ def scored(docs: DataFrame, model, key: str = "doc_id", text: str = "text", thre
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             score = sent.value.score(batch["text"])
             predicted = pa.array((score >= threshold).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(score), predicted], ["key", "score", "predicted"])
@@ -240,7 +240,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(sent.value.score(batch["text"]) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
