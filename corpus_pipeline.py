@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklane.llm import exact_dedup
+from tracklane.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from tracklane.llm.common import Scratch, table
 
 STAGES = [
+    ("quality", quality.stage),
     ("exact_dedup", exact_dedup.stage),
+    ("near_dedup", near_dedup.stage),
+    ("decontaminate", decontaminate.stage),
+    ("packing", packing.stage),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # SQL expresses neither the classifier nor the packing
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,3 +189,12 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = out * _GRAM + hashes[i : len(hashes) - n + 1 + i]
     return mix(out)
+
+
+_GRAM_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
+
+
+def spans(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from ``begin`` to ``end``, for many spans at once."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_GRAM, len(hashes)), dtype=np.uint64)])
+    return mix((sums[end] - sums[begin]) * _powers(_GRAM_INVERSE, len(hashes) + 1)[begin] + (end - begin).astype(np.uint64))
