@@ -15,17 +15,19 @@ non-empty partitions also gives its ``size // 4 + 1`` smallest features as signa
 sets that both need this share one. Which shingles are frequent only decides the work.
 
 Links are verified on the sets themselves. A signature shared by at most ``SMALL`` sets gives
-all their pairs. A larger one gives pairs with its smallest set only; members
-that end up outside that set's component are then compared with the rest, as far as the
-distances to the smallest set allow a link (triangle inequality). No pair of texts that
-may link is lost, and a group of near copies costs pairs in proportion to its size.
+all their pairs. In a larger group, features that no other member of any such group
+has are counted first: a set with over a quarter of those links with nothing there and
+leaves. The others are compared with the centre, the set with the fewest of them. Members
+that end up outside the centre's component are then compared with the rest, as far as
+these counts and the distances to the centre allow a link (triangle inequality). No pair
+of texts that may link is lost, and a group of near copies costs pairs in proportion to its size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.llm.common import Scratch, Words, grams, mix, pieces, ship, table
@@ -35,9 +37,10 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 RATIO = 3
 SMALL = 8
-FREQUENT_SHARE = 1000  # a shingle is frequent in over one of so many documents,
-FREQUENT_LEAST = 32  # and at least so many
-FREQUENT_MOST = 1 << 18  # of them are broadcast: 2 MB
+SIZE_STEP = 1.08
+STEPS_APART = 4  # similar sets are at most 4/3 as large, which is under four steps
+FREQUENT_LEAST = 32  # documents of a frequent shingle
+FREQUENT_MOST = 1 << 18  # of them are broadcast, the most frequent: 2 MB
 
 
 class Sets:
@@ -70,8 +73,10 @@ class Sets:
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
     def names(self) -> np.ndarray:
-        """A 64-bit name of each set, the same for equal sets."""
-        return mix(self.per_text(mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D))) + self.size.astype(np.uint64)).view(np.int64)
+        """A 64-bit name of each set, the same for equal sets; its last byte is the size on a log scale."""
+        content = mix(self.per_text(mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D))) + self.size.astype(np.uint64))
+        step = np.floor(np.log(np.maximum(self.size, 1)) / np.log(SIZE_STEP)).astype(np.uint64)
+        return ((content & ~np.uint64(255)) | np.minimum(step, np.uint64(255))).view(np.int64)
 
     def sketches(self) -> list[bytes]:
         """Counts of features by their leading bits, about one byte for four features."""
@@ -144,14 +149,21 @@ def signatures(sets: Sets, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """(key, n, name, sketch) of each row, and the shingles several rows of a batch share, on its first row."""
+    """(key, n, name, sketch) of each row; on the first row of a batch its shingles that the task has met three times.
+
+    A task counts shingles in a fixed table by their leading bits, so its memory does not follow the input.
+    """
     kind = dict(docs.dtypes)["key"]
 
     def run(batches):
+        met = np.zeros(1 << 24, dtype=np.uint8)
         for batch in pieces(batches):
             sets = Sets(batch["text"])
             shared, count = np.unique(sets.hashes, return_counts=True)
-            shared, count = shared[count > 2], count[count > 2]
+            cell = (shared >> np.uint64(40)).astype(np.int64)
+            met[cell] = np.minimum(met[cell] + count, 255)
+            often = met[cell] > 2
+            shared, count = shared[often], count[often]
             rest = len(sets.size) - 1
             columns = [
                 batch["key"],
@@ -167,11 +179,10 @@ def _described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _frequent(described: DataFrame, documents: int) -> np.ndarray:
+def _frequent(described: DataFrame) -> np.ndarray:
     pairs = described.filter("shared IS NOT NULL").select(F.explode(F.arrays_zip("shared", "times")).alias("s"))
     counts = pairs.groupBy("s.shared").agg(F.sum("s.times").alias("times"))
-    least = max(FREQUENT_LEAST, documents // FREQUENT_SHARE)
-    rows = counts.filter(F.col("times") >= least).orderBy(F.desc("times"), "shared").limit(FREQUENT_MOST)
+    rows = counts.filter(F.col("times") >= FREQUENT_LEAST).orderBy(F.desc("times"), "shared").limit(FREQUENT_MOST)
     return np.sort(np.array([r[0] for r in rows.select("shared").collect()], dtype=np.int64).view(np.uint64))
 
 
@@ -184,7 +195,7 @@ def _grouped(batches):
     A group may go on over many batches; what is kept of it is at most ``SMALL`` names.
     """
     kept = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the group that is not over yet
-    large = None  # (signature, smallest name) of a group known to be larger than SMALL
+    large = None  # signature of a group known to be larger than SMALL
 
     def rows(kind, x, y):
         if len(x):
@@ -197,10 +208,8 @@ def _grouped(batches):
         new[1:] = (signature[1:] != signature[:-1]) | (name[1:] != name[:-1])  # equal sets give equal rows
         signature, name = signature[new], name[new]
         if large is not None:
-            go_on = signature == large[0]
-            more = name[go_on]
-            yield from rows(PAIR, np.full(len(more), large[1]), more)
-            yield from rows(MEMBER, np.full(len(more), large[0]), more)
+            go_on = signature == large
+            yield from rows(MEMBER, signature[go_on], name[go_on])
             if not go_on.all():
                 large = None
             signature, name = signature[~go_on], name[~go_on]
@@ -213,16 +222,16 @@ def _grouped(batches):
                 signature, name = signature[: start[-1]], name[: start[-1]]
                 start, length = start[:-1], length[:-1]
             else:
-                large = (signature[-1], name[start[-1]])
+                large = signature[-1]
         size, head = np.repeat(length, length), np.repeat(start, length)
         a, b = [], []
         for step in range(1, SMALL):
             at = np.flatnonzero((size[:-step] <= SMALL) & (head[:-step] == head[step:])) if len(size) > step else np.zeros(0, int)
+            at = at[np.abs((name[at] & 255) - (name[at + step] & 255)) <= STEPS_APART]
             a.append(name[at])
             b.append(name[at + step])
         big = np.flatnonzero(size > SMALL)
-        inner = big[big != head[big]]
-        a, b = np.concatenate([*a, name[head[inner]]]), np.concatenate([*b, name[inner]])
+        a, b = np.concatenate(a), np.concatenate(b)
         if len(a):
             a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield from rows(PAIR, a, b)
@@ -254,8 +263,53 @@ def _signed(docs: DataFrame, frequent) -> DataFrame:
     return dealt.mapInArrow(_grouped, "kind int, x long, y long")
 
 
-def _verified(pairs: DataFrame, described: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, low, high, linked): bounds of the distance (1 - similarity) of each pair, and whether it links."""
+def _contents(names: DataFrame, described: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(name, features) of the named sets, from one document each.
+
+    Rows that repeat a key meet in one task, which passes a set on once.
+    """
+    keys = described.join(names, "name").groupBy("name").agg(F.min("key").alias("key")).select("key").distinct()
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in pieces(batches):
+            sets = Sets(batch["text"])
+            full = pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(sets.hashes.view(np.int64)))
+            names = sets.names().tolist()
+            new = []
+            for name in names:
+                new.append(name not in seen)
+                seen.add(name)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), full], ["name", "features"]).filter(pa.array(new))
+
+    texts = docs.join(keys, "key", "left_semi").select("text")
+    return scratch.store(texts.mapInArrow(run, "name long, features array<long>"))
+
+
+def _linkable(members: DataFrame, contents: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members (signature, name) of larger groups that can link there, with their sizes ``n`` and ``c``.
+
+    ``c`` counts the features that another set of these groups has, too: no intersection exceeds it.
+    """
+    own = contents.join(members.select("name").distinct(), "name", "left_semi")
+    rows = own.select("name", F.explode("features").alias("feature"))
+    alone = rows.groupBy("feature").agg(F.count("*").alias("sets"), F.first("name").alias("name")).filter("sets = 1")
+    alone = alone.groupBy("name").agg(F.count("*").alias("alone"))
+    n = F.size("features").cast("long")
+    able = own.select("name", n.alias("n")).join(alone, "name", "left")
+    able = able.select("name", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+    able = able.filter(DENOMINATOR * F.col("c") >= NUMERATOR * F.col("n"))
+    return scratch.store(members.join(able, "name").select("signature", "name", "n", "c"))
+
+
+def _may_link(n: str, c: str, other_n: str, other_c: str) -> Column:
+    """Whether two sets can reach the similarity with an intersection of the smaller ``c``."""
+    most = F.least(c, other_c)
+    return DENOMINATOR * most >= NUMERATOR * (F.col(n) + F.col(other_n) - most)
+
+
+def _bounded(pairs: DataFrame, described: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, na, nb, most, possible) for pairs: the largest intersection that the sketches leave possible."""
     sets = described.filter("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     one = sets.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     other = sets.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -270,73 +324,68 @@ def _verified(pairs: DataFrame, described: DataFrame, docs: DataFrame, scratch:
     # differing features d: intersection <= (na + nb - d) / 2, union = na + nb - intersection
     most = F.least(F.floor((F.col("na") + F.col("nb") - F.col("differ")) / 2), F.col("na"), F.col("nb"))
     union = F.col("na") + F.col("nb") - most
-    bounded = scratch.store(bounded.withColumns({"most": most, "possible": DENOMINATOR * most >= NUMERATOR * union}))
+    return scratch.store(bounded.withColumns({"most": most, "possible": DENOMINATOR * most >= NUMERATOR * union}))
+
+
+def _verified(bounded: DataFrame, contents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, low, high, linked): bounds of the distance (1 - similarity) of each pair, and whether it links."""
     far = bounded.filter("NOT possible").select(
-        "a", "b", (1 - F.col("most") / (F.col("na") + F.col("nb") - F.col("most"))).alias("low"), F.lit(1.0).alias("high"), F.lit(False).alias("linked")
+        *("a", "b"),
+        (1 - F.col("most") / (F.col("na") + F.col("nb") - F.col("most"))).alias("low"),
+        F.lit(1.0).alias("high"),
+        F.lit(False).alias("linked"),
     )
     near = bounded.filter("possible").select("a", "b", "na", "nb")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    keys = described.join(wanted, "name").groupBy("name").agg(F.min("key").alias("key")).select("key").distinct()
-
-    def contents(batches):
-        for batch in pieces(batches):
-            sets = Sets(batch["text"])
-            full = pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(sets.hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(sets.names()), full], ["name", "features"])
-
-    texts = docs.join(keys, "key", "left_semi").select("text").mapInArrow(contents, "name long, features array<long>")
-    features = scratch.store(texts.dropDuplicates(["name"]))
-    left = features.select(F.col("name").alias("a"), F.col("features").alias("fa"))
-    right = features.select(F.col("name").alias("b"), F.col("features").alias("fb"))
+    left = contents.select(F.col("name").alias("a"), F.col("features").alias("fa"))
+    right = contents.select(F.col("name").alias("b"), F.col("features").alias("fb"))
     common = F.size(F.array_intersect("fa", "fb")).cast("long")
     exact = near.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common.alias("common"))
     union = F.col("na") + F.col("nb") - F.col("common")
     distance = 1 - F.col("common") / union
     exact = exact.select("a", "b", distance.alias("low"), distance.alias("high"), (DENOMINATOR * F.col("common") >= NUMERATOR * union).alias("linked"))
-    out = scratch.store(exact.unionByName(far))
-    scratch.drop(features)
-    scratch.drop(bounded)
-    return out
+    return scratch.store(exact.unionByName(far))
 
 
-def _left_over(members: DataFrame, checked: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+def _left_over(members: DataFrame, centres: DataFrame, checked: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of larger groups that may still link: their members lie in different components.
 
-    ``members``: (signature, name). Each group's smallest name is its centre; a pair
-    is left out if its distances to the centre differ by more than a link allows.
+    A pair is left out if its distances to the centre differ by more than a link allows.
     """
     slack = 1 - NUMERATOR / DENOMINATOR + 1e-9
-    centres = members.groupBy("signature").agg(F.min("name").alias("centre"), F.max("name").alias("last")).filter("centre <> last")
     placed = (
-        members.join(centres.select("signature", "centre"), "signature")
+        members.join(centres, "signature")
         .join(labels, F.col("name") == F.col("node"), "left")
-        .select("signature", "name", "centre", F.coalesce("label", "name").alias("label"))
+        .select("signature", "name", "n", "c", "centre", F.coalesce("label", "name").alias("label"))
     )
     placed = scratch.store(placed)
     # only groups whose members are not all of one component go on
     split = placed.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("signature")
-    known = checked.select(F.col("a").alias("centre"), F.col("b").alias("name"), "low", "high")
-    at_centre = (F.col("name") == F.col("centre"))
+    known = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "low", "high")
+    at_centre = F.col("name") == F.col("centre")
+    near = (F.least("name", "centre") == F.col("a")) & (F.greatest("name", "centre") == F.col("b"))
     open_groups = (
         placed.join(split, "signature", "left_semi")
-        .join(known, ["centre", "name"], "left")
+        .join(known, near, "left")
         .select(
-            "signature", "name", "centre", "label",
+            *("signature", "name", "n", "c", "centre", "label"),
             F.when(at_centre, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"),
             F.when(at_centre, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"),
         )
-    )
+    )
     open_groups = scratch.store(open_groups)
-    centre_label = open_groups.filter(F.col("name") == F.col("centre")).select("signature", F.col("label").alias("centre_label"))
+    centre_label = open_groups.filter(at_centre).select("signature", F.col("label").alias("centre_label"))
     outside = open_groups.join(centre_label, "signature").filter(F.col("label") != F.col("centre_label"))
-    outside = outside.select("signature", F.col("name").alias("x"), F.col("label").alias("lx"), F.col("low").alias("low_x"), F.col("high").alias("high_x"))
-    pairs = outside.join(open_groups.filter(F.col("name") != F.col("centre")), "signature").filter(
-        (F.col("lx") != F.col("label"))
+    outside = outside.select(
+        "signature", *(F.col(x).alias(f"{x}_x") for x in ("name", "n", "c", "label", "low", "high"))
+    )
+    pairs = outside.join(open_groups.filter(~at_centre), "signature").filter(
+        (F.col("label_x") != F.col("label"))
+        & _may_link("n", "c", "n_x", "c_x")
         & (F.col("low") - F.col("high_x") <= slack)
         & (F.col("low_x") - F.col("high") <= slack)
     )
-    pairs = pairs.select(F.least("x", "name").alias("a"), F.greatest("x", "name").alias("b")).distinct()
-    return scratch.store(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+    pairs = pairs.select(F.least("name_x", "name").alias("a"), F.greatest("name_x", "name").alias("b")).distinct()
+    return scratch.store(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -353,21 +402,34 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     sets = described.select("key", "n", "name")
     whole = docs.filter(F.col("key").isNotNull())
     usable = described.filter(F.col("key").isNotNull())
-    frequent = spark.sparkContext.broadcast(_frequent(described, sets.count()))
+    frequent = spark.sparkContext.broadcast(_frequent(described))
     found = scratch.store(_signed(whole, frequent))
-    features = found.filter(F.col("kind") == FEATURE).select(F.col("x").alias("signature"), F.col("y").alias("name")).distinct()
-    features = scratch.store(features)
-    centres = features.groupBy("signature").agg(F.min("name").alias("a"))
-    starred = features.join(centres, "signature").filter("a <> name").select("a", F.col("name").alias("b"))
-    pairs = scratch.store(found.filter(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(starred).distinct())
-    checked = _verified(pairs, usable, whole, scratch)
+    scratch.release()
+    of = lambda kind, x, y: found.filter(F.col("kind") == kind).select(F.col("x").alias(x), F.col("y").alias(y))
+    members = scratch.store(of(MEMBER, "signature", "name").unionByName(of(FEATURE, "signature", "name")).distinct())
+    small = _bounded(of(PAIR, "a", "b").distinct(), usable, scratch)
+    paired = small.filter("possible").select(F.explode(F.array("a", "b")).alias("name"))
+    contents = _contents(paired.unionByName(members.select("name")).distinct(), usable, whole, scratch)
+    scratch.release()
+    members = _linkable(members, contents, scratch)
+    purest = F.max(F.struct(F.col("c") / F.col("n"), F.col("n").alias("n"), F.col("name").alias("name"), F.col("c").alias("c")))
+    centres = members.groupBy("signature").agg(purest.alias("top"))
+    centres = scratch.store(
+        centres.select("signature", F.col("top.name").alias("centre"), F.col("top.n").alias("cn"), F.col("top.c").alias("cc"))
+    )
+    starred = members.join(centres, "signature").filter((F.col("name") != F.col("centre")) & _may_link("n", "c", "cn", "cc"))
+    starred = starred.select(F.least("centre", "name").alias("a"), F.greatest("centre", "name").alias("b")).distinct()
+    starred = starred.join(small.select("a", "b"), ["a", "b"], "left_anti")
+    checked = _verified(small.unionByName(_bounded(starred, usable, scratch)), contents, scratch)
+    scratch.release()
     links = checked.filter("linked").select("a", "b")
     labels = components(links, scratch)
-    members = found.filter(F.col("kind") == MEMBER).select(F.col("x").alias("signature"), F.col("y").alias("name"))
-    rest = _left_over(members.unionByName(features), checked, labels, scratch)
+    rest = _left_over(members, centres.select("signature", "centre"), checked, labels, scratch)
     if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, usable, whole, scratch).filter("linked").select("a", "b"))
-        labels = components(links, scratch)
+        more = _verified(_bounded(rest, usable, scratch), contents, scratch)
+        labels = components(links.unionByName(more.filter("linked").select("a", "b")), scratch)
+    scratch.drop(contents)
+    scratch.release()
     named = usable.filter("n > 0").select("key", "name").join(labels, F.col("name") == F.col("node"), "left")
     smallest = named.groupBy(F.coalesce("label", "name").alias("label")).agg(F.min("key").alias("component"))
     smallest = smallest.withColumnRenamed("label", "_label")
