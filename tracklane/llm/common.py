@@ -122,7 +122,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return known[:n]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes of text, so that memory does not follow the batch."""
     for batch in batches:
         length = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy()
@@ -160,7 +160,7 @@ class Words:
         end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         hashes = np.zeros(len(begin), dtype=np.uint64)
         heads = {k: np.zeros(len(begin), dtype=np.uint64) for k in prefixes}
-        piece = 1 << 22  # words are hashed a few MB at a time, so that powers stay small
+        piece = 1 << 20  # words are hashed about a MB at a time, so that powers stay small
         at = 0
         while at < len(begin):
             base = begin[at]
