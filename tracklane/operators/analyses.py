@@ -106,9 +106,8 @@ def milestone_attainment(
         counts = counts.withColumn("_reached", F.sum("_n").over(upto))
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    # One row per known segment, which the class table bounds.
     return (
-        counts.join(F.broadcast(totals), SEGMENT)
+        counts.join(totals, SEGMENT)
         .select(*group, "cumulative_comps", ratio("_reached", "total_lifters").alias("fraction_reached"), "total_lifters")
         .orderBy(*group, "cumulative_comps")
     )
