@@ -19,7 +19,8 @@ all their pairs. In a larger group, features that no other member of any such gr
 has are counted first: a set with over a quarter of those links with nothing there and
 leaves. The others are compared with the centre, the set with the fewest of them. Members
 that end up outside the centre's component are then compared with the rest, as far as
-these counts and the distances to the centre allow a link (triangle inequality). No pair
+these counts, the distances to the centre (triangle inequality) and the parity of their
+features by cell (a cell of unlike parity holds a differing feature) allow a link. No pair
 of texts that may link is lost, and a group of near copies costs pairs in proportion to its size.
 """
 
@@ -41,6 +42,8 @@ SIZE_STEP = 1.08
 STEPS_APART = 4  # similar sets are at most 4/3 as large, which is under four steps
 FREQUENT_LEAST = 32  # documents of a frequent shingle
 FREQUENT_MOST = 1 << 18  # of them are broadcast, the most frequent: 2 MB
+PARITY_BITS = 512  # cells of features whose parity a set keeps
+LOWEST = 8  # signatures of a set by which most repeats of a pair are known
 
 
 class Sets:
@@ -88,6 +91,15 @@ class Sets:
         return [counts[a:b].tobytes() for a, b in zip(base, base[1:])]
 
 
+    def parities(self) -> pa.Array:
+        """Whether each cell of features holds an odd number of them, ``PARITY_BITS`` bits as longs."""
+        texts = len(self.size)
+        cell = self.text.astype(np.int64) * PARITY_BITS + (self.hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+        odd = np.bincount(cell, minlength=texts * PARITY_BITS) & 1
+        longs = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(texts + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(longs))
+
+
 def sketch_bits(size: np.ndarray) -> np.ndarray:
     return np.maximum(3, np.ceil(np.log2(np.maximum(size, 1) / 4))).astype(np.int64)
 
@@ -264,7 +276,7 @@ def _signed(docs: DataFrame, frequent) -> DataFrame:
 
 
 def _contents(names: DataFrame, described: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(name, features) of the named sets, from one document each.
+    """(name, features, parity) of the named sets, from one document each.
 
     Rows that repeat a key meet in one task, which passes a set on once.
     """
@@ -280,10 +292,11 @@ def _contents(names: DataFrame, described: DataFrame, docs: DataFrame, scratch:
             for name in names:
                 new.append(name not in seen)
                 seen.add(name)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), full], ["name", "features"]).filter(pa.array(new))
+            columns = [pa.array(names, pa.int64()), full, sets.parities()]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "features", "parity"]).filter(pa.array(new))
 
     texts = docs.join(keys, "key", "left_semi").select("text")
-    return scratch.store(texts.mapInArrow(run, "name long, features array<long>"))
+    return scratch.store(texts.mapInArrow(run, "name long, features array<long>, parity array<long>"))
 
 
 def _linkable(members: DataFrame, contents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -346,10 +359,23 @@ def _verified(bounded: DataFrame, contents: DataFrame, scratch: Scratch) -> Data
     return scratch.store(exact.unionByName(far))
 
 
-def _left_over(members: DataFrame, centres: DataFrame, checked: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+def _parity_allows(n: str, parity: str, other_n: str, other_parity: str) -> Column:
+    """Whether the cells of unlike parity, each a differing feature, are few enough for a link."""
+    differ = sum(
+        (F.bit_count(F.col(parity)[i].bitwiseXOR(F.col(other_parity)[i])) for i in range(PARITY_BITS // 64)), F.lit(0)
+    )
+    # differing features d: intersection = (n + m - d) / 2, union = (n + m + d) / 2
+    return (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col(n) + F.col(other_n))
+
+
+def _left_over(
+    members: DataFrame, centres: DataFrame, checked: DataFrame, labels: DataFrame, contents: DataFrame, scratch: Scratch
+) -> DataFrame:
     """Pairs of larger groups that may still link: their members lie in different components.
 
-    A pair is left out if its distances to the centre differ by more than a link allows.
+    A pair is left out if its distances to the centre differ by more than a link allows, if
+    its parities do, or if both sets hold a lower signature among their lowest ones: the pair
+    comes up there, too. Its lowest common signature always keeps it.
     """
     slack = 1 - NUMERATOR / DENOMINATOR + 1e-9
     placed = (
@@ -363,7 +389,7 @@ def _left_over(members: DataFrame, centres: DataFrame, checked: DataFrame, label
     known = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "low", "high")
     at_centre = F.col("name") == F.col("centre")
     near = (F.least("name", "centre") == F.col("a")) & (F.greatest("name", "centre") == F.col("b"))
-    open_groups = (
+    open_groups = scratch.store(
         placed.join(split, "signature", "left_semi")
         .join(known, near, "left")
         .select(
@@ -372,17 +398,22 @@ def _left_over(members: DataFrame, centres: DataFrame, checked: DataFrame, label
             F.when(at_centre, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"),
         )
     )
-    open_groups = scratch.store(open_groups)
+    lowest = F.slice(F.array_sort(F.collect_list("signature")), 1, LOWEST).alias("lowest")
+    tests = open_groups.groupBy("name").agg(lowest).join(contents.select("name", "parity"), "name")
+    tested = scratch.store(open_groups.join(tests, "name"))
     centre_label = open_groups.filter(at_centre).select("signature", F.col("label").alias("centre_label"))
-    outside = open_groups.join(centre_label, "signature").filter(F.col("label") != F.col("centre_label"))
-    outside = outside.select(
-        "signature", *(F.col(x).alias(f"{x}_x") for x in ("name", "n", "c", "label", "low", "high"))
-    )
-    pairs = outside.join(open_groups.filter(~at_centre), "signature").filter(
+    outside = tested.join(centre_label, "signature").filter(F.col("label") != F.col("centre_label"))
+    sides = ("name", "n", "c", "label", "low", "high", "parity", "lowest")
+    outside = outside.select("signature", "centre_label", *(F.col(x).alias(f"{x}_x") for x in sides))
+    lower = F.filter(F.array_intersect("lowest_x", "lowest"), lambda s: s < F.col("signature"))
+    pairs = outside.join(tested.filter(~at_centre), "signature").filter(
         (F.col("label_x") != F.col("label"))
+        & ((F.col("label") == F.col("centre_label")) | (F.col("name_x") < F.col("name")))  # of two outside, once
         & _may_link("n", "c", "n_x", "c_x")
         & (F.col("low") - F.col("high_x") <= slack)
         & (F.col("low_x") - F.col("high") <= slack)
+        & _parity_allows("n", "parity", "n_x", "parity_x")
+        & (F.size(lower) == 0)
     )
     pairs = pairs.select(F.least("name_x", "name").alias("a"), F.greatest("name_x", "name").alias("b")).distinct()
     return scratch.store(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"))
@@ -424,7 +455,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     scratch.release()
     links = checked.filter("linked").select("a", "b")
     labels = components(links, scratch)
-    rest = _left_over(members, centres.select("signature", "centre"), checked, labels, scratch)
+    rest = _left_over(members, centres.select("signature", "centre"), checked, labels, contents, scratch)
     if not rest.isEmpty():
         more = _verified(_bounded(rest, usable, scratch), contents, scratch)
         labels = components(links.unionByName(more.filter("linked").select("a", "b")), scratch)
