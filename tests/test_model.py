@@ -64,6 +64,14 @@ def test_gbt_learns_and_reports_importance(spark, split):
     assert sum(weights.values()) == pytest.approx(1.0)
 
 
+def test_gbt_takes_many_categories_and_unseen_ones(spark):
+    rows = [(*r[:6], f"F{i % 120}" if r[3] < date(2020, 2, 10) else f"late{i % 3}", *r[7:]) for i, r in enumerate(rows_of(600))]
+    split = ML.temporal_split(spark.createDataFrame(rows, SCHEMA)).cache()
+    fitted = ML.train_gbt(split, "y", FEATURES, ML.Trial(max_depth=3, max_iter=4, step_size=0.5, subsample=1.0, feature_share=1.0))
+    assert fitted.predictions.filter("pred IS NULL").count() == 0
+    assert fitted.predictions.count() == split.filter("split = 'test'").count()
+
+
 def test_search_is_sorted_and_repeatable(spark, split):
     assert ML.random_trials(3) == ML.random_trials(3)
     found = ML.param_search(split, "y", FEATURES, ML.random_trials(2, max_iter=3)).collect()

@@ -120,16 +120,18 @@ def leakage_report(
     pairs: Mapping[str, str],
     counters: Mapping[str, tuple[str, float]] | None = None,
     constants: Sequence[str] = (),
+    maxima: Mapping[str, str] | None = None,
     tolerance: float = 1e-9,
 ) -> DataFrame:
     """Per feature, the rows that do not follow from the event before.
 
     ``pairs`` maps a lagged column to its source; ``counters`` a count of earlier
-    events to ``(source, bound)``; ``constants`` must not change within an entity.
+    events to ``(source, bound)``; ``constants`` must not change within an entity;
+    ``maxima`` maps the largest value of earlier events to its source.
     Event ``n`` is joined to event ``n - 1``, independently of any window.
     """
-    counters = dict(counters or {})
-    sources = sorted({*pairs.values(), *counters, *constants, *(source for source, _ in counters.values())})
+    counters, maxima = dict(counters or {}), dict(maxima or {})
+    sources = sorted({*pairs.values(), *counters, *constants, *maxima, *maxima.values(), *(source for source, _ in counters.values())})
     before = df.select(
         F.col(keys.entity),
         (F.col(event_no) + 1).alias(event_no),
@@ -150,6 +152,7 @@ def leakage_report(
         step = F.coalesce((src(source) >= bound).cast("double"), F.lit(0.0))
         rules[c] = differs(c, F.when(F.col("_found"), src(c) + step).otherwise(0.0))
     rules.update({c: F.col("_found") & differs(c, src(c)) for c in constants})
+    rules.update({c: differs(c, F.greatest(src(c), src(s))) for c, s in maxima.items()})
 
     checks = [F.struct(F.lit(c).alias("feature"), F.col(f"_bad_{c}").alias("mismatches")) for c in rules]
     counted = both.agg(*[F.count_if(rule).alias(f"_bad_{c}") for c, rule in rules.items()])

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from tracklane.runtime import shared_dir, store
 
 KEYS = ["primary_key", "date", "meet_name"]
 CATEGORICAL = ["parent_federation"]
+LEAST_BINS = 64
 
 # The feature set, in the order of the model frame.
 FEATURES = [
@@ -182,7 +183,9 @@ class Trial:
     min_instances: int = 1
     seed: int = 7
 
-    def regressor(self, label: str, validation: str | None = None) -> GBTRegressor:
+    def regressor(self, label: str, bins: int, validation: str | None = None) -> GBTRegressor:
+        """``bins`` per feature, as ``bins_for`` gives them. With ``validation``, boosting stops at the
+        first round whose validation error is above the best so far."""
         gbt = GBTRegressor(
             featuresCol="features",
             labelCol=label,
@@ -193,7 +196,8 @@ class Trial:
             subsamplingRate=self.subsample,
             featureSubsetStrategy=str(self.feature_share),
             minInstancesPerNode=self.min_instances,
-            maxBins=64,
+            maxBins=bins,
+            validationTol=0.0,
             seed=self.seed,
         )
         return gbt.setValidationIndicatorCol(validation) if validation else gbt
@@ -227,6 +231,12 @@ def assemble(features: Sequence[str]) -> Pipeline:
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
 
 
+def bins_for(steps: PipelineModel) -> int:
+    """Bins for trees: a split needs as many as the largest category has values, unseen ones included."""
+    labels = [len(s.labels) for s in steps.stages if isinstance(s, StringIndexerModel)]
+    return max([LEAST_BINS, *(n + 1 for n in labels)])
+
+
 def _as_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     numeric = [f for f in features if f not in CATEGORICAL]
     doubles = {f: F.col(f).cast("double") for f in numeric}
@@ -251,11 +261,11 @@ def train_gbt(split: DataFrame, target: str, features: Sequence[str], trial: Tri
     rows = store(_as_inputs(split, features), "model-rows")
     known = rows.filter(F.col("split") != "test").withColumn("_is_val", F.col("split") == "val")
     steps = assemble(features).fit(known.filter(~F.col("_is_val")))
-    probe = trial.regressor(target, "_is_val").fit(steps.transform(known))
+    probe = trial.regressor(target, bins_for(steps), "_is_val").fit(steps.transform(known))
     rounds = max(probe.getNumTrees, 1)
 
     steps = assemble(features).fit(known)
-    final = Trial(**{**trial.__dict__, "max_iter": rounds}).regressor(target).fit(steps.transform(known))
+    final = Trial(**{**trial.__dict__, "max_iter": rounds}).regressor(target, bins_for(steps)).fit(steps.transform(known))
     test = rows.filter(F.col("split") == "test")
     predictions = final.transform(steps.transform(test))
     names = steps.stages[-1].getInputCols()
@@ -274,8 +284,10 @@ def param_search(split: DataFrame, target: str, features: Sequence[str], trials:
     known = steps.transform(rows).select(target, "features", (F.col("split") == "val").alias("_is_val")).persist()
     found = []
     for number, trial in enumerate(trials):
-        model = trial.regressor(target, "_is_val").fit(known)
-        scores = M.regression_metrics(model.transform(known.filter("_is_val")), target, "pred").first()
+        model = trial.regressor(target, bins_for(steps), "_is_val").fit(known)
+        scored = model.transform(known.filter("_is_val")).select(target, "pred").persist()
+        scores = M.regression_metrics(scored, target, "pred").first()
+        scored.unpersist()
         found.append(
             (number, trial.max_depth, trial.step_size, trial.subsample, trial.feature_share, trial.min_instances)
             + (model.getNumTrees, scores.mse, scores.rmse, scores.mae, scores.r2)

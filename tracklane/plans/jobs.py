@@ -17,7 +17,7 @@ from tracklane.operators import describe as D
 from tracklane.operators import metrics as M
 from tracklane.operators import model as ML
 from tracklane.plans.base import base_table
-from tracklane.plans.raw import raw_results
+from tracklane.plans.raw import REPEAT_KEYS, raw_results
 from tracklane.runtime import store
 from tracklane.sources.csv_files import convert_reference_tables, land_csv
 from tracklane.sources.layers import Lake
@@ -50,14 +50,12 @@ def load_reference(spark: SparkSession, lake: Lake, folder: str) -> dict[str, st
 
 
 def build_raw(spark: SparkSession, lake: Lake) -> dict[str, int]:
-    """Raw layer; stops when the origin join changed the number of rows."""
-    raw = raw_results(lake.read(spark, "landing", RESULTS))
-    counts = lake.write(raw, "raw", RESULTS, ENTITY_ORDER)
-    keys = ["primary_key", "date", "meet_name"]
-    repeated = lake.read(spark, "raw", RESULTS).select(*keys).groupBy(*keys).count().filter("count > 1")
+    """Raw layer; stops before it replaces the layer when the origin join repeated a row."""
+    raw = store(raw_results(lake.read(spark, "landing", RESULTS)), "raw")
+    repeated = raw.groupBy(*REPEAT_KEYS).count().filter("count > 1")
     if not repeated.isEmpty():
         raise ValueError("raw layer: rows repeat on key, date and meet")
-    return counts
+    return lake.write(raw, "raw", RESULTS, ENTITY_ORDER)
 
 
 def build_base(spark: SparkSession, lake: Lake, period: str = "day", settings: Settings = SETTINGS) -> dict[str, int]:

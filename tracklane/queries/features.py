@@ -121,9 +121,16 @@ LEAKAGE_PAIRS = {
     "previous_total": "total",
     "previous_dots": "dots",
     "previous_squat": "squat",
+    "previous_bench": "bench",
+    "previous_deadlift": "deadlift",
     "previous_wilks": "wilks",
     "prev_squat_ratio": "squat_ratio",
+    "prev_bench_ratio": "bench_ratio",
+    "prev_deadlift_ratio": "deadlift_ratio",
     "prev_rolling_avg_total_3": "rolling_avg_total_3",
+    "prev_rolling_avg_squat_3": "rolling_avg_squat_3",
+    "prev_rolling_avg_bench_3": "rolling_avg_bench_3",
+    "prev_rolling_avg_deadlift_3": "rolling_avg_deadlift_3",
     "prev_rolling_avg_dots_3": "rolling_avg_dots_3",
     "prev_total_progress": "total_progress",
     "prev_pct_change": "pct_change_total",
@@ -133,10 +140,11 @@ LEAKAGE_PAIRS = {
 
 COUNTERS = {c: ("dots", bound) for c, bound in zip(FAMILIES["above_tier_counts"], SETTINGS.tier_bounds)}
 CONSTANTS = ["first_comp_dots", "first_comp_total_per_bw", "first_comp_age", "first_comp_percentile_vs_sex_wc", "starting_tier"]
+MAXIMA = {"prev_personal_best_total": "total", "prev_dots_personal_best": "dots", "max_dots_so_far": "dots"}
 
 
 def leakage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.leakage_report(base_layer(spark, sf_dir), KEYS, "cumulative_comps", LEAKAGE_PAIRS, COUNTERS, CONSTANTS)
+    return P.leakage_report(base_layer(spark, sf_dir), KEYS, "cumulative_comps", LEAKAGE_PAIRS, COUNTERS, CONSTANTS, MAXIMA)
 
 
 def rating(period: str):
@@ -200,6 +208,7 @@ def _leakage_sql() -> str:
     for c, (source, bound) in COUNTERS.items():
         rules[c] = off(c, f"CASE WHEN b.primary_key IS NULL THEN 0 ELSE b.{c} + CASE WHEN b.{source} >= {bound} THEN 1 ELSE 0 END END")
     rules.update({c: f"b.primary_key IS NOT NULL AND {off(c, f'b.{c}')}" for c in CONSTANTS})
+    rules.update({c: off(c, f"greatest(b.{c}, b.{s})") for c, s in MAXIMA.items()})
     tests = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {rule}) AS mismatches FROM base a LEFT JOIN base b "
         f"ON a.primary_key = b.primary_key AND a.cumulative_comps = b.cumulative_comps + 1"
