@@ -128,6 +128,17 @@ def test_near_groups(spark, monkeypatch, least):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_groups(rows)
 
 
+def test_parities_bound_the_features_two_sets_differ_in():
+    texts = [r[1] for r in near_texts(5) if r[1]] + ["", "a b"]
+    sets = near_dedup.Sets(pa.array(texts))
+    of = [set(sets.hashes[a:b].tolist()) for a, b in zip(sets.first, sets.first[1:])]
+    bits = [sum((v & (2**64 - 1)) << (64 * i) for i, v in enumerate(longs)) for longs in sets.parities().to_pylist()]
+    for i in range(0, len(of), 3):
+        for j in range(len(of)):
+            assert bin(bits[i] ^ bits[j]).count("1") <= len(of[i] ^ of[j])
+            assert (len(of[i] ^ of[j]) - bin(bits[i] ^ bits[j]).count("1")) % 2 == 0
+
+
 def test_near_groups_of_odd_tables(spark):
     assert near_dedup.near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "q r s"), (2, "a b c d e f")]
