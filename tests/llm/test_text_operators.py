@@ -222,3 +222,14 @@ def test_license_scan(spark):
     assert (got[5].base_labels, got[5].labels) == ("", "apache")  # seven of the notice's eight words
     assert got[8].first_word == 3003 and got[9000].n_words == 0 and got[9000].first_word is None
     assert license_scan.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_encoder_equals_whole_text_encoding():
+    from tracklane.llm.packing import Encoder, vocabulary_path
+
+    encoder = Encoder.at(vocabulary_path())
+    parts = ["", " ", "  ", "\n", "\r\n", "a", "B.", "don't", "été", "　", "\x0b", "\x1c", "\x85", "12", "<|endoftext|>", "​"]
+    texts = [x + y + z for x in parts for y in parts for z in (" b", "\nB", " ", "")] + ["one two\nthree four", "one  two \n\nthree"]
+    got = [ids.tolist() for ids in encoder.encode(pa.array(texts))]
+    assert got == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(pa.array([], pa.string())) == []

@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ END = 1  # closes each document
 SHARD = 2048  # documents of a shard
 TERMS = 24  # ids of a seed that are asked for
 K1, B = 1.2, 0.75
-CACHED = 1 << 18  # pieces of text whose ids a worker remembers
+CACHED = 1 << 19  # pieces of text whose ids a worker remembers
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -42,14 +43,15 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE file; repeated pieces are encoded once.
+    """Ids of whole texts by a byte-level BPE file; each distinct piece is encoded once while remembered.
 
-    The tokenizer never joins across a single blank between two other characters, so a
-    text is cut there and the ids of the pieces follow one another.
+    The tokenizer never joins across a single blank or line end between two other characters:
+    a text is cut before each and the ids of the pieces follow one another.
     """
 
     _by_path: dict[str, Encoder] = {}
-    _plain = re.compile(r"\s\s|^\s|\s\Z")
+    _space = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"  # whatever a pattern takes for white space
+    _gap = f"{_space}{_space}|^{_space}|{_space}$"  # a text without gaps is cut before every blank
     _cut = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
@@ -57,8 +59,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.opening: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.blank = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin with a blank
+        self.blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -66,22 +70,41 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in known]
-        encoded = self.tokenizer.encode_batch([lead + p for p in new], add_special_tokens=False)
-        known.update((p, np.array(e.ids, dtype="<u2").tobytes()) for p, e in zip(new, encoded))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Two bytes an id, without the closing one."""
-        cuts = [self._cut.split(t) if self._plain.search(t) else t.split(" ") for t in texts]
-        if len(self.inner) + len(self.opening) > CACHED:
-            self.inner, self.opening = {}, {}
-        out = []
-        for cut in cuts:  # the pieces of one text at least are known when its ids are joined
-            self._learn(self.opening, set(cut[:1]), "")
-            self._learn(self.inner, set(cut[1:]), " ")
-            out.append(self.opening[cut[0]] + b"".join(map(self.inner.__getitem__, cut[1:])))
-        return out
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.known) > CACHED:
+            self.known = {}
+        new = [p for p in pieces if p not in self.known]
+        # a piece whose only blank is its first character shows where it begins: such pieces are one text
+        joined = [p for p in new if p.rfind(" ") == 0]
+        encoded = self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids
+        ids = np.array(encoded, dtype="<u2")
+        at = np.append(np.flatnonzero(self.blank[ids]), len(ids)).tolist()
+        data = ids.tobytes()
+        self.known.update((p, data[2 * a : 2 * b]) for p, a, b in zip(joined, at, at[1:], strict=False))
+        other = [p for p in new if p.rfind(" ") != 0]
+        encoded = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        self.known.update((p, np.array(e.ids, dtype="<u2").tobytes()) for p, e in zip(other, encoded))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, without the closing one."""
+        gaps = pc.match_substring_regex(texts, self._gap)
+        uneven = [self._cut.split(t) for t in texts.filter(gaps).to_pylist()]
+        even = pc.replace_substring(texts.filter(pc.invert(gaps)), "\n", " \n")
+        cut = pa.concat_arrays([pc.split_pattern(even, " "), pa.array(uneven, pa.list_(pa.string()))])
+        gaps = gaps.to_numpy(zero_copy_only=False)
+        place = np.argsort(np.concatenate([np.flatnonzero(~gaps), np.flatnonzero(gaps)]))
+        first = np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy(), dtype=np.int64)])
+        flat = cut.flatten()
+        pieces, opening = flat.dictionary_encode(), flat.take(pa.array(first[:-1])).dictionary_encode()
+        code = pieces.indices.to_numpy().astype(np.int64)
+        code[first[:-1]] = opening.indices.to_numpy() + np.int64(len(pieces.dictionary))
+        distinct = [p if p[:1] == "\n" else " " + p for p in pieces.dictionary.to_pylist()] + opening.dictionary.to_pylist()
+        self._learn(distinct)
+        ids = [self.known[p] for p in distinct]
+        size = np.array([len(i) // 2 for i in ids], dtype=np.int64)[code]
+        end = np.concatenate([[0], np.cumsum(size)])
+        out = np.frombuffer(b"".join([ids[c] for c in code.tolist()]), dtype="<u2")
+        return [out[end[first[i]] : end[first[i + 1]]] for i in place]
 
 
 class Index:
@@ -188,8 +211,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         number = (task.partitionId() if task else 0) * 7919
         for batch in cut_batches(batches):
             out = []
-            for ids in encoder.encode(batch["text"].to_pylist()):
-                ids = np.append(np.frombuffer(ids, dtype="<u2"), np.uint16(END))
+            for ids in encoder.encode(batch["text"]):
+                ids = np.append(ids, np.uint16(END))
                 whole = len(ids) // WINDOW * WINDOW
                 # whole windows are sequences already: their checksums (and ids, if asked for) are all that travels
                 crcs = [zlib.crc32(ids[a : a + WINDOW].astype("<u4").tobytes()) for a in range(0, whole, WINDOW)]
