@@ -67,11 +67,10 @@ def contests(seed, days=6, people=14):
     return rows
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("many_files", [False, True])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_daily_rounds_equal_the_loop(spark, seed, hot, monkeypatch):
-    if hot:
-        monkeypatch.setattr(rating, "HOT_FIELD", 0)
+def test_daily_rounds_equal_the_loop(spark, seed, many_files, monkeypatch):
+    if many_files:
         monkeypatch.setattr(rating, "FILE_ROWS", 2)
     rows = contests(seed)
     want = loop(rows)

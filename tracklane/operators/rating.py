@@ -18,8 +18,6 @@ from tracklane.config import SETTINGS, Settings
 from tracklane.operators.positions import bucket_of
 from tracklane.runtime import new_path
 
-# A round whose largest field has more rows than this averages fields before shuffling them.
-HOT_FIELD = 1_000_000
 FILE_ROWS = 5_000_000
 
 PERIODS = ("day", "week", "month", "quarter", "year")
@@ -57,7 +55,6 @@ def field_rating(
     stored = spark.read.parquet(events_path)
     rounds = stored.groupBy("_period").agg(
         F.count("_previous").alias("returning"),
-        F.max("_size").alias("largest"),
         F.count(F.lit(1)).alias("rows"),
     )
     rounds = rounds.orderBy("_period").collect()
@@ -72,7 +69,7 @@ def field_rating(
             contests = contests.join(ratings, entity, "left")
         else:
             contests = contests.withColumn("_rating", F.lit(None).cast("double"))
-        rated = _rate(contests, row["largest"] > HOT_FIELD, settings)
+        rated = _rate(contests, settings)
         out_schema = rated.drop("_next").schema
         # A next period is written by one task per FILE_ROWS rows of the round.
         part = F.pmod(F.xxhash64(entity), F.lit(1 + row["rows"] // FILE_ROWS))
@@ -140,8 +137,7 @@ def _contests(
 
 def _ratings_after(rated: DataFrame, entity: str) -> DataFrame:
     """Rating of each entity after a round: one change per field, added over its fields."""
-    # One exchange on the entity serves both aggregates and the join that follows.
-    per_field = rated.repartition(entity).groupBy(entity, "_field").agg(
+    per_field = rated.groupBy(entity, "_field").agg(
         F.first("elo_rating").alias("_before"), F.max_by("elo_change", "_position").alias("_change")
     )
     return per_field.groupBy(entity).agg(
@@ -149,13 +145,11 @@ def _ratings_after(rated: DataFrame, entity: str) -> DataFrame:
     )
 
 
-def _rate(contests: DataFrame, hot: bool, settings: Settings) -> DataFrame:
+def _rate(contests: DataFrame, settings: Settings) -> DataFrame:
     rows = contests.withColumn("elo_rating", F.coalesce("_rating", F.lit(settings.rating_initial))).drop("_rating")
-    if hot:  # average before the shuffle
-        means = rows.groupBy("_field").agg(F.avg("elo_rating").alias("meet_field_elo"))
-        rows = rows.join(means, "_field")
-    else:
-        rows = rows.withColumn("meet_field_elo", F.avg("elo_rating").over(Window.partitionBy("_field")))
+    # averaged before the shuffle, so that a field's rows need not meet in one task
+    means = rows.groupBy("_field").agg(F.avg("elo_rating").alias("meet_field_elo"))
+    rows = rows.join(means, "_field")
     actual = F.try_divide(F.col("_position"), F.col("_size") - 1)
     expected = 1.0 / (1.0 + F.pow(F.lit(10.0), (F.col("meet_field_elo") - F.col("elo_rating")) / 400.0))
     return rows.withColumn("elo_change", F.when(F.col("_size") > 1, F.col("_k") * (actual - expected)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import PurePosixPath
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,15 +38,15 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = new_path(spark, "reference-csv"), new_path(spark, "reference-tables")
-    names = {"nation": "n_nationkey int, n_name string, n_regionkey int", "region": "r_regionkey int, r_name string"}
-    schemas = {}
-    for name in names:
+    names = {}
+    for name in ("nation", "region"):
         dim = table(spark, sf_dir, name)
         # A reference table is one small CSV file in the folder.
         staged = f"{source}-{name}"
         dim.coalesce(1).write.option("header", True).csv(staged)
-        schemas[name] = dim.schema
-        written = convert_reference_tables(spark, staged, f"{target}/{name}", None)
+        # The staged file carries Spark's part name, so its schema goes under that name.
+        stems = {PurePosixPath(f).stem: dim.schema for f in spark.read.format("binaryFile").load(staged).inputFiles()}
+        written = convert_reference_tables(spark, staged, f"{target}/{name}", stems)
         names[name] = next(iter(written.values()))
     nation, region = spark.read.parquet(names["nation"]), spark.read.parquet(names["region"])
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_regionkey", "r_name")
