@@ -90,6 +90,31 @@ def test_neighbours_share_terms_best_first():
     assert found.tolist() == [1, 2]
 
 
+def test_neighbours_are_found_over_the_whole_corpus(spark):
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(3000)]
+    texts = [" ".join(draw.sample(words, 12)) for _ in range(3001)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i + 3001, t + " again") for i, t in enumerate(texts)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    held: dict[int, set] = {}
+    for r in got:
+        held.setdefault(r.doc_id, set()).add(r.sequence_id)
+    assert len(held) == 6002
+    assert sum(bool(held[i] & held[i + 3001]) for i in range(3001)) > 0.8 * 3001
+
+
+def test_a_seed_asks_with_all_ids_of_the_whole_document():
+    long = np.arange(100, 100 + packing.WINDOW)
+    rests = [np.array([7, 8]), np.array([150, 151]), np.array([9])]
+    index = packing.Index(rests, [packing.packed_terms(np.append(long, [7, 8])), None, None])
+    assert index.neighbours(index.ids_of(0), np.array([False, True, True])).tolist() == [1]
+    assert index.neighbours(index.ids_of(1), np.array([True, False, True])).tolist() == [0]
+    common = np.arange(40)
+    index = packing.Index([np.append(common, range(50, 80)), np.arange(50, 60), common, np.arange(50, 80)])
+    best = index.neighbours(index.ids_of(0), np.array([False, True, True, True]))
+    assert sorted(best.tolist()) == [1, 2, 3]
+
+
 @pytest.mark.parametrize(
     ("query", "target", "least"), [(quality.op5_quality, "quality", 0.95), (toxicity.op10_toxicity, "toxic", 0.93)]
 )

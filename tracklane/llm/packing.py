@@ -1,14 +1,17 @@
 """Packing: lexical retrieval fills the training window of each seed document.
 
 A document's ids are cut into whole windows and a rest shorter than a window; whole
-windows are sequences already. The rests are dealt over shards of about ``SHARD``
-documents, round robin, so that neither a long text nor a much-repeated row makes a shard large.
-Each shard has its own BM25 inverted index over the ids of its rests. The rest of a
-seed opens a window, the index returns its unused neighbours in order of score, and they
-fill the window one after another; what no longer fits of the last one opens the next
-window. What a shard has left at its end is cut into powers of two, which need no padding.
-
-One pass over the texts, one shuffle of the rests (two bytes an id).
+windows are sequences already. The rests are placed by content over the whole corpus: each
+document's BM25 vector, taken to ``DIMS`` principal directions, runs down a tree whose leaves
+lie in order, and ranges of that order are cut into shards of about ``SHARD`` documents. Copies
+get the same place, and a group that is larger than a shard is cut by document number.
+Each shard has its own BM25 inverted index over all ids of its documents, with the frequencies
+of the corpus. The rest of a seed opens a window, the index returns its unused neighbours in order
+of score over all of the seed's ids, and they fill the window one after another; what no longer fits
+of the last one opens the next window. What a shard has left at its end is cut into powers of two,
+which need no padding. A neighbour in another shard is not found.
+
+One pass over the texts, whose ids (two bytes each) are stored; the passes after it read those.
 """
 
 from __future__ import annotations
@@ -25,12 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.llm.common import pieces as cut_batches
-from tracklane.llm.common import ship, table, text_of
+from tracklane.llm.common import Scratch, ship, table, text_of
 
 WINDOW = 2048
 END = 1  # closes each document
 SHARD = 2048  # documents of a shard
-TERMS = 24  # ids of a seed that are asked for
+SHARD_BYTES = 1 << 24  # and bytes of their ids
+IDS = 1 << 16  # the vocabulary has to fit two bytes
+DIMS = 32  # principal directions by which documents are placed
+FITTED = 4000  # documents the directions are taken from
+PLACED = 32  # documents a shard by which the tree is cut
 K1, B = 1.2, 0.75
 CACHED = 1 << 19  # pieces of text whose ids a worker remembers
 VOCABULARY = "byte_bpe_50k.json"
@@ -107,40 +114,148 @@ class Encoder:
         return [out[end[first[i]] : end[first[i + 1]]] for i in place]
 
 
-class Index:
-    """BM25 over the ids of a shard's rests: postings in order of id, with their weights."""
+def terms_of(rests: list[np.ndarray], terms: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, count) of whole documents, in this order: from the rest, or from ``packed_terms`` where given."""
+    long = [k for k, t in enumerate(terms) if t]
+    size = np.array([0 if t else len(r) for r, t in zip(rests, terms)], dtype=np.int64)
+    ids = np.concatenate([*(r for r, t in zip(rests, terms) if not t), np.zeros(0, np.int64)]).astype(np.int64)
+    pairs, count = np.unique(np.repeat(np.arange(len(rests)), size) * IDS + ids, return_counts=True)
+    if long:
+        found = [(np.frombuffer(t, "<u2", len(t) // 6), np.frombuffer(t, "<u4", len(t) // 6, len(t) // 6 * 2)) for t in map(terms.__getitem__, long)]
+        pairs = np.concatenate([pairs, *(k * IDS + i.astype(np.int64) for k, (i, _) in zip(long, found))])
+        count = np.concatenate([count, *(c.astype(np.int64) for _, c in found)])
+        order = np.argsort(pairs, kind="stable")
+        pairs, count = pairs[order], count[order]
+    return pairs // IDS, pairs % IDS, count
 
-    def __init__(self, rests: list[np.ndarray]):
-        n = len(rests)
-        size = np.array([len(r) for r in rests], dtype=np.int64)
-        document = np.repeat(np.arange(n), size)
-        ids = np.concatenate([*rests, np.zeros(0, np.int64)]).astype(np.int64)
-        pairs, count = np.unique(ids * max(n, 1) + document, return_counts=True)
-        self.id, self.document = pairs // max(n, 1), pairs % max(n, 1)
-        self.first = np.searchsorted(self.id, np.arange((self.id[-1] + 2) if len(pairs) else 1))
-        held = np.diff(self.first)
-        self.idf = np.log1p((n - held + 0.5) / (held + 0.5))
-        norm = K1 * (1 - B + B * size / max(size.mean() if n else 0, 1))
-        self.weight = self.idf[self.id] * count * (K1 + 1) / (count + norm[self.document])
-        self.n = n
-
-    def neighbours(self, rest: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share asked ids with ``rest``, best first, ties by number."""
-        ids = np.unique(rest)
-        ids = ids[np.diff(self.first)[ids] > 1]
-        asked = ids[np.lexsort((ids, -self.idf[ids]))[:TERMS]]
-        if not len(asked):
-            return asked
-        rows = np.concatenate([np.arange(self.first[i], self.first[i + 1]) for i in asked])
-        score = np.bincount(self.document[rows], weights=self.weight[rows], minlength=self.n)
+
+def packed_terms(ids: np.ndarray) -> bytes:
+    found, count = np.unique(ids, return_counts=True)
+    return found.astype("<u2").tobytes() + count.astype("<u4").tobytes()
+
+
+class Corpus:
+    """What BM25 needs of the whole corpus: documents that hold each id, and the mean length."""
+
+    def __init__(self, documents: int, ids: int, held: np.ndarray):
+        self.idf = np.log1p((documents - held + 0.5) / (held + 0.5))
+        self.mean = max(ids / max(documents, 1), 1)
+
+    def weights(self, n: int, document: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        size = np.bincount(document, weights=count, minlength=n)
+        norm = K1 * (1 - B + B * size / self.mean)
+        return self.idf[ids] * count * (K1 + 1) / (count + norm[document])
+
+
+class Index:
+    """BM25 over all ids of a shard's documents: postings in order of id, with their weights."""
+
+    def __init__(self, rests: list[np.ndarray], terms: list[bytes | None] | None = None, corpus: Corpus | None = None):
+        self.n = len(rests)
+        document, ids, count = terms_of(rests, terms or [None] * self.n)
+        corpus = corpus or Corpus(self.n, int(count.sum()), np.bincount(ids, minlength=IDS))
+        weight = corpus.weights(self.n, document, ids, count)
+        self.ids, self.own = ids, np.searchsorted(document, np.arange(self.n + 1))
+        order = np.argsort(ids, kind="stable")
+        self._post(ids[order], document[order], weight[order])
+
+    def _post(self, ids: np.ndarray, document: np.ndarray, weight: np.ndarray) -> None:
+        self.id, self.document, self.weight = ids, document, weight
+        self.first = np.searchsorted(ids, np.arange(IDS + 1))
+
+    def ids_of(self, k: int) -> np.ndarray:
+        """The distinct ids of a whole document."""
+        return self.ids[self.own[k] : self.own[k + 1]]
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Forget documents that are used."""
+        kept = unused[self.document]
+        self._post(self.id[kept], self.document[kept], self.weight[kept])
+
+    def neighbours(self, ids: np.ndarray, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share ids with a seed's, best first, ties by number."""
+        spans = [(self.first[i], self.first[i + 1]) for i in np.unique(ids)]
+        spans = [(a, b) for a, b in spans if b > a]
+        if not spans:
+            return np.zeros(0, dtype=np.int64)
+        document, weight = (np.concatenate([x[a:b] for a, b in spans]) for x in (self.document, self.weight))
+        score = np.bincount(document, weights=weight, minlength=self.n)
         score[~unused] = 0
         found = np.flatnonzero(score)
         return found[np.lexsort((found, -score[found]))]
 
 
-def windows(rests: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+class Places:
+    """The order in which documents are dealt to shards: leaves of a tree over principal directions."""
+
+    def __init__(self, corpus: Corpus, rests: list[np.ndarray], terms: list[bytes | None]):
+        """The directions, by subspace iteration over the given documents."""
+        self.corpus, self.tree = corpus, None
+        n = len(rests)
+        document, ids, weight = self._unit(rests, terms)
+        first = np.searchsorted(document, np.arange(n + 1))
+        self.basis = np.random.default_rng(7).standard_normal((IDS, DIMS)).astype(np.float32)
+        for _ in range(3):
+            vectors, _r = np.linalg.qr(self._sums(first, ids, weight))
+            basis = np.zeros((IDS, vectors.shape[1]), dtype=np.float32)
+            for k in range(n):
+                own = slice(first[k], first[k + 1])
+                basis[ids[own]] += np.outer(weight[own], vectors[k])
+            self.basis, _r = np.linalg.qr(basis)
+
+    def _unit(self, rests, terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        document, ids, count = terms_of(rests, terms)
+        weight = self.corpus.weights(len(rests), document, ids, count)
+        norm = np.sqrt(np.bincount(document, weights=weight**2, minlength=len(rests)))
+        return document, ids, (weight / np.maximum(norm[document], 1e-12)).astype(np.float32)
+
+    def _sums(self, first: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(first) - 1, self.basis.shape[1]), dtype=np.float32)
+        for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            out[k] = weight[a:b] @ self.basis[ids[a:b]]
+        return out
+
+    def vectors(self, rests: list[np.ndarray], terms: list[bytes | None]) -> np.ndarray:
+        document, ids, weight = self._unit(rests, terms)
+        return self._sums(np.searchsorted(document, np.arange(len(rests) + 1)), ids, weight)
+
+    def cut(self, vectors: np.ndarray, shards: int) -> None:
+        """Halve the shards, and the vectors along their main direction with them, down to one shard."""
+        self.leaves = 0
+        self.tree = self._node(vectors.astype(np.float64), shards)
+
+    def _node(self, x: np.ndarray, shards: int):
+        spread = x - x.mean(axis=0) if len(x) else x
+        direction = np.linalg.eigh(spread.T @ spread)[1][:, -1]
+        at = x @ direction
+        if shards > 1 and len(x) > 1:
+            bound = np.sort(at)[len(at) * (shards // 2) // shards]
+            low = at < bound
+            if low.any():
+                return direction, bound, self._node(x[low], shards // 2), self._node(x[~low], shards - shards // 2)
+        self.leaves += 1
+        return direction, None, self.leaves, None
+
+    def of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each vector, and its place along the leaf's main direction."""
+        leaf, along = np.zeros(len(vectors), dtype=np.int64), np.zeros(len(vectors))
+        todo = [(self.tree, np.arange(len(vectors)))]
+        while todo:
+            (direction, bound, left, right), rows = todo.pop()
+            at = vectors[rows] @ direction
+            if bound is None:
+                leaf[rows], along[rows] = left, at
+            else:
+                todo += [(left, rows[at < bound]), (right, rows[at >= bound])]
+        return leaf, along
+
+
+def windows(
+    rests: list[np.ndarray], terms: list[bytes | None] | None = None, corpus: Corpus | None = None
+) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, begin, end) pieces that hold every rest once; all but the last are full."""
-    index, unused = Index(rests), np.array([len(r) > 0 for r in rests], dtype=bool)
+    index, unused = Index(rests, terms, corpus), np.array([len(r) > 0 for r in rests], dtype=bool)
+    indexed = len(rests)
     out, carried, scan = [], None, 0
     while True:
         if carried is None:
@@ -152,7 +267,10 @@ def windows(rests: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
         seed, begin = carried
         pieces, room = [(seed, begin, len(rests[seed]))], WINDOW - (len(rests[seed]) - begin)
         carried = None
-        queue = iter(index.neighbours(rests[seed], unused)) if room > 0 else iter(())
+        if 2 * np.count_nonzero(unused) < indexed:
+            index.keep(unused)
+            indexed = np.count_nonzero(unused)
+        queue = iter(index.neighbours(index.ids_of(seed), unused)) if room > 0 else iter(())
         while room > 0:
             k = next(queue, None)
             if k is None:  # nothing shares an id: the next unused document
@@ -193,22 +311,35 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
 PIECES = "key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` on demand.
+def _rests(batch) -> tuple[list[np.ndarray], list[bytes | None]]:
+    return [np.frombuffer(r, dtype="<u2") for r in batch["rest"].to_pylist()], batch["terms"].to_pylist()
 
-    A null or empty text is the closing id alone. Rows that repeat a key or a text are
-    documents of their own. An empty table gives no row. ``ids`` are unsigned little-endian 32-bit integers.
-    """
-    spark = docs.sparkSession
-    ship(spark)
+
+def _shards(batches, with_ids: bool):
+    """Rows in their order, as tables of about one shard; the last is between a half and one and a half if more came."""
+    held, load = None, np.zeros(0)
+    for batch in batches:
+        rest, terms = (pc.fill_null(pc.binary_length(batch[c]), 0).to_numpy().astype(np.int64) for c in ("rest", "terms"))
+        size = rest + terms + with_ids * (2 * batch["size"].to_numpy() - rest) // 4
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        load = np.concatenate([load, np.maximum(1 / SHARD, size / SHARD_BYTES)])
+        while load.sum() > 1.5 and len(load) > 1:
+            cut = max(1, int(np.searchsorted(np.cumsum(load), 1 + 1e-9)))
+            yield held.slice(0, cut).combine_chunks()
+            held, load = held.slice(cut), load[cut:]
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def tokenized(docs: DataFrame, key: str, text: str, path: str | None, with_ids: bool) -> DataFrame:
+    """One row per document: its number, key, size, and its ids as whole windows and rest."""
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    kind = dict(rows.dtypes)["key"]
-    shards = max(1, -(-docs.count() // SHARD))
 
     def cut(batches):
         encoder = Encoder.at(path or vocabulary_path())
         task = TaskContext.get()
-        number = (task.partitionId() if task else 0) * 7919
+        number = (task.partitionId() if task else 0) << 33
         for batch in cut_batches(batches):
             out = []
             for ids in encoder.encode(batch["text"]):
@@ -216,28 +347,97 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
                 whole = len(ids) // WINDOW * WINDOW
                 # whole windows are sequences already: their checksums (and ids, if asked for) are all that travels
                 crcs = [zlib.crc32(ids[a : a + WINDOW].astype("<u4").tobytes()) for a in range(0, whole, WINDOW)]
-                out.append((number % shards, len(ids), crcs, ids[:whole].tobytes() if with_ids else None, ids[whole:].tobytes()))
+                kept = ids[:whole].tobytes() if with_ids else None
+                out.append((number, len(ids), crcs, kept, ids[whole:].tobytes(), packed_terms(ids) if whole else None))
                 number += 1
-            shard, size, crcs, whole, rest = zip(*out) if out else [()] * 5
+            numbers, size, crcs, kept, rest, terms = zip(*out) if out else [()] * 6
             columns = [
-                pa.array(shard, pa.int64()), batch["key"], pa.array(size, pa.int64()), pa.array(crcs, pa.list_(pa.int64())),
-                pa.array(whole, pa.binary()), pa.array(rest, pa.binary()),
+                pa.array(numbers, pa.int64()), batch["key"], pa.array(size, pa.int64()), pa.array(crcs, pa.list_(pa.int64())),
+                pa.array(kept, pa.binary()), pa.array(rest, pa.binary()), pa.array(terms, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "key", "size", "crcs", "whole", "rest"])
+            yield pa.RecordBatch.from_arrays(columns, ["number", "key", "size", "crcs", "whole", "rest", "terms"])
 
-    def fill(shard: pa.Table) -> pa.Table:
-        shard = shard.combine_chunks()
-        number = shard["shard"][0].as_py() << 32
+    kind = dict(rows.dtypes)["key"]
+    return rows.mapInArrow(
+        cut, f"number long, key {kind}, size long, crcs array<long>, whole binary, rest binary, terms binary"
+    )
+
+
+def frequencies(stored: DataFrame, with_ids: bool) -> tuple[Corpus, int, int]:
+    """The corpus, its documents and the shards they make; at most one row per id reaches the driver."""
+
+    def count(batches):
+        held, documents, ids, size = np.zeros(IDS, dtype=np.int64), 0, 0, 0
+        for batch in batches:
+            rests, terms = _rests(batch)
+            held += np.bincount(terms_of(rests, terms)[1], minlength=IDS)
+            rest = sum(r.nbytes for r in rests)
+            documents, ids = documents + len(rests), ids + pc.sum(batch["size"]).as_py()
+            size += rest + sum(len(t or b"") for t in terms) + with_ids * (2 * pc.sum(batch["size"]).as_py() - rest) // 4
+        found = np.flatnonzero(held)
+        keys, values = np.append(found, [-1, -2, -3]), np.append(held[found], [documents, ids, size])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.int64())], ["id", "n"])
+
+    rows = stored.select("size", "rest", "terms").mapInArrow(count, "id long, n long")
+    found = {r.id: r.n for r in rows.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    documents, ids, size = (found.pop(k, 0) for k in (-1, -2, -3))
+    held = np.zeros(IDS, dtype=np.int64)
+    held[list(found)] = list(found.values())
+    return Corpus(documents, ids, held), documents, max(1, -(-documents // SHARD), -(-size // SHARD_BYTES))
+
+
+def places(stored: DataFrame, corpus: Corpus, documents: int, shards: int) -> Places:
+    """The order of the corpus, fitted on documents drawn by hash; every document is placed by it."""
+
+    def drawn(n: int) -> DataFrame:
+        one_in = max(1, documents // n)
+        return stored.filter(F.pmod(F.xxhash64("number"), F.lit(one_in)) == 0).select("number", "rest", "terms")
+
+    rows = sorted(drawn(FITTED).collect())
+    found = Places(corpus, [np.frombuffer(r.rest, dtype="<u2") for r in rows], [r.terms and bytes(r.terms) for r in rows])
+
+    def project(batches):
+        for batch in batches:
+            vectors = found.vectors(*_rests(batch)).astype("<f4")
+            column = pa.array([v.tobytes() for v in vectors], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["number"], column], ["number", "vector"])
+
+    rows = sorted(drawn(max(FITTED, PLACED * shards)).mapInArrow(project, "number long, vector binary").collect())
+    found.cut(np.array([np.frombuffer(r.vector, dtype="<f4") for r in rows]), shards)
+    return found
+
+
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` on demand.
+
+    A null or empty text is the closing id alone. Rows that repeat a key or a text are
+    documents of their own. An empty table gives no row. ``ids`` are unsigned little-endian 32-bit integers.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    stored = Scratch(spark, "packing").store(tokenized(docs, key, text, path, with_ids))
+    kind = dict(stored.dtypes)["key"]
+    corpus, documents, shards = frequencies(stored, with_ids)
+    order = places(stored, corpus, documents, shards) if shards > 1 else None
+
+    def place(batches):
+        for batch in batches:
+            leaf, along = order.of(order.vectors(*_rests(batch)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaf), pa.array(along), *batch.columns], ["leaf", "along", *batch.schema.names]
+            )
+
+    def fill(shard: pa.Table, number: int) -> tuple[pa.Table, int]:
         size = shard["size"].to_pylist()
         crcs, whole = shard["crcs"].to_pylist(), shard["whole"].to_pylist() if with_ids else None
-        rests = [np.frombuffer(r.as_buffer(), dtype="<u2") if r.as_buffer().size else np.zeros(0, "<u2") for r in shard["rest"]]
+        rests, terms = _rests(shard)
         out = []
         for k, found in enumerate(crcs):
             for i, crc in enumerate(found):
                 ids = whole[k][2 * i * WINDOW : 2 * (i + 1) * WINDOW] if with_ids else None
                 out.append((k, i * WINDOW, WINDOW, crc, number, 0, ids))
                 number += 1
-        sequences = windows(rests)
+        sequences = windows(rests, terms, corpus)
         if sequences and sum(e - b for _, b, e in sequences[-1]) < WINDOW:
             sequences[-1:] = powers_of_two(sequences[-1])
         for pieces in sequences:
@@ -256,11 +456,24 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         if with_ids:
             wide = [np.frombuffer(i, dtype="<u2").astype("<u4").tobytes() for i in ids]
             columns, names = [*columns, pa.array(wide, pa.binary())], [*names, "ids"]
-        return pa.Table.from_arrays(columns, names)
+        return pa.Table.from_arrays(columns, names), number
+
+    def fill_all(batches):
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 33
+        for shard in _shards(batches, with_ids):
+            table, number = fill(shard, number)
+            yield from table.to_batches()
 
-    dealt = rows.mapInArrow(cut, f"shard long, key {kind}, size long, crcs array<long>, whole binary, rest binary")
     schema = PIECES.format(kind=kind) + (", ids binary" if with_ids else "")
-    return dealt.groupBy("shard").applyInArrow(fill, schema).withColumnRenamed("key", key)
+    if order is None:
+        dealt = stored.repartition(1).sortWithinPartitions("number")
+    else:
+        placed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema)
+        rows = stored.mapInArrow(place, f"leaf long, along double, {placed}")
+        dealt = rows.repartitionByRange(shards, "leaf", "along", "number").sortWithinPartitions("leaf", "along", "number")
+        dealt = dealt.drop("leaf", "along")
+    return dealt.mapInArrow(fill_all, schema).withColumnRenamed("key", key)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
