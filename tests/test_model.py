@@ -86,3 +86,37 @@ def test_compare_versions(spark):
     table = ML.compare_versions({"v08": scores(0.30), "v09": scores(0.35)}, "kg")
     got = {r.version: r.r2_delta for r in table.collect()}
     assert got == {"v08": None, "v09": pytest.approx(0.05)}
+
+
+def test_registered_fits_use_the_defaults_of_the_job(monkeypatch):
+    import inspect
+
+    from tracklane.plans import jobs
+    from tracklane.queries import modelling
+
+    seen = []
+
+    def recorder(name):
+        signature = inspect.signature(getattr(ML, name))
+
+        def record(*args, **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.append(bound.arguments.get("trial", bound.arguments.get("trials")))
+            raise StopIteration
+
+        return record
+
+    for name in ("train_gbt", "param_search", "dual_target"):
+        monkeypatch.setattr(ML, name, recorder(name))
+    monkeypatch.setattr(modelling, "rated_layer", lambda *a: None)
+    monkeypatch.setattr(modelling, "_rated_split", lambda *a: None)
+    for query in (modelling.train_gbt, modelling.feature_importance, modelling.dual_target, modelling.param_search):
+        with pytest.raises(StopIteration):
+            query(None, "")
+    job = inspect.signature(jobs.build_models).parameters["trial"].default
+    assert seen[:3] == [job] * 3
+    trials = seen[3]
+    assert len(trials) == 500 and {t.max_depth for t in trials} == set(range(3, 13))
+    assert min(t.max_iter for t in trials) == 200 and max(t.max_iter for t in trials) == 2000
+    assert min(t.step_size for t in trials) < 1e-6

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
@@ -22,6 +23,12 @@ KEYS = ["primary_key", "date", "meet_name"]
 CATEGORICAL = ["parent_federation"]
 LEAST_BINS = 64
 
+# The search as the reference runs it; rounds from, to, in steps of.
+SEARCH_TRIALS = 500
+SEARCH_DEPTHS = (3, 12)
+SEARCH_STEPS = (1e-8, 1.0)
+SEARCH_ROUNDS = (200, 2000, 100)
+
 # The feature set, in the order of the model frame.
 FEATURES = [
     "bodyweight",
@@ -203,14 +210,22 @@ class Trial:
         return gbt.setValidationIndicatorCol(validation) if validation else gbt
 
 
-def random_trials(n: int, max_iter: int = 50, seed: int = 7) -> list[Trial]:
-    """``n`` draws from the search space; the same seed gives the same list."""
+def random_trials(
+    n: int = SEARCH_TRIALS,
+    max_iter: int | None = None,
+    seed: int = 7,
+    depths: tuple[int, int] = SEARCH_DEPTHS,
+    steps: tuple[float, float] = SEARCH_STEPS,
+    rounds: tuple[int, int, int] = SEARCH_ROUNDS,
+) -> list[Trial]:
+    """``n`` draws from the search space; the same seed gives the same list. ``max_iter`` fixes the rounds."""
     draw = random.Random(seed)
+    low, high = (math.log10(s) for s in steps)
     return [
         Trial(
-            max_depth=draw.randint(3, 8),
-            step_size=10 ** draw.uniform(-2, 0),
-            max_iter=max_iter,
+            max_depth=draw.randint(*depths),
+            step_size=10 ** draw.uniform(low, high),
+            max_iter=max_iter or draw.randrange(rounds[0], rounds[1] + 1, rounds[2]),
             subsample=draw.uniform(0.5, 1.0),
             feature_share=draw.uniform(0.3, 1.0),
             min_instances=draw.randint(1, 30),

@@ -99,7 +99,6 @@ def version_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- fits: no SQL twin ----------------------------------------------------------
 
 FEATURES = ML.feature_set(10)
-QUICK = ML.Trial(max_depth=3, max_iter=8)
 
 
 def _rated_split(spark: SparkSession, sf_dir: str, features=FEATURES) -> DataFrame:
@@ -107,20 +106,20 @@ def _rated_split(spark: SparkSession, sf_dir: str, features=FEATURES) -> DataFra
 
 
 def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ML.train_gbt(_rated_split(spark, sf_dir), TARGET, FEATURES, QUICK).predictions
+    return ML.train_gbt(_rated_split(spark, sf_dir), TARGET, FEATURES).predictions
 
 
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted = ML.train_gbt(_rated_split(spark, sf_dir), TARGET, FEATURES, QUICK)
+    fitted = ML.train_gbt(_rated_split(spark, sf_dir), TARGET, FEATURES)
     return ML.feature_importance(fitted, spark, "v10").orderBy(F.desc("importance"), "feature")
 
 
 def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ML.param_search(_rated_split(spark, sf_dir), TARGET, FEATURES, ML.random_trials(2, max_iter=5))
+    return ML.param_search(_rated_split(spark, sf_dir), TARGET, FEATURES, ML.random_trials())
 
 
 def dual_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predictions, _ = ML.dual_target(rated_layer(spark, sf_dir), FEATURES, trial=QUICK)
+    predictions, _ = ML.dual_target(rated_layer(spark, sf_dir), FEATURES)
     return predictions
 
 
