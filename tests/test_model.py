@@ -109,7 +109,7 @@ def test_registered_fits_use_the_defaults_of_the_job(monkeypatch):
 
     for name in ("train_gbt", "param_search", "dual_target"):
         monkeypatch.setattr(ML, name, recorder(name))
-    monkeypatch.setattr(modelling, "rated_layer", lambda *a: None)
+    monkeypatch.setattr(modelling, "meet_rated_layer", lambda *a: None)
     monkeypatch.setattr(modelling, "_rated_split", lambda *a: None)
     for query in (modelling.train_gbt, modelling.feature_importance, modelling.dual_target, modelling.param_search):
         with pytest.raises(StopIteration):

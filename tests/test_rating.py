@@ -112,3 +112,20 @@ def test_longer_periods_rate_all_fields_from_one_start(spark):
 def test_unknown_period(spark):
     with pytest.raises(ValueError, match="unknown period"):
         rate(spark, contests(1), "decade")
+
+
+def test_a_query_and_the_fits_rate_meet_by_meet(monkeypatch):
+    from tracklane.queries import all_queries, layers, modelling
+
+    periods = []
+    monkeypatch.setattr(layers, "_layer", lambda spark, sf_dir, name, build: build())
+    monkeypatch.setattr(layers, "base_layer", lambda *a: None)
+    monkeypatch.setattr(layers, "rating_features", lambda rows, period: periods.append(period))
+    monkeypatch.setattr(modelling.ML, "model_frame", lambda rows, *a: rows)
+    monkeypatch.setattr(modelling.ML, "temporal_split", lambda rows: rows)
+    monkeypatch.setattr(modelling.ML, "dual_target", lambda rows, *a: (rows, None))
+    modelling._rated_split(None, "")
+    modelling.dual_target(None, "")
+    with pytest.raises(AttributeError):  # the stubbed layer has no columns
+        all_queries()["rating_features_meets"](None, "")
+    assert periods == ["day"] * 3

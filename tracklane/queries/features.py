@@ -12,7 +12,7 @@ from tracklane.operators.model import encode_categories
 from tracklane.operators.rating import field_rating
 from tracklane.plans.base import KEYS, RATING_COLUMNS, SEGMENT, base_table
 from tracklane.queries import sql
-from tracklane.queries.layers import base_layer, rated_layer, raw_layer, rounded
+from tracklane.queries.layers import base_layer, meet_rated_layer, rated_layer, raw_layer, rounded
 from tracklane.sources.star_schema import table
 
 KEY = ["primary_key", "date", "meet_name"]
@@ -169,6 +169,11 @@ def rating_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rated_layer(spark, sf_dir).select(*KEY, *RATING_COLUMNS, "elo_gap_vs_field"), 4)
 
 
+def rating_features_meets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rating columns of the base layer, updated meet by meet over the whole table. No SQL twin: one round a date."""
+    return rounded(meet_rated_layer(spark, sf_dir).select(*KEY, *RATING_COLUMNS, "elo_gap_vs_field"), 4)
+
+
 QUERIES = {
     "base_features": base_features,
     **{name: _family(cols) for name, cols in FAMILIES.items()},
@@ -181,6 +186,7 @@ QUERIES = {
     "elo_rating": rating("month"),
     "elo_rating_quarters": rating("quarter"),
     "rating_features": rating_features,
+    "rating_features_meets": rating_features_meets,
 }
 
 

@@ -40,6 +40,11 @@ def rated_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _layer(spark, sf_dir, "rated", lambda: rating_features(base_layer(spark, sf_dir), "quarter"))
 
 
+def meet_rated_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base layer with the rating updated meet by meet, a round a date, as the job does by default."""
+    return _layer(spark, sf_dir, "meet-rated", lambda: rating_features(base_layer(spark, sf_dir), "day"))
+
+
 def orders_history(spark: SparkSession, sf_dir: str, lags=None, running=(), event_no=None) -> DataFrame:
     return with_history(split_hot(orders_panel(spark, sf_dir), ORDERS), ORDERS, lags, running, event_no)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracklane.operators import metrics as M
 from tracklane.operators import model as ML
 from tracklane.queries import sql
-from tracklane.queries.layers import base_layer, rated_layer, rounded
+from tracklane.queries.layers import base_layer, meet_rated_layer, rated_layer, rounded
 
 KEY = ["primary_key", "date", "meet_name"]
 TARGET = "pct_change_total"
@@ -102,7 +102,7 @@ FEATURES = ML.feature_set(10)
 
 
 def _rated_split(spark: SparkSession, sf_dir: str, features=FEATURES) -> DataFrame:
-    return ML.temporal_split(ML.model_frame(rated_layer(spark, sf_dir), TARGET, features))
+    return ML.temporal_split(ML.model_frame(meet_rated_layer(spark, sf_dir), TARGET, features))
 
 
 def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dual_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predictions, _ = ML.dual_target(rated_layer(spark, sf_dir), FEATURES)
+    predictions, _ = ML.dual_target(meet_rated_layer(spark, sf_dir), FEATURES)
     return predictions
 
 
