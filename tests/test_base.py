@@ -169,3 +169,17 @@ def test_short_gaps_blank_rates_and_what_follows(spark):
     assert (got[3].prev_total_progress, got[3].prev_pct_change) == (None, None)
     assert got[3].prev_avg_progress_3 is None  # one rate of three
     assert got[4].prev_avg_progress_3 is not None
+
+
+def test_every_past_only_column_is_checked_or_named(spark):
+    from tracklane.queries.features import DERIVED, PAST_ONLY, leakage_rows
+
+    out = features(spark, panel_rows()).withColumn("segment_mean_total", F.lit(500.0))
+    out = out.withColumn("prev_total_vs_segment_mean", F.col("previous_total") / 500).withColumn("prev_new", F.lit(1.0)).cache()
+    found = {r.feature: r.status for r in leakage_rows(out).collect()}
+    assert set(found) >= {c for c in out.columns if PAST_ONLY.match(c)} >= set(DERIVED)
+    assert {c for c, s in found.items() if s == "leak"} == set()
+    assert {c for c, s in found.items() if s == "unchecked"} == {"prev_new", "best_growth_rate_so_far", "prev_avg_progress_3"}
+    leaky = out.withColumns({c: F.col(c) + 1 for c in DERIVED})
+    found = {r.feature: r.status for r in leakage_rows(leaky).collect()}
+    assert all(found[c] == "leak" for c in DERIVED)

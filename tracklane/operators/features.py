@@ -7,7 +7,7 @@ lagged features need no second window.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,16 +122,21 @@ def leakage_report(
     constants: Sequence[str] = (),
     maxima: Mapping[str, str] | None = None,
     tolerance: float = 1e-9,
+    derived: Mapping[str, Callable[[Callable[[str], Column]], Column]] | None = None,
+    reads: Sequence[str] = (),
+    asked: Sequence[str] = (),
 ) -> DataFrame:
     """Per feature, the rows that do not follow from the event before.
 
     ``pairs`` maps a lagged column to its source; ``counters`` a count of earlier
     events to ``(source, bound)``; ``constants`` must not change within an entity;
     ``maxima`` maps the largest value of earlier events to its source.
+    ``derived`` gives any other column from the event before, whose columns ``reads`` names.
+    A column of ``asked`` without a rule is a row with null mismatches.
     Event ``n`` is joined to event ``n - 1``, independently of any window.
     """
     counters, maxima = dict(counters or {}), dict(maxima or {})
-    sources = sorted({*pairs.values(), *counters, *constants, *maxima, *maxima.values(), *(source for source, _ in counters.values())})
+    sources = sorted({*pairs.values(), *counters, *constants, *maxima, *maxima.values(), *(source for source, _ in counters.values()), *reads})
     before = df.select(
         F.col(keys.entity),
         (F.col(event_no) + 1).alias(event_no),
@@ -154,6 +159,9 @@ def leakage_report(
     rules.update({c: F.col("_found") & differs(c, src(c)) for c in constants})
     rules.update({c: differs(c, F.greatest(src(c), src(s))) for c, s in maxima.items()})
 
+    rules.update({c: differs(c, rule(src).cast("double")) for c, rule in (derived or {}).items()})
+
     checks = [F.struct(F.lit(c).alias("feature"), F.col(f"_bad_{c}").alias("mismatches")) for c in rules]
+    checks += [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("long").alias("mismatches")) for c in asked if c not in rules]
     counted = both.agg(*[F.count_if(rule).alias(f"_bad_{c}") for c, rule in rules.items()])
     return counted.select(F.inline(F.array(*checks)))

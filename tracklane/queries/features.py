@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,6 +149,45 @@ def leakage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.leakage_report(base_layer(spark, sf_dir), KEYS, "cumulative_comps", LEAKAGE_PAIRS, COUNTERS, CONSTANTS, MAXIMA)
 
 
+PAST_ONLY = re.compile(r"prev_|previous_|first_(?!name)|.*_so_far$")
+DERIVED = {
+    "prev_total_per_bw": lambda src: C.ratio(src("total"), "bodyweight"),
+    "prev_total_change_kg": lambda src: src("total") - src("previous_total"),
+    "prev_rolling_std_total_3": lambda src: C.std_of(
+        [src("previous_total") - src("prev_total_change_kg"), src("previous_total"), src("total")], 2
+    ),
+    "prev_total_vs_pb": lambda src: C.ratio(src("total"), "prev_personal_best_total"),
+    "prev_distance_from_pb": lambda src: F.col("prev_personal_best_total") - src("total"),
+    "prev_dots_vs_pb": lambda src: C.ratio(src("dots"), "prev_dots_personal_best"),
+    "prev_distance_from_pb_dots": lambda src: F.col("prev_dots_personal_best") - src("dots"),
+    "prev_total_vs_segment_mean": lambda src: C.ratio(src("total"), "segment_mean_total"),
+    "prev_total_x_time_gap": lambda src: src("total") * F.col("time_since_last_comp_years"),
+    "prev_total_per_comp": lambda src: C.ratio(src("total"), "cumulative_comps"),
+    "prev_tier": lambda src: C.tier(src("dots")),
+    "max_tier_so_far": lambda src: C.tier("max_dots_so_far"),
+    "tiers_climbed_so_far": lambda src: C.tier("max_dots_so_far") - F.col("starting_tier"),
+}
+
+
+def leakage_rows(rows: DataFrame) -> DataFrame:
+    """Every past-only column by its name: how many rows do not follow from the event before, or ``unchecked``."""
+    asked = sorted(c for c in rows.columns if PAST_ONLY.match(c))
+    pairs = {**LEAKAGE_PAIRS, "prev_elo_change": "elo_change"}
+    groups = [{k: v for k, v in g.items() if k in rows.columns} for g in (pairs, COUNTERS, MAXIMA, DERIVED)]
+    pairs, counters, maxima, derived = groups
+    reads = [c for c in ("total", "dots", "previous_total", "prev_total_change_kg") if c in rows.columns]
+    constants = [c for c in CONSTANTS if c in rows.columns]
+    found = P.leakage_report(
+        rows, KEYS, "cumulative_comps", pairs, counters, constants, maxima, derived=derived, reads=reads, asked=asked
+    )
+    status = F.when(F.col("mismatches").isNull(), "unchecked").when(F.col("mismatches") > 0, "leak").otherwise("ok")
+    return found.withColumn("status", status)
+
+
+def leakage_guard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage_rows(rated_layer(spark, sf_dir))
+
+
 def rating(period: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rated = field_rating(
@@ -183,6 +224,7 @@ QUERIES = {
     "dots_score": dots_score,
     "encode_categories": encoded,
     "leakage_guard": leakage_guard,
+    "leakage_guard_all": leakage_guard_all,
     "elo_rating": rating("month"),
     "elo_rating_quarters": rating("quarter"),
     "rating_features": rating_features,
