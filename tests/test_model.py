@@ -120,3 +120,27 @@ def test_registered_fits_use_the_defaults_of_the_job(monkeypatch):
     assert len(trials) == 500 and {t.max_depth for t in trials} == set(range(3, 13))
     assert min(t.max_iter for t in trials) == 200 and max(t.max_iter for t in trials) == 2000
     assert min(t.step_size for t in trials) < 1e-6
+
+
+def test_importance_delta_ranks_every_numeric_feature(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tracklane.queries import modelling
+
+    assert len(modelling.NUMERIC) == 33 and "elo_rating" in modelling.NUMERIC
+    follows = {"train": ["elo_rating"], "test": ["years_competing"]}
+    rows = spark.range(40).select(
+        F.when(F.col("id") < 20, "train").otherwise("test").alias("split"),
+        F.col("id").cast("double").alias(modelling.TARGET),
+        *[F.rand(n).alias(f) for n, f in enumerate(modelling.NUMERIC) if f not in ("elo_rating", "years_competing")],
+        F.when(F.col("id") < 20, F.col("id")).otherwise(0).alias("elo_rating"),
+        F.when(F.col("id") >= 20, F.col("id")).otherwise(0).alias("years_competing"),
+    )
+    monkeypatch.setattr(modelling, "meet_rated_layer", lambda *a: rows)
+    for name in ("eligible_for_model", "temporal_split", "encode_categories"):
+        monkeypatch.setattr(ML, name, lambda df, *a: df)
+    ranks = modelling._importance_ranks(rows, modelling.NUMERIC, modelling._corr_or_null)
+    assert {v: [r.feature for r in ranks.filter(f"version = '{v}' AND rank = 1").collect()] for v in follows} == follows
+    assert ranks.filter("version = 'train'").count() == 15
+    found = {(r.feature, r.change) for r in modelling.importance_delta_all(spark, "").collect()}
+    assert ("elo_rating", "dropped out") in found and ("years_competing", "entered") in found

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.operators import metrics as M
@@ -68,20 +68,39 @@ CANDIDATES = [
 ]
 
 
-def importance_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top five features by absolute correlation, training rows against test rows."""
-    rows = _split(spark, sf_dir)
-    versions, entries, scores = ("train", "test"), [], []
-    for v in versions:
-        for f in CANDIDATES:
+def _corr_or_null(x: Column, y: Column) -> Column:
+    """Correlation; null for a constant, where ``corr`` divides by zero."""
+    y = F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+def _importance_ranks(rows: DataFrame, features: list[str], corr=F.corr, **top: int) -> DataFrame:
+    """Features by absolute correlation with the target, of training rows and of test rows."""
+    entries, scores = [], []
+    for v in ("train", "test"):
+        for f in features:
             inside = F.when(F.col("split") == v, F.col(f).cast("double"))
-            scores.append(F.abs(F.corr(inside, F.col(TARGET))).alias(f"{v}_{f}"))
+            scores.append(F.abs(corr(inside, F.col(TARGET))).alias(f"{v}_{f}"))
             entries.append(
                 F.struct(F.lit(v).alias("version"), F.lit(f).alias("feature"), F.col(f"{v}_{f}").alias("importance"))
             )
     scored = rows.agg(*scores)
-    ranks = M.importance_ranks(scored.select(F.inline(F.array(*entries))), top=5)
-    return M.importance_delta(ranks, *versions)
+    return M.importance_ranks(scored.select(F.inline(F.array(*entries))), **top)
+
+
+def importance_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top five of the candidates, training rows against test rows."""
+    return M.importance_delta(_importance_ranks(_split(spark, sf_dir), CANDIDATES, top=5), "train", "test")
+
+
+NUMERIC = [f for f in ML.feature_set(8) if f not in ML.CATEGORICAL]
+
+
+def importance_delta_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top list, as long as the operator's default, over every numeric feature of the set, meet-by-meet rating included."""
+    rows = ML.eligible_for_model(meet_rated_layer(spark, sf_dir), TARGET)
+    rows = ML.encode_categories(ML.temporal_split(rows))
+    return M.importance_delta(_importance_ranks(rows, NUMERIC, _corr_or_null), "train", "test")
 
 
 VERSIONS = {"v08": -0.5, "v09": -0.25, "v10": 0.0}
@@ -133,6 +152,7 @@ QUERIES = {
     "prediction_table": prediction_table,
     "prediction_overlap": prediction_overlap,
     "importance_delta": importance_delta,
+    "importance_delta_all": importance_delta_all,
     "version_comparison": version_comparison,
     "train_gbt": train_gbt,
     "feature_importance": feature_importance,
