@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = "packing decontaminate license_scan url_filter quality exact_dedup near_dedup secret_scan substring_dedup toxicity".split()
+MODULES = (
+    "packing decontaminate license_scan url_filter quality exact_dedup near_dedup secret_scan substring_dedup toxicity "
+    "private_data whitening runs"
+).split()
 
 
 def all_queries() -> dict:
