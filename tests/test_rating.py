@@ -8,7 +8,7 @@ from datetime import date, timedelta
 import pytest
 
 from tracklane.operators import rating
-from tracklane.operators.rating import field_rating
+from tracklane.operators.rating import contest_levels, field_rating, meet_rating
 
 SCHEMA = "primary_key string, meet_name string, date date, sex string, wc string, total double, meet_type int"
 WEIGHT = {1: 1.5, 2: 1.0, 3: 0.8, 4: 0.6}
@@ -24,7 +24,7 @@ def loop(rows):
         fields = {}
         for r in meets[meet]:
             fields.setdefault((r[3], r[4]), []).append(r)
-        for field in fields.values():
+        for _, field in sorted(fields.items()):
             before = [ratings.get(r[0], 1500.0) for r in field]
             mean = sum(before) / len(before)
             ranked = sorted(zip(field, before), key=lambda fb: fb[0][5] or 0.0)
@@ -39,19 +39,19 @@ def loop(rows):
     return out
 
 
-def rate(spark, rows, period="day"):
+def rate(spark, rows, period="meet"):
     rows = list(rows)
     random.Random(1).shuffle(rows)
-    return field_rating(
-        spark.createDataFrame(rows, SCHEMA),
-        entity="primary_key",
-        date="date",
-        field=["meet_name", "date", "sex", "wc"],
-        measure="total",
-        tie="meet_name",
-        meet_type="meet_type",
-        period=period,
-    )
+    contest = {
+        "entity": "primary_key",
+        "date": "date",
+        "field": ["meet_name", "date", "sex", "wc"],
+        "measure": "total",
+        "tie": "meet_name",
+        "meet_type": "meet_type",
+    }
+    table = spark.createDataFrame(rows, SCHEMA)
+    return meet_rating(table, **contest) if period == "meet" else field_rating(table, period=period, **contest)
 
 
 def contests(seed, days=6, people=14):
@@ -67,21 +67,65 @@ def contests(seed, days=6, people=14):
     return rows
 
 
-@pytest.mark.parametrize("many_files", [False, True])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_daily_rounds_equal_the_loop(spark, seed, many_files, monkeypatch):
-    if many_files:
-        monkeypatch.setattr(rating, "FILE_ROWS", 2)
-    rows = contests(seed)
+def held(rows, got):
+    """The rating against the loop, row by row; an entity has one row per contest."""
     want = loop(rows)
-    got = rate(spark, rows).collect()
+    by_row = {(r[0], r[1], r[2], r[5] or 0.0): r[4] for r in rows}
     assert len(got) == len(rows)
-    by_row = {(r[0], r[1], r[2]): r[4] for r in rows}
+    found = {}
     for r in got:
-        before, change, mean = want[r.primary_key, r.meet_name, r.date, by_row[r.primary_key, r.meet_name, r.date]]
-        assert r.elo_rating == pytest.approx(before)
-        assert r.meet_field_elo == pytest.approx(mean)
-        assert r.elo_change == (None if change is None else pytest.approx(change))
+        found.setdefault((r.primary_key, r.meet_name, r.date), []).append(r)
+    for (key, meet, day), same in found.items():
+        classes = sorted(c for (k, m, d, _), c in by_row.items() if (k, m, d) == (key, meet, day))
+        expected = sorted(want[key, meet, day, c][0] for c in classes)
+        assert sorted(r.elo_rating for r in same) == pytest.approx(expected)
+        if len(same) == 1:
+            before, change, mean = want[key, meet, day, classes[0]]
+            assert same[0].meet_field_elo == pytest.approx(mean)
+            assert same[0].elo_change == (None if change is None else pytest.approx(change))
+
+
+@pytest.mark.parametrize("period", ["meet", "day"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rounds_equal_the_loop(spark, seed, period):
+    rows = contests(seed)
+    held(rows, rate(spark, rows, period).collect())
+
+
+def test_an_entity_in_several_contests_of_a_day_goes_through_all(spark):
+    draw = random.Random(5)
+    rows = [
+        (f"p{person}", meet, date(2021, 1, 1) + timedelta(days=d), "M", wc, float(draw.randint(300, 700)), 2)
+        for d in range(4)
+        for meet in ("cup", "open")
+        for wc in ("83", "93")
+        for person in draw.sample(range(9), draw.randint(1, 6))
+    ]
+    held(rows, rate(spark, rows).collect())
+
+
+def test_many_files_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rating, "FILE_ROWS", 2)
+    monkeypatch.setattr(rating, "BLOCK", 2)
+    rows = contests(3)
+    held(rows, rate(spark, rows).collect())
+    held(rows, rate(spark, rows, "day").collect())
+
+
+def test_rounds_follow_the_longest_chain_not_the_dates(spark):
+    chain = [(k, k + 1) for k in range(5)] + [(0, 5), (2, 5)] + [(100 + 2 * k, 101 + 2 * k) for k in range(50)]
+    levels, last = contest_levels(spark.createDataFrame(chain, "before long, contest long"))
+    found = {r.contest: r.level for r in levels.collect()}
+    assert last == 5 and [found[k] for k in range(1, 6)] == [1, 2, 3, 4, 5] and found[101] == 1 and 0 not in found
+    none, last = contest_levels(spark.createDataFrame([], "before long, contest long"))
+    assert last == 0 and none.count() == 0
+
+
+def test_null_entities_count_as_one_and_empty_tables_stay_empty(spark):
+    rows = [(p, "open", date(2021, 1, d), "M", "83", t, 2) for d in (1, 2) for p, t in ((None, 100.0), ("b", 200.0))]
+    got = {(r.primary_key, r.date.day): r.elo_rating for r in rate(spark, rows).collect()}
+    assert got[None, 2] == pytest.approx(1484.0) and got["b", 2] == pytest.approx(1516.0)
+    assert rate(spark, []).count() == 0
 
 
 def test_field_of_one_changes_nothing(spark):
@@ -120,7 +164,7 @@ def test_a_query_and_the_fits_rate_meet_by_meet(monkeypatch):
     periods = []
     monkeypatch.setattr(layers, "_layer", lambda spark, sf_dir, name, build: build())
     monkeypatch.setattr(layers, "base_layer", lambda *a: None)
-    monkeypatch.setattr(layers, "rating_features", lambda rows, period: periods.append(period))
+    monkeypatch.setattr(layers, "rating_features", lambda rows, period="meet": periods.append(period))
     monkeypatch.setattr(modelling.ML, "model_frame", lambda rows, *a: rows)
     monkeypatch.setattr(modelling.ML, "temporal_split", lambda rows: rows)
     monkeypatch.setattr(modelling.ML, "dual_target", lambda rows, *a: (rows, None))
@@ -128,4 +172,4 @@ def test_a_query_and_the_fits_rate_meet_by_meet(monkeypatch):
     modelling.dual_target(None, "")
     with pytest.raises(AttributeError):  # the stubbed layer has no columns
         all_queries()["rating_features_meets"](None, "")
-    assert periods == ["day"] * 3
+    assert periods == ["meet"] * 3

@@ -1,9 +1,15 @@
-"""Field-based rating, updated period by period.
+"""Field-based rating: meet by meet in dependency rounds, or period by period.
 
-Inside a period all fields are rated from the ratings at its start, so each round
-is one set of joins and aggregates. What a row needs from the past is the rating
-its entity had after its previous period; every rated row is therefore written
-under the entity's *next* period, and a round reads just the rows addressed to
+``meet_rating`` gives the order of a loop over contests by date. A contest waits only for the
+previous contest of each of its members, so contests are peeled into levels: level 0 waits for none,
+level n for one of level n - 1. All contests of a level are rated at once; there are as many rounds as
+the longest chain of contests has links, not as many as there are dates. A contest with one member
+changes no rating: it needs no round and takes the rating after its member's previous contest.
+
+``field_rating`` is a definition of its own: inside a period all fields are rated from the ratings at its start.
+
+In both a row needs from the past only the rating its entity had before; every rated row is
+therefore written under the entity's *next* round, and a round reads just the rows addressed to
 it. Work per round follows the rows of the round, not the number of entities.
 """
 
@@ -11,14 +17,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklane.config import SETTINGS, Settings
 from tracklane.operators.positions import bucket_of
-from tracklane.runtime import new_path
+from tracklane.runtime import new_path, store
 
 FILE_ROWS = 5_000_000
+BLOCK = 16  # rounds whose arriving rows share a folder
 
 PERIODS = ("day", "week", "month", "quarter", "year")
 
@@ -37,10 +44,8 @@ def field_rating(
 ) -> DataFrame:
     """Add ``elo_rating`` (before the event), ``elo_change`` and ``meet_field_elo``.
 
-    ``field`` names the columns of one contest within a period. With
-    ``period='day'`` a round is one date and the result is that of updating meet
-    by meet, as long as no entity is in two fields of one day; a longer period is
-    its own definition: all fields of the period start from the same ratings.
+    ``field`` names the columns of one contest within a period. All fields of a period start
+    from the same ratings; ``meet_rating`` goes contest by contest.
     An entity twice in one field keeps the change of its highest position.
     """
     if period not in PERIODS:
@@ -79,53 +84,63 @@ def field_rating(
     return results.select(entity, date, tie, "elo_rating", "elo_change", "meet_field_elo")
 
 
-def _contests(
-    df: DataFrame,
-    entity: str,
-    date: str,
-    field: list[str],
-    measure: str,
-    tie: str,
-    meet_type: str | None,
-    period: str,
-    settings: Settings,
+def _scores(
+    df: DataFrame, entity: str, date: str, tie: str, contest: Column, measure: str, meet_type: str | None, settings: Settings
 ) -> DataFrame:
-    """Everything about a contest that does not depend on ratings: score, size, weight, neighbours."""
+    """The rows with their contest, measure and weight."""
     multiplier = F.lit(1.0)
     if meet_type:
         codes = F.create_map(*[F.lit(x) for kv in settings.rating_multiplier.items() for x in kv])
         fallback = settings.rating_multiplier[4]
         multiplier = F.coalesce(F.try_element_at(codes, F.col(meet_type)), F.lit(fallback))
-    start = F.date_format(F.date_trunc(period, F.col(date)), "yyyy-MM-dd")
-    rows = df.select(
+    return df.select(
         entity,
         date,
         tie,
-        start.alias("_period"),
-        F.struct(*[F.col(c) for c in field]).alias("_field"),
+        contest.alias("_field"),
         F.coalesce(F.col(measure), F.lit(0.0)).alias("_measure"),
         (settings.rating_k * multiplier).alias("_k"),
     )
-    # Ranks inside a field are taken once, before the rounds: rows are numbered
-    # within a range of the measure, on top of the counts of the ranges below.
+
+
+def _standings(rows: DataFrame, entity: str, date: str, tie: str) -> DataFrame:
+    """Position and number of rows in the contest. They do not depend on ratings and are taken once, before the
+    rounds: rows are numbered within a range of the measure, on top of the counts of the ranges below."""
     rows = rows.withColumn("_range", bucket_of(F.col("_measure")))
-    ranges = rows.groupBy("_period", "_field", "_range").agg(F.count(F.lit(1)).alias("_rows"))
-    contest = Window.partitionBy("_period", "_field")
+    ranges = rows.groupBy("_field", "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    contest = Window.partitionBy("_field")
     below = contest.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(
-        "_period",
         "_field",
         "_range",
         F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_below"),
         F.sum("_rows").over(contest).alias("_size"),
     )
-    inside = Window.partitionBy("_period", "_field", "_range").orderBy("_measure", entity, date, tie)
+    inside = Window.partitionBy("_field", "_range").orderBy("_measure", entity, date, tie)
     rows = (
         rows.withColumn("_position", F.row_number().over(inside) - 1)
-        .join(ranges, ["_period", "_field", "_range"])
+        .join(ranges, ["_field", "_range"])
         .withColumn("_position", F.col("_position") + F.col("_below"))
-        .drop("_range", "_below")
     )
+    return rows.drop("_range", "_below")
+
+
+def _contests(
+    df: DataFrame,
+    entity: str,
+    date: str,
+    field: list[str],
+    measure: str,
+    tie: str,
+    meet_type: str | None,
+    period: str,
+    settings: Settings,
+) -> DataFrame:
+    """Everything about a contest that does not depend on ratings: score, size, weight, neighbours."""
+    start = F.date_format(F.date_trunc(period, F.col(date)), "yyyy-MM-dd")
+    contest = F.struct(start.alias("_period"), *[F.col(c) for c in field])
+    rows = _standings(_scores(df, entity, date, tie, contest, measure, meet_type, settings), entity, date, tie)
+    rows = rows.withColumn("_period", F.col("_field._period"))
     # One row per entity and period, so this window is as long as the calendar.
     timeline = Window.partitionBy(entity).orderBy("_period")
     neighbours = rows.select(entity, "_period").distinct()
@@ -135,21 +150,115 @@ def _contests(
     return rows.join(neighbours, [entity, "_period"])
 
 
-def _ratings_after(rated: DataFrame, entity: str) -> DataFrame:
-    """Rating of each entity after a round: one change per field, added over its fields."""
-    per_field = rated.groupBy(entity, "_field").agg(
+def contest_levels(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(contest, level) of every contest that waits for another, and the highest level.
+
+    ``edges`` (before, contest) says which contest waits for which. What waits for nothing leaves with its edges;
+    a contest's level is how often it has stayed. A pass reads only the edges that are left.
+    """
+    spark, path, level = edges.sparkSession, new_path(edges.sparkSession, "levels"), 0
+    edges = store(edges, "edges")
+    schema = edges.select("contest").schema
+    while not edges.isEmpty():
+        level += 1
+        edges.select("contest").distinct().write.parquet(f"{path}/level={level}")
+        waiting = spark.read.schema(schema).parquet(f"{path}/level={level}").withColumnRenamed("contest", "before")
+        edges = store(edges.join(waiting, "before", "left_semi"), "edges")
+    if not level:
+        return spark.createDataFrame([], schema).withColumn("level", F.lit(0)), 0
+    return spark.read.parquet(path).groupBy("contest").agg(F.max("level").alias("level")), level
+
+
+def meet_rating(
+    df: DataFrame,
+    *,
+    entity: str,
+    date: str,
+    field: Sequence[str],
+    measure: str,
+    tie: str,
+    meet_type: str | None = None,
+    settings: Settings = SETTINGS,
+) -> DataFrame:
+    """Add ``elo_rating`` (before the contest), ``elo_change`` and ``meet_field_elo``, contest by contest.
+
+    A contest is a date and the ``field`` columns; contests follow each other by date, then by those
+    columns in their order. An entity in two contests of a date goes through both, one after the other; twice
+    in one contest, the change of its highest position stays. A null entity counts as one entity.
+    There are as many rounds as links in the longest chain of contests that share members one after another;
+    an entity's contests form such a chain, so rounds are at least as many as contests of the busiest entity.
+    """
+    spark = df.sparkSession
+    contest = F.struct(*[F.col(c) for c in dict.fromkeys([date, *field])])
+    rows = _standings(_scores(df, entity, date, tie, contest, measure, meet_type, settings), entity, date, tie)
+    rows = store(rows.withColumn("_who", F.struct(F.col(entity))), "standings")
+    several = rows.filter("_size > 1")
+    contests = several.select("_field").distinct().withColumn("_contest", F.monotonically_increasing_id())
+    contests = store(contests, "contests")  # stored, so that a contest keeps its number
+
+    # What an entity went through before and will go through next, contests of one left out.
+    entries = rows.select("_who", "_field").distinct().join(contests, "_field", "left")
+    earlier = Window.partitionBy("_who").orderBy("_field").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("_who").orderBy(F.desc("_field")).rowsBetween(Window.unboundedPreceding, -1)
+    entries = entries.withColumns(
+        {"_previous": F.last("_contest", True).over(earlier), "_following": F.last("_contest", True).over(later)}
+    )
+    entries = store(entries, "entries")
+    waits = entries.filter("_contest IS NOT NULL AND _previous IS NOT NULL")
+    levels, last = contest_levels(waits.select(F.col("_previous").alias("before"), F.col("_contest").alias("contest")).distinct())
+    levels = store(levels, "levels")
+
+    own = levels.select(F.col("contest").alias("_contest"), F.col("level").alias("_level"))
+    following = levels.select(F.col("contest").alias("_following"), F.col("level").alias("_next"))
+    placed = several.join(entries, ["_who", "_field"]).join(own, "_contest", "left").join(following, "_following", "left")
+    placed = placed.drop("_following", "_previous").withColumn("_level", F.coalesce("_level", F.lit(0)))
+    events_path, rated_path = new_path(spark, "rating-events"), new_path(spark, "rated")
+    placed.hint("rebalance", "_level").write.partitionBy("_level").parquet(events_path)
+    schema, writers = placed.drop("_level").schema, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    results = None
+    for level in range(last + 1 if not contests.isEmpty() else 0):
+        now = spark.read.schema(schema).parquet(f"{events_path}/_level={level}")
+        if level:
+            arriving = spark.read.schema(results).parquet(f"{rated_path}/_block={level // BLOCK}").filter(F.col("_next") == level)
+            now = now.join(_ratings_after(arriving, "_who"), "_who", "left")
+        else:
+            now = now.withColumn("_rating", F.lit(None).cast("double"))
+        rated = _rate(now, settings)
+        results = rated.schema
+        rated = rated.withColumn("_block", F.expr(f"_next div {BLOCK}")).repartition(writers, "_block", "_who")
+        rated.write.mode("append").partitionBy("_block").parquet(rated_path)
+
+    names = [entity, date, tie, "elo_rating", "elo_change", "meet_field_elo"]
+    alone = rows.filter("_size = 1").join(entries.select("_who", "_field", "_previous"), ["_who", "_field"])
+    if results is None:
+        alone = alone.withColumn("_rating", F.lit(None).cast("double"))
+        return _rate(alone, settings, F.col("_rating")).select(*names)
+    rated = spark.read.schema(results).parquet(rated_path)
+    after = _ratings_after(rated, "_who", "_contest").withColumnRenamed("_contest", "_previous")
+    alone = _rate(alone.join(after, ["_who", "_previous"], "left"), settings, F.col("_rating"))
+    return rated.select(*names).unionByName(alone.select(*names))
+
+
+def _ratings_after(rated: DataFrame, entity: str, *by: str) -> DataFrame:
+    """Rating of each entity (and ``by``) after a round: one change per field, added over its fields."""
+    per_field = rated.groupBy(entity, "_field", *by).agg(
         F.first("elo_rating").alias("_before"), F.max_by("elo_change", "_position").alias("_change")
     )
-    return per_field.groupBy(entity).agg(
+    return per_field.groupBy(entity, *by).agg(
         (F.first("_before") + F.coalesce(F.sum("_change"), F.lit(0.0))).alias("_rating")
     )
 
 
-def _rate(contests: DataFrame, settings: Settings) -> DataFrame:
-    rows = contests.withColumn("elo_rating", F.coalesce("_rating", F.lit(settings.rating_initial))).drop("_rating")
-    # averaged before the shuffle, so that a field's rows need not meet in one task
-    means = rows.groupBy("_field").agg(F.avg("elo_rating").alias("meet_field_elo"))
-    rows = rows.join(means, "_field")
+def _rate(contests: DataFrame, settings: Settings, mean: Column | None = None) -> DataFrame:
+    """Rating before, change and mean rating of the field; ``mean`` gives the last where it is known."""
+    rows = contests.withColumn("elo_rating", F.coalesce("_rating", F.lit(settings.rating_initial)))
+    if mean is None:
+        # averaged before the shuffle, so that a field's rows need not meet in one task
+        means = rows.groupBy("_field").agg(F.avg("elo_rating").alias("meet_field_elo"))
+        rows = rows.join(means, "_field")
+    else:
+        rows = rows.withColumn("meet_field_elo", F.coalesce(mean, "elo_rating"))
+    rows = rows.drop("_rating")
     actual = F.try_divide(F.col("_position"), F.col("_size") - 1)
     expected = 1.0 / (1.0 + F.pow(F.lit(10.0), (F.col("meet_field_elo") - F.col("elo_rating")) / 400.0))
     return rows.withColumn("elo_change", F.when(F.col("_size") > 1, F.col("_k") * (actual - expected)))

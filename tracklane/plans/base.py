@@ -17,7 +17,7 @@ from tracklane.operators.clean import fill_defaults, keep_event
 from tracklane.operators.history import PanelKeys, split_hot, with_history
 from tracklane.operators.identity import resolve_entities
 from tracklane.operators.positions import lookup_percentile, percentile_ranks
-from tracklane.operators.rating import field_rating
+from tracklane.operators.rating import field_rating, meet_rating
 from tracklane.operators.segments import add_segment_mean
 from tracklane.runtime import store
 from tracklane.sources.schemas import BASE_INPUT, BASE_NAMES
@@ -181,23 +181,30 @@ def segment_features(rows: DataFrame, settings: Settings = SETTINGS) -> DataFram
     )
 
 
+MEET = "meet"  # rate meet by meet
 RATING_COLUMNS = ["elo_rating", "elo_change", "meet_field_elo", "prev_elo_change"]
 
 
-def rating_features(rows: DataFrame, period: str, settings: Settings = SETTINGS) -> DataFrame:
-    """Rating before the event, its change, the field's mean, and the change of the event before."""
+def rating_features(rows: DataFrame, period: str = MEET, settings: Settings = SETTINGS) -> DataFrame:
+    """Rating before the event, its change, the field's mean, and the change of the event before.
+
+    By default meet by meet; a ``period`` rates all meets of that length from one start.
+    """
     key = [KEYS.entity, *KEYS.order()]
-    rated = field_rating(
-        rows,
-        entity=KEYS.entity,
-        date=KEYS.date,
-        field=["meet_name", *([] if period != "day" else ["date"]), *SEGMENT],
-        measure="total",
-        tie=KEYS.tie,
-        meet_type="meet_type",
-        period=period,
-        settings=settings,
-    )
+    contest = {
+        "entity": KEYS.entity,
+        "date": KEYS.date,
+        "field": ["meet_name", *SEGMENT],
+        "measure": "total",
+        "tie": KEYS.tie,
+        "meet_type": "meet_type",
+        "settings": settings,
+    }
+    if period == MEET:
+        rated = meet_rating(rows, **contest)
+    else:
+        contest["field"] = ["meet_name", *([] if period != "day" else ["date"]), *SEGMENT]
+        rated = field_rating(rows, period=period, **contest)
     # A change is known only after its event: models get the one before.
     rated = with_history(split_hot(rated, KEYS), KEYS, {"elo_change": 1})
     rated = rated.withColumn("prev_elo_change", P.at("elo_change", 1)).select(*key, *RATING_COLUMNS)

@@ -16,7 +16,7 @@ from tracklane.operators import analyses as A
 from tracklane.operators import describe as D
 from tracklane.operators import metrics as M
 from tracklane.operators import model as ML
-from tracklane.plans.base import base_table
+from tracklane.plans.base import MEET, base_table
 from tracklane.plans.raw import REPEAT_KEYS, raw_results
 from tracklane.runtime import store
 from tracklane.sources.csv_files import convert_reference_tables, land_csv
@@ -58,7 +58,7 @@ def build_raw(spark: SparkSession, lake: Lake) -> dict[str, int]:
     return lake.write(raw, "raw", RESULTS, ENTITY_ORDER)
 
 
-def build_base(spark: SparkSession, lake: Lake, period: str = "day", settings: Settings = SETTINGS) -> dict[str, int]:
+def build_base(spark: SparkSession, lake: Lake, period: str = MEET, settings: Settings = SETTINGS) -> dict[str, int]:
     base = base_table(lake.read(spark, "raw", RESULTS), period, settings)
     return lake.write(base, "base", RESULTS, ENTITY_ORDER)
 
@@ -94,7 +94,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--lake", required=True, help="root folder or URI of the layers")
     parser.add_argument("--csv", help="results CSV for the land job")
     parser.add_argument("--reference", help="folder of reference CSVs")
-    parser.add_argument("--period", default="day", help="length of a rating round")
+    parser.add_argument("--period", default=MEET, help="rate meet by meet, or all meets of a month, quarter or year from one start")
     parser.add_argument("jobs", nargs="*", help="land, reference, raw, base, reports, models")
     args = parser.parse_args(argv)
     spark, lake = SparkSession.builder.appName("tracklane").getOrCreate(), Lake(args.lake)

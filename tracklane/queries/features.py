@@ -211,7 +211,7 @@ def rating_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rating_features_meets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rating columns of the base layer, updated meet by meet over the whole table. No SQL twin: one round a date."""
+    """Rating columns of the base layer, updated meet by meet over the whole table."""
     return rounded(meet_rated_layer(spark, sf_dir).select(*KEY, *RATING_COLUMNS, "elo_gap_vs_field"), 4)
 
 
@@ -294,6 +294,14 @@ FROM (SELECT name, date, {sql.dots_case('sex', 'bodyweight_kg', 'total_kg')} AS
     "leakage_guard": _leakage_sql(),
     "elo_rating": _rating_sql("month"),
     "elo_rating_quarters": _rating_sql("quarter"),
+    "rating_features_meets": sql.query(
+        f"""SELECT primary_key, date, meet_name, {', '.join(sql.r(c, digits=4) for c in ('elo_rating', 'elo_change', 'meet_field_elo'))},
+  round(lag(elo_change) OVER (PARTITION BY primary_key ORDER BY date, meet_name), 4) AS prev_elo_change,
+  round(elo_rating - meet_field_elo, 4) AS elo_gap_vs_field FROM rated""",
+        "f0",
+        recursive=True,
+        **sql.meet_rating_parts("date, meet_name, sex, ipf_weight_class"),
+    ),
     "rating_features": sql.query(
         f"""SELECT primary_key, date, meet_name, {', '.join(sql.r(c, digits=4) for c in ('elo_rating', 'elo_change', 'meet_field_elo'))},
   round(lag(elo_change) OVER (PARTITION BY primary_key ORDER BY date, meet_name), 4) AS prev_elo_change,

@@ -41,8 +41,8 @@ def rated_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meet_rated_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base layer with the rating updated meet by meet, a round a date, as the job does by default."""
-    return _layer(spark, sf_dir, "meet-rated", lambda: rating_features(base_layer(spark, sf_dir), "day"))
+    """Base layer with the rating updated meet by meet, as the job does by default."""
+    return _layer(spark, sf_dir, "meet-rated", lambda: rating_features(base_layer(spark, sf_dir)))
 
 
 def orders_history(spark: SparkSession, sf_dir: str, lags=None, running=(), event_no=None) -> DataFrame:

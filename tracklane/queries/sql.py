@@ -316,4 +316,39 @@ FROM (SELECT ev.*, rating, avg(rating) OVER (PARTITION BY p, {field}) AS mean
     }
 
 
+def meet_rating_parts(contest: str, rows: str = "f0") -> dict[str, str]:
+    """The rating contest by contest, as two recursions: levels of contests, then ratings level by level.
+
+    ``contest`` lists its columns, the date first. A step holds the rating of every entity before the contests of a level.
+    """
+    expected = "1.0 / (1.0 + pow(10.0, (mean - rating) / 400.0))"
+    return {
+        "placed": f"""SELECT *, row_number() OVER (PARTITION BY {contest} ORDER BY coalesce(total, 0), primary_key, date, meet_name) - 1 AS pos,
+  count(*) OVER (PARTITION BY {contest}) AS size, dense_rank() OVER (ORDER BY {contest}) AS number,
+  32 * CASE meet_type WHEN 1 THEN 1.5 WHEN 2 THEN 1.0 WHEN 3 THEN 0.8 ELSE 0.6 END AS k FROM {rows}""",
+        "ev": """SELECT *, CASE WHEN size > 1 THEN number END AS contest, max(CASE WHEN size > 1 THEN number END) OVER
+  (PARTITION BY primary_key ORDER BY number RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM placed""",
+        "edges": "SELECT DISTINCT previous, contest FROM ev WHERE contest IS NOT NULL AND previous IS NOT NULL",
+        "waiting": """SELECT DISTINCT CAST(1 AS BIGINT) AS level, contest FROM edges
+UNION SELECT w.level + 1, e.contest FROM waiting w JOIN edges e ON e.previous = w.contest""",
+        "levels": """SELECT contest, coalesce(level, 0) AS level FROM (SELECT DISTINCT contest FROM ev WHERE contest IS NOT NULL)
+  LEFT JOIN (SELECT contest, max(level) AS level FROM waiting GROUP BY contest) USING (contest)""",
+        "stepped": """SELECT ev.*, coalesce(own.level, before.level + 1, 0) AS level
+FROM ev LEFT JOIN levels own ON ev.contest = own.contest LEFT JOIN levels before ON ev.previous = before.contest""",
+        "people": f"SELECT DISTINCT primary_key FROM {rows}",
+        "r": f"""SELECT CAST(0 AS BIGINT) AS level, primary_key, CAST(1500.0 AS DOUBLE) AS rating FROM people
+UNION ALL
+SELECT cur.level + 1, cur.primary_key, cur.rating + coalesce(d.change, 0) FROM r cur LEFT JOIN (
+  SELECT primary_key, arg_max(k * (pos / (size - 1) - {expected}), pos) AS change
+  FROM (SELECT s.*, rating, avg(rating) OVER (PARTITION BY number) AS mean
+    FROM stepped s JOIN r ON s.primary_key = r.primary_key AND s.level = r.level WHERE contest IS NOT NULL)
+  GROUP BY primary_key) d ON cur.primary_key = d.primary_key
+WHERE cur.level <= (SELECT max(level) FROM levels)""",
+        "rated": f"""SELECT primary_key, date, meet_name, rating AS elo_rating, mean AS meet_field_elo,
+  CASE WHEN size > 1 THEN k * (pos / (size - 1) - {expected}) END AS elo_change
+FROM (SELECT s.*, rating, avg(rating) OVER (PARTITION BY number) AS mean
+  FROM stepped s JOIN r ON s.primary_key = r.primary_key AND s.level = r.level)""",
+    }
+
+
 KNOWN = "sex IN ('M', 'F') AND ipf_weight_class <> 'unknown'"
