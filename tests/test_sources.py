@@ -69,3 +69,77 @@ def test_store_writes_under_the_shared_folder(spark):
     assert df.count() == 3
     assert shared_dir(spark) in df.inputFiles()[0]
     assert new_path(spark, "x") != new_path(spark, "x")
+
+
+def test_readers_see_whole_versions(spark, tmp_path):
+    from tracklane.sources.layers import KEEP, CommitConflictError, PublishedTable
+
+    lake, one = Lake(str(tmp_path)), spark.range(3)
+    lake.write(one, "raw", "t")
+    old = lake.read(spark, "raw", "t")
+    lake.write(spark.range(5), "raw", "t")
+    assert old.count() == 3 and lake.read(spark, "raw", "t").count() == 5  # a version that is being read stays
+    lake.append(one, "raw", "t")
+    assert lake.read(spark, "raw", "t").count() == 8
+    assert lake.rollback(spark, "raw", "t") == 4 and lake.read(spark, "raw", "t").count() == 5
+
+    published = PublishedTable(spark, lake.path("raw", "t"))
+    with pytest.raises(CommitConflictError):
+        published._commit(4, published.folders(4))
+    with pytest.raises(Exception, match="midway"):
+        lake.write(spark.range(9).selectExpr("IF(id = 5, raise_error('midway'), id) AS id"), "raw", "t")
+    assert lake.read(spark, "raw", "t").count() == 5 and published.versions()[-1] == 4
+    for n in range(4):
+        lake.write(spark.range(n), "raw", "t")
+    assert len(published.versions()) == KEEP and len([p for p in (tmp_path / "raw" / "t").iterdir() if p.name.startswith("data-")]) == KEEP
+    one.write.parquet(str(tmp_path / "raw" / "plain"))
+    assert lake.read(spark, "raw", "plain").count() == 3
+    with pytest.raises(ValueError, match="no version before"):
+        PublishedTable(spark, str(tmp_path / "raw" / "none")).rollback()
+
+
+TOP = ['"OPL Format v1","by mail:","a@b",', ",,,", '"Federation","Date",,"MeetName"', '"USAPL","2024-03-09",,"Team Champs, at the Fort"', ",,,"]
+HEAD = '"Place","Name","Sex","Division","BodyweightKg","Event"'
+
+
+def test_sectioned_files(spark, tmp_path):
+    from tracklane.operators.clean import numeric_place
+    from tracklane.sources.csv_files import read_sectioned
+
+    body = [f'"DQ","Person ""{k}""","F","Women\'s, Raw",,"SBD"' for k in range(86)]
+    write_lines(tmp_path / "a.opl.csv", [*TOP, HEAD, *body, '"DQ","broken', "1,2,3", ",,,,,"])
+    write_lines(tmp_path / "b.opl.csv", ["Place,Name,Sex,Event,Extra", "1,Bo,M,SBD,x"])
+    write_lines(tmp_path / "c.opl.csv", ["no,table"])
+    rows, rejects = read_sectioned(spark, str(tmp_path))
+    found = {r.line: r for r in rows.filter("file LIKE '%/a.opl.csv'").collect()}
+    assert len(found) == 86 and min(found) == 7
+    first = found[7]
+    assert (first.place, first.name, first.division, first.bodyweight_kg) == ("DQ", 'Person "0"', "Women's, Raw", None)
+    assert (first.federation, first.date, first.meet_name, first.extra) == ("USAPL", "2024-03-09", "Team Champs, at the Fort", None)
+    assert numeric_place(rows.filter("file LIKE '%/a.opl.csv'")).count() == 0
+    (bo,) = rows.filter("file LIKE '%/b.opl.csv'").collect()
+    assert (bo.name, bo.extra, bo.federation, bo.line) == ("Bo", "x", None, 2)
+    bad = {(r.file.rsplit("/", 1)[1], r.line): r.reason for r in rejects.collect()}
+    assert bad == {("a.opl.csv", 93): "quotes", ("a.opl.csv", 94): "cells", ("c.opl.csv", 1): "no header"}
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # lines keep their numbers in split files
+    try:
+        split, _ = read_sectioned(spark, str(tmp_path), columns=["place", "name", "meet_name"])
+        assert {(r.line, r.name) for r in split.collect()} >= {(r.line, r.name) for r in found.values()}
+        assert split.columns == ["file", "line", "place", "name", "meet_name"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_reference_folder_with_a_result_file(spark, tmp_path):
+    from tracklane.sources.schemas import REFERENCE
+
+    source = tmp_path / "csv"
+    source.mkdir()
+    write_lines(source / "meet-type.csv", ["meet_type,meet_type_id", "local,1"])
+    write_lines(source / "fort.opl.csv", [*TOP, HEAD, '"1","Ann","F","Raw","60","SBD"', "short"])
+    written = convert_reference_tables(spark, str(source), str(tmp_path / "out"), REFERENCE)
+    assert set(written) == {"meet-type", "fort.opl", "fort.opl-rejects"}
+    assert dict(spark.read.parquet(written["meet-type"]).dtypes)["meet_type_id"] == "int"
+    assert spark.read.parquet(written["fort.opl"]).first().federation == "USAPL"
+    assert spark.read.parquet(written["fort.opl-rejects"]).count() == 1

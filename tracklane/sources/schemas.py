@@ -45,3 +45,6 @@ BASE_NAMES = {
 }
 
 BASE_INPUT = [*LANDING_TYPES, *RAW_ADDED]
+
+# Types of the reference tables, by file stem.
+REFERENCE = {"meet-type": T.StructType([T.StructField("meet_type", T.StringType()), T.StructField("meet_type_id", T.IntegerType())])}
