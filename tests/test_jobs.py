@@ -7,13 +7,14 @@ from datetime import date, timedelta
 
 import pytest
 
+from tracklane.operators import model as ML
 from tracklane.operators.metrics import RegressionGuardError
 from tracklane.operators.model import Trial
 from tracklane.plans import jobs
 from tracklane.sources.layers import Lake
 from tracklane.sources.schemas import LANDING_TYPES
 
-QUICK = Trial(max_depth=2, max_iter=2)
+QUICK = [Trial(max_depth=2, max_iter=2), Trial(max_depth=3, max_iter=4)]
 
 
 def write_csv(path, people=40):
@@ -65,10 +66,19 @@ def test_jobs_from_csv_to_models(spark, tmp_path):
     for name in [*jobs.REPORTS, "analysis_archetypes", "analysis_archetype_centroids"]:
         assert lake.read(spark, "base", name).count() > 0, name
 
-    scores = jobs.build_models(spark, lake, trial=QUICK)
-    assert {r.target for r in scores.collect()} == {"pct_change_total", "pct_change_dots"}
+    scores = jobs.build_models(spark, lake, trials=QUICK)
+    assert {r.target for r in scores.collect()} == set(ML.TARGETS)
+    assert {"baseline_rmse", "rmse_lift", "n_train", "n_val", "n_test", "n_features", "n_trials", "rounds", "spearman_rho"} <= set(scores.columns)
     predictions = lake.read(spark, "base", "model_predictions_v11")
     assert set(predictions.columns) == {"primary_key", "date", "pred_pct_change_total", "pred_pct_change_dots", "starting_tier"}
+    search = lake.read(spark, "base", "model_search_v11").collect()
+    assert len(search) == 4 and {r.target for r in search} == set(ML.TARGETS)
+    importance = lake.read(spark, "base", "model_importance_v11")
+    assert importance.filter("target = 'pct_change_dots'").count() == len(ML.feature_set(11))
+    assert {"target", "dim", "value", "rmse"} <= set(lake.read(spark, "base", "model_segments_v11").columns)
     with pytest.raises(RegressionGuardError):
-        jobs.build_models(spark, lake, trial=QUICK, prior_best={"pct_change_total": 0.99})
+        jobs.build_models(spark, lake, version=9, trials=QUICK, prior_best={"pct_change_total": 0.99})
     assert lake.read(spark, "base", "model_metrics").count() == 4
+    versions = lake.read(spark, "base", "model_versions").collect()
+    assert {(r.version, r.target) for r in versions} == {(v, t) for v in ("v09", "v11") for t in ML.TARGETS}
+    assert {r.version: r.r2_delta is None for r in versions} == {"v09": True, "v11": False}

@@ -53,30 +53,38 @@ def test_feature_sets():
     assert len(set(ML.feature_set(10))) == len(ML.feature_set(10))
 
 
+QUICK = ML.Trial(max_depth=3, max_iter=12, step_size=0.5, subsample=1.0, feature_share=1.0)
+
+
 def test_gbt_learns_and_reports_importance(spark, split):
-    fitted = ML.train_gbt(split, "y", FEATURES, ML.Trial(max_depth=3, max_iter=8, step_size=0.5, subsample=1.0, feature_share=1.0))
-    scores = ML.M.regression_metrics(fitted.predictions, "y", "pred").first()
-    assert scores.n == split.filter("split = 'test'").count()
-    assert scores.r2 > 0.8
-    weights = {r.feature: r.importance for r in ML.feature_importance(fitted, spark).collect()}
-    assert set(weights) == set(FEATURES)
-    assert max(weights, key=weights.get) == "x1"
-    assert sum(weights.values()) == pytest.approx(1.0)
+    fitted = ML.train_gbt(split, "y", FEATURES, QUICK)
+    scored = fitted.predictions.cache()
+    scores = ML.M.model_metrics(split, scored, "y", "pred", len(FEATURES)).first()
+    parts = {r.split: r["count"] for r in split.groupBy("split").count().collect()}
+    assert scores.n == scores.n_test == parts["test"] and (scores.n_train, scores.n_val) == (parts["train"], parts["val"])
+    assert scores.r2 > 0.8 and scores.rmse_lift == pytest.approx(scores.baseline_rmse - scores.rmse) and scores.rmse_lift > 0
+    found = {r.feature: r for r in ML.feature_importance(fitted, spark).collect()}
+    assert set(found) == set(FEATURES)
+    assert max(found, key=lambda f: found[f].importance) == "x1"
+    assert sum(r.importance for r in found.values()) == pytest.approx(1.0)
+    assert all(r.unused == (r.splits == 0) for r in found.values()) and found["x1"].gain > 0
 
 
 def test_gbt_takes_many_categories_and_unseen_ones(spark):
     rows = [(*r[:6], f"F{i % 120}" if r[3] < date(2020, 2, 10) else f"late{i % 3}", *r[7:]) for i, r in enumerate(rows_of(600))]
     split = ML.temporal_split(spark.createDataFrame(rows, SCHEMA)).cache()
-    fitted = ML.train_gbt(split, "y", FEATURES, ML.Trial(max_depth=3, max_iter=4, step_size=0.5, subsample=1.0, feature_share=1.0))
+    fitted = ML.train_gbt(split, "y", FEATURES, QUICK)
     assert fitted.predictions.filter("pred IS NULL").count() == 0
     assert fitted.predictions.count() == split.filter("split = 'test'").count()
 
 
-def test_search_is_sorted_and_repeatable(spark, split):
+def test_search_is_sorted_repeatable_and_feeds_the_fit(spark, split):
     assert ML.random_trials(3) == ML.random_trials(3)
-    found = ML.param_search(split, "y", FEATURES, ML.random_trials(2, max_iter=3)).collect()
-    assert len(found) == 2
-    assert found[0].mse <= found[1].mse
+    trials = [ML.Trial(max_depth=1, max_iter=3, step_size=1e-6), QUICK]
+    found = ML.param_search(split, "y", FEATURES, trials, warmup=2).collect()
+    assert [r.trial for r in found] == [1, 0] and found[0].mse < found[1].mse
+    assert {r.trial: r.state for r in found} == {0: "pruned", 1: "completed"} and found[0].rounds <= QUICK.max_iter
+    assert ML.best_trial(spark.createDataFrame(found), trials) == QUICK
 
 
 def test_compare_versions(spark):
@@ -88,7 +96,7 @@ def test_compare_versions(spark):
     assert got == {"v08": None, "v09": pytest.approx(0.05)}
 
 
-def test_registered_fits_use_the_defaults_of_the_job(monkeypatch):
+def test_registered_fits_use_the_defaults_of_the_job(spark, monkeypatch):
     import inspect
 
     from tracklane.plans import jobs
@@ -113,13 +121,19 @@ def test_registered_fits_use_the_defaults_of_the_job(monkeypatch):
     monkeypatch.setattr(modelling, "_rated_split", lambda *a: None)
     for query in (modelling.train_gbt, modelling.feature_importance, modelling.dual_target, modelling.param_search):
         with pytest.raises(StopIteration):
-            query(None, "")
-    job = inspect.signature(jobs.build_models).parameters["trial"].default
-    assert seen[:3] == [job] * 3
-    trials = seen[3]
+            query(spark, "")
+    assert seen[:3] == [ML.Trial()] * 3 and ML.Trial().max_iter == 2000
+    assert ML.PATIENCE == 50
+    assert seen[3] == ML.random_trials(ML.JOB_TRIALS) and "trials" in inspect.signature(jobs.build_models).parameters
+
+
+def test_search_space():
+    trials = ML.random_trials()
     assert len(trials) == 500 and {t.max_depth for t in trials} == set(range(3, 13))
     assert min(t.max_iter for t in trials) == 200 and max(t.max_iter for t in trials) == 2000
-    assert min(t.step_size for t in trials) < 1e-6
+    for name in ("step_size", "l1", "l2", "gamma"):
+        assert min(getattr(t, name) for t in trials) < 1e-6 and max(getattr(t, name) for t in trials) <= 1
+    assert {t.min_child_weight for t in trials} == set(range(1, 31))
 
 
 def test_importance_delta_ranks_every_numeric_feature(spark, monkeypatch):
@@ -139,7 +153,7 @@ def test_importance_delta_ranks_every_numeric_feature(spark, monkeypatch):
     monkeypatch.setattr(modelling, "meet_rated_layer", lambda *a: rows)
     for name in ("eligible_for_model", "temporal_split", "encode_categories"):
         monkeypatch.setattr(ML, name, lambda df, *a: df)
-    ranks = modelling._importance_ranks(rows, modelling.NUMERIC, modelling._corr_or_null)
+    ranks = modelling._importance_ranks(rows, modelling.NUMERIC, ML.M.correlation)
     assert {v: [r.feature for r in ranks.filter(f"version = '{v}' AND rank = 1").collect()] for v in follows} == follows
     assert ranks.filter("version = 'train'").count() == 15
     found = {(r.feature, r.change) for r in modelling.importance_delta_all(spark, "").collect()}

@@ -1,33 +1,37 @@
-"""Model rows, temporal split and boosted-tree regression on Spark ML."""
+"""Model rows, temporal split, boosted-tree regression and its search."""
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklane.config import SETTINGS, Settings
 from tracklane.functions import columns as C
 from tracklane.operators import metrics as M
+from tracklane.operators.boosting import Boosted, Trial, binned, boost, fit_bins, training_mean
 from tracklane.operators.positions import Quantile, group_quantiles
-from tracklane.runtime import shared_dir, store
+from tracklane.runtime import store
 
 KEYS = ["primary_key", "date", "meet_name"]
 CATEGORICAL = ["parent_federation"]
-LEAST_BINS = 64
 
-# The search as the reference runs it; rounds from, to, in steps of.
+# The search. Rounds from, to, in steps of; rounds without a better validation error; rounds before pruning.
 SEARCH_TRIALS = 500
 SEARCH_DEPTHS = (3, 12)
-SEARCH_STEPS = (1e-8, 1.0)
+SEARCH_STEPS = (1e-8, 1.0)  # of step size, l1, l2 and gamma, drawn by their logarithm
 SEARCH_ROUNDS = (200, 2000, 100)
+SEARCH_SUBSAMPLE = (0.5, 1.0)
+SEARCH_FEATURE_SHARE = (0.3, 1.0)
+SEARCH_CHILD_WEIGHT = (1, 30)
+PATIENCE = 50
+WARMUP = 50
+
+JOB_TRIALS = 60  # of the job and its queries; a parameter
 
 # The feature set, in the order of the model frame.
 FEATURES = [
@@ -66,6 +70,7 @@ FEATURES = [
     "prev_pct_change",
     "time_gap_category",
 ]
+# What versions 9 and 10 add.
 SCORE_FEATURES = [
     "previous_dots",
     "prev_pct_change_dots",
@@ -178,38 +183,6 @@ def temporal_split(
 # --- fit ------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Trial:
-    """Parameters of one fit."""
-
-    max_depth: int = 5
-    step_size: float = 0.1
-    max_iter: int = 50
-    subsample: float = 0.8
-    feature_share: float = 0.7
-    min_instances: int = 1
-    seed: int = 7
-
-    def regressor(self, label: str, bins: int, validation: str | None = None) -> GBTRegressor:
-        """``bins`` per feature, as ``bins_for`` gives them. With ``validation``, boosting stops at the
-        first round whose validation error is above the best so far."""
-        gbt = GBTRegressor(
-            featuresCol="features",
-            labelCol=label,
-            predictionCol="pred",
-            maxDepth=self.max_depth,
-            stepSize=self.step_size,
-            maxIter=self.max_iter,
-            subsamplingRate=self.subsample,
-            featureSubsetStrategy=str(self.feature_share),
-            minInstancesPerNode=self.min_instances,
-            maxBins=bins,
-            validationTol=0.0,
-            seed=self.seed,
-        )
-        return gbt.setValidationIndicatorCol(validation) if validation else gbt
-
-
 def random_trials(
     n: int = SEARCH_TRIALS,
     max_iter: int | None = None,
@@ -221,108 +194,104 @@ def random_trials(
     """``n`` draws from the search space; the same seed gives the same list. ``max_iter`` fixes the rounds."""
     draw = random.Random(seed)
     low, high = (math.log10(s) for s in steps)
+
+    def small() -> float:
+        return 10 ** draw.uniform(low, high)
+
     return [
         Trial(
             max_depth=draw.randint(*depths),
-            step_size=10 ** draw.uniform(low, high),
+            step_size=small(),
             max_iter=max_iter or draw.randrange(rounds[0], rounds[1] + 1, rounds[2]),
-            subsample=draw.uniform(0.5, 1.0),
-            feature_share=draw.uniform(0.3, 1.0),
-            min_instances=draw.randint(1, 30),
+            subsample=draw.uniform(*SEARCH_SUBSAMPLE),
+            feature_share=draw.uniform(*SEARCH_FEATURE_SHARE),
+            min_child_weight=draw.randint(*SEARCH_CHILD_WEIGHT),
+            l2=small(),
+            l1=small(),
+            gamma=small(),
             seed=seed,
         )
         for _ in range(n)
     ]
 
 
-def assemble(features: Sequence[str]) -> Pipeline:
-    """Impute with missing flags, index categories, assemble. Trees here know no missing values."""
-    numeric = [f for f in features if f not in CATEGORICAL]
-    texts = [f for f in features if f in CATEGORICAL]
-    filled = [f"_filled_{f}" for f in numeric]
-    stages = [Imputer(inputCols=numeric, outputCols=filled, strategy="mean")]
-    stages += [StringIndexer(inputCol=f, outputCol=f"_idx_{f}", handleInvalid="keep") for f in texts]
-    inputs = [*filled, *[f"_missing_{f}" for f in numeric], *[f"_idx_{f}" for f in texts]]
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
-
-
-def bins_for(steps: PipelineModel) -> int:
-    """Bins for trees: a split needs as many as the largest category has values, unseen ones included."""
-    labels = [len(s.labels) for s in steps.stages if isinstance(s, StringIndexerModel)]
-    return max([LEAST_BINS, *(n + 1 for n in labels)])
-
-
-def _as_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    numeric = [f for f in features if f not in CATEGORICAL]
-    doubles = {f: F.col(f).cast("double") for f in numeric}
-    return df.withColumns({**doubles, **{f"_missing_{f}": F.col(f).isNull().cast("double") for f in numeric}})
-
-
 @dataclass
 class Fitted:
     predictions: DataFrame
-    model: PipelineModel
+    model: Boosted
     rounds: int
-    feature_names: list[str]
 
 
-def _trees(model: PipelineModel) -> GBTRegressor:
-    return model.stages[-1]
+def _categorical(features: Sequence[str]) -> list[str]:
+    return [f for f in features if f in CATEGORICAL]
+
+
+def _identity(df: DataFrame) -> list[str]:
+    """What tells rows apart, to draw subsamples by."""
+    return [c for c in KEYS if c in df.columns]
+
+
+def _fit(rows: DataFrame, target: str, features: Sequence[str], trials: Sequence[Trial], validation: Column, **stops):
+    bins = fit_bins(rows.filter(~validation), features, _categorical(features))
+    packed = binned(rows, bins, target, _identity(rows), validation)
+    return bins, packed, boost(packed, bins, trials, **stops)
 
 
-def train_gbt(split: DataFrame, target: str, features: Sequence[str], trial: Trial = Trial()) -> Fitted:
-    """Find the number of rounds with early stopping on val, refit on train + val, predict test."""
-    shared_dir(split.sparkSession)  # long boosting runs cut their lineage there
-    rows = store(_as_inputs(split, features), "model-rows")
-    known = rows.filter(F.col("split") != "test").withColumn("_is_val", F.col("split") == "val")
-    steps = assemble(features).fit(known.filter(~F.col("_is_val")))
-    probe = trial.regressor(target, bins_for(steps), "_is_val").fit(steps.transform(known))
-    rounds = max(probe.getNumTrees, 1)
+def train_gbt(split: DataFrame, target: str, features: Sequence[str], trial: Trial = Trial(), patience: int = PATIENCE) -> Fitted:
+    """Find the number of rounds with early stopping on val, refit on train + val, predict test.
 
-    steps = assemble(features).fit(known)
-    final = Trial(**{**trial.__dict__, "max_iter": rounds}).regressor(target, bins_for(steps)).fit(steps.transform(known))
-    test = rows.filter(F.col("split") == "test")
-    predictions = final.transform(steps.transform(test))
-    names = steps.stages[-1].getInputCols()
+    Missing values and categories that training has not seen go where each split sends them; nothing is imputed. Without
+    val rows all ``max_iter`` rounds are run.
+    """
+    rows = store(split, "model-rows")
+    known = rows.filter(F.col("split") != "test")
+    _, _, (probe,) = _fit(known, target, features, [trial], F.col("split") == "val", patience=patience)
+    bins, packed, (final,) = _fit(known, target, features, [replace(trial, max_iter=probe.rounds)], F.lit(False))
+    model = Boosted(bins, training_mean(packed), final.trees)
     carried = [c for c in [*KEYS, "name", "starting_tier", target] if c in split.columns]
     encoded = [c for c in ("sex_encoded", "ipf_wc_numeric") if c in split.columns]
-    return Fitted(predictions.select(*carried, *encoded, "pred"), PipelineModel([*steps.stages, final]), rounds, names)
-
-
-def param_search(split: DataFrame, target: str, features: Sequence[str], trials: Iterable[Trial]) -> DataFrame:
-    """Validation error of every trial on the one temporal split, best first."""
-    spark = split.sparkSession
-    shared_dir(spark)
-    rows = store(_as_inputs(split.filter(F.col("split") != "test"), features), "search-rows")
-    train = rows.filter(F.col("split") == "train")
-    steps = assemble(features).fit(train)
-    known = steps.transform(rows).select(target, "features", (F.col("split") == "val").alias("_is_val")).persist()
-    found = []
-    for number, trial in enumerate(trials):
-        model = trial.regressor(target, bins_for(steps), "_is_val").fit(known)
-        scored = model.transform(known.filter("_is_val")).select(target, "pred").persist()
-        scores = M.regression_metrics(scored, target, "pred").first()
-        scored.unpersist()
-        found.append(
-            (number, trial.max_depth, trial.step_size, trial.subsample, trial.feature_share, trial.min_instances)
-            + (model.getNumTrees, scores.mse, scores.rmse, scores.mae, scores.r2)
+    predictions = model.predictions(rows.filter(F.col("split") == "test"), [*carried, *encoded])
+    return Fitted(predictions, model, probe.rounds)
+
+
+def param_search(
+    split: DataFrame, target: str, features: Sequence[str], trials: Sequence[Trial], patience: int = PATIENCE, warmup: int = WARMUP
+) -> DataFrame:
+    """Every trial's state and its least validation error on the one temporal split, best first.
+
+    All trials share the passes over the rows. From ``warmup`` rounds on, trials above the median are pruned; what
+    a pruned trial shows is its best until then.
+    """
+    rows = store(split.filter(F.col("split") != "test"), "search-rows")
+    _, packed, found = _fit(rows, target, features, trials, F.col("split") == "val", patience=patience, warmup=warmup)
+    spread = packed.filter("val").agg(F.var_pop("y")).first()[0]
+    out = []
+    for number, p in enumerate(found):
+        mse, mae = p.errors[p.rounds] if len(p.errors) > p.rounds else (None, None)
+        t = p.trial
+        r2 = 1 - mse / spread if mse is not None and spread else None
+        out.append(
+            (number, t.max_depth, t.step_size, t.subsample, t.feature_share, float(t.min_child_weight), t.l2, t.l1, t.gamma)
+            + (t.max_iter, p.rounds, p.state, mse, None if mse is None else math.sqrt(mse), mae, r2)
         )
-    known.unpersist()
     schema = (
-        "trial int, max_depth int, step_size double, subsample double, feature_share double, min_instances int, "
-        "rounds int, mse double, rmse double, mae double, r2 double"
+        "trial int, max_depth int, step_size double, subsample double, feature_share double, min_child_weight double, "
+        "l2 double, l1 double, gamma double, drawn_rounds int, rounds int, state string, mse double, rmse double, mae double, r2 double"
     )
-    return spark.createDataFrame(found, schema).orderBy("mse")
+    return split.sparkSession.createDataFrame(out, schema).orderBy(F.col("mse").asc_nulls_last(), "trial")
+
+
+def best_trial(found: DataFrame, trials: Sequence[Trial]) -> Trial:
+    """The trial at the head of a search."""
+    return trials[found.first()["trial"]]
 
 
 def feature_importance(fitted: Fitted, spark, version: str = "") -> DataFrame:
-    """Share of the gain per feature, the missing flag counted with its feature, unused ones marked."""
-    weights: dict[str, float] = {}
-    for name, weight in zip(fitted.feature_names, _trees(fitted.model).featureImportances.toArray()):
-        feature = name.removeprefix("_filled_").removeprefix("_missing_").removeprefix("_idx_")
-        weights[feature] = weights.get(feature, 0.0) + float(weight)
-    rows = [(version, f, w, w == 0.0) for f, w in weights.items()]
-    return spark.createDataFrame(rows, "version string, feature string, importance double, unused boolean")
+    """Per feature: its share of the gain, the mean gain of its splits, how many, and whether it is unused."""
+    gains = fitted.model.gains()
+    whole = sum(total for total, _ in gains.values())
+    rows = [(version, f, total / whole if whole else 0.0, total / n if n else 0.0, n, n == 0) for f, (total, n) in gains.items()]
+    return spark.createDataFrame(rows, "version string, feature string, importance double, gain double, splits int, unused boolean")
 
 
 def segment_dims(settings: Settings = SETTINGS) -> dict[str, Column]:
@@ -339,27 +308,57 @@ def segment_dims(settings: Settings = SETTINGS) -> dict[str, Column]:
 TARGETS = ("pct_change_total", "pct_change_dots")
 
 
+@dataclass
+class Targets:
+    """What a fit of several targets gives; ``scores``, ``segments``, ``importances`` and ``searches`` name the target."""
+
+    predictions: DataFrame
+    scores: DataFrame
+    segments: DataFrame
+    importances: DataFrame
+    searches: DataFrame | None
+
+
 def dual_target(
     base: DataFrame,
     features: Sequence[str],
     targets: Sequence[str] = TARGETS,
     trial: Trial = Trial(),
     settings: Settings = SETTINGS,
-) -> tuple[DataFrame, DataFrame]:
-    """One fit per target on the same features and cut-offs: (predictions, metrics)."""
+    trials: Sequence[Trial] = (),
+) -> Targets:
+    """One fit per target on the same features and cut-offs, with its evaluation. Of ``trials`` the best one found is fitted."""
+    spark = base.sparkSession
     shared_rows = base
     for target in targets:
         shared_rows = eligible_for_model(shared_rows, target, settings)
     cuts = store(split_dates(shared_rows, settings=settings), "cut-offs")
-    predictions, scores = [], None
+    predictions, tables = [], {"scores": [], "segments": [], "importances": [], "searches": []}
     for target in targets:
-        split = temporal_split(model_frame(base, target, features, settings), cuts=cuts)
-        fitted = train_gbt(split, target, features, trial)
+        split = store(temporal_split(model_frame(base, target, features, settings), cuts=cuts), f"split-{target}")
+        chosen = trial
+        if trials:
+            found = store(param_search(split, target, features, trials), f"search-{target}")
+            chosen = best_trial(found.orderBy(F.col("mse").asc_nulls_last(), "trial"), trials)
+            tables["searches"].append(found)
+        fitted = train_gbt(split, target, features, chosen)
         scored = store(fitted.predictions, f"predictions-{target}")
-        summary = M.regression_metrics(scored, target, "pred").withColumn("target", F.lit(target))
-        scores = summary if scores is None else scores.unionByName(summary)
+        summary = M.model_metrics(split, scored, target, "pred", len(features), len(trials) or 1)
+        tables["scores"].append(summary.withColumn("rounds", F.lit(fitted.rounds)))
+        dims = {d: c for d, c in segment_dims(settings).items() if d != "starting_tier" or "starting_tier" in scored.columns}
+        tables["segments"].append(M.segment_metrics(scored, target, "pred", dims, settings))
+        tables["importances"].append(feature_importance(fitted, spark))
         predictions.append(scored.select(*KEYS, F.col("pred").alias(f"pred_{target}"), "starting_tier"))
-    return M.prediction_table(*predictions, KEYS, ["starting_tier"]), scores
+    stacked = {name: _by_target(found, targets) for name, found in tables.items()}
+    return Targets(M.prediction_table(*predictions, KEYS, ["starting_tier"]), **stacked)
+
+
+def _by_target(tables: Sequence[DataFrame], targets: Sequence[str]) -> DataFrame | None:
+    out = None
+    for table, target in zip(tables, targets):
+        named = table.withColumn("target", F.lit(target))
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 def compare_versions(scores: Mapping[str, DataFrame], target: str) -> DataFrame:

@@ -8,8 +8,10 @@ before it, so each can be scheduled on its own.
 from __future__ import annotations
 
 import argparse
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracklane.config import SETTINGS, Settings
 from tracklane.operators import analyses as A
@@ -21,6 +23,7 @@ from tracklane.plans.raw import REPEAT_KEYS, raw_results
 from tracklane.runtime import store
 from tracklane.sources.csv_files import convert_reference_tables, land_csv
 from tracklane.sources.layers import Lake
+from tracklane.sources.schemas import REFERENCE
 
 RESULTS = "results"
 ENTITY_ORDER = ["primary_key", "date"]
@@ -46,7 +49,7 @@ def land(spark: SparkSession, lake: Lake, csv: str) -> dict[str, int]:
 
 
 def load_reference(spark: SparkSession, lake: Lake, folder: str) -> dict[str, str]:
-    return convert_reference_tables(spark, folder, f"{lake.root}/reference-tables")
+    return convert_reference_tables(spark, folder, f"{lake.root}/reference-tables", REFERENCE)
 
 
 def build_raw(spark: SparkSession, lake: Lake) -> dict[str, int]:
@@ -66,25 +69,36 @@ def build_base(spark: SparkSession, lake: Lake, period: str = MEET, settings: Se
 def build_reports(spark: SparkSession, lake: Lake) -> None:
     base = lake.read(spark, "base", RESULTS)
     for name, report in REPORTS.items():
-        report(base).write.mode("overwrite").parquet(lake.path("base", name))
+        lake.write(report(base), "base", name)
     assigned, centroids = A.archetypes(base)
-    assigned.write.mode("overwrite").parquet(lake.path("base", "analysis_archetypes"))
-    centroids.write.mode("overwrite").parquet(lake.path("base", "analysis_archetype_centroids"))
+    lake.write(assigned, "base", "analysis_archetypes")
+    lake.write(centroids, "base", "analysis_archetype_centroids")
 
 
 def build_models(
     spark: SparkSession,
     lake: Lake,
     version: int = 11,
-    trial: ML.Trial = ML.Trial(),
+    trials: Sequence[ML.Trial] | None = None,
     prior_best: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Both targets: predictions table, appended metrics, and the guard against regressions."""
+    """Both targets: search, fit of the best trial, evaluation tables, and the guard against regressions.
+
+    Without ``trials``, ``JOB_TRIALS`` draws from the search space are tried. Written per version: predictions,
+    segments, importances and the search. Metrics are appended; the comparison of all versions is written anew.
+    """
     base = lake.read(spark, "base", RESULTS)
-    predictions, scores = ML.dual_target(base, ML.feature_set(version), trial=trial)
-    predictions.drop("meet_name").write.mode("overwrite").parquet(lake.path("base", f"model_predictions_v{version}"))
-    scores = store(scores.selectExpr(f"'v{version:02d}' AS version", "*"), "scores")
-    scores.write.mode("append").parquet(lake.path("base", "model_metrics"))
+    trials = list(trials) if trials is not None else ML.random_trials(ML.JOB_TRIALS)
+    found = ML.dual_target(base, ML.feature_set(version), trials=trials)
+    lake.write(found.predictions.drop("meet_name"), "base", f"model_predictions_v{version}")
+    for name, table in (("segments", found.segments), ("importance", found.importances), ("search", found.searches)):
+        if table is not None:
+            lake.write(table, "base", f"model_{name}_v{version}")
+    scores = store(found.scores.selectExpr(f"'v{version:02d}' AS version", "*"), "scores")
+    lake.append(scores, "base", "model_metrics")
+    latest = lake.read(spark, "base", "model_metrics").groupBy("version", "target")
+    measures = [F.last(c).alias(c) for c in scores.columns if c not in ("version", "target")]
+    lake.write(M.version_comparison(latest.agg(*measures)), "base", "model_versions")
     M.regression_guard(scores, prior_best or {})
     return scores
 
@@ -95,6 +109,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--csv", help="results CSV for the land job")
     parser.add_argument("--reference", help="folder of reference CSVs")
     parser.add_argument("--period", default=MEET, help="rate meet by meet, or all meets of a month, quarter or year from one start")
+    parser.add_argument("--trials", type=int, default=ML.JOB_TRIALS, help="draws from the search space")
     parser.add_argument("jobs", nargs="*", help="land, reference, raw, base, reports, models")
     args = parser.parse_args(argv)
     spark, lake = SparkSession.builder.appName("tracklane").getOrCreate(), Lake(args.lake)
@@ -104,7 +119,7 @@ def main(argv: list[str] | None = None) -> None:
         "raw": lambda: build_raw(spark, lake),
         "base": lambda: build_base(spark, lake, args.period),
         "reports": lambda: build_reports(spark, lake),
-        "models": lambda: build_models(spark, lake),
+        "models": lambda: build_models(spark, lake, trials=ML.random_trials(args.trials)),
     }
     given = {"land": args.csv, "reference": args.reference}
     chosen = args.jobs or [name for name in jobs if given.get(name, True)]

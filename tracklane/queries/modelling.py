@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.operators import metrics as M
@@ -68,12 +68,6 @@ CANDIDATES = [
 ]
 
 
-def _corr_or_null(x: Column, y: Column) -> Column:
-    """Correlation; null for a constant, where ``corr`` divides by zero."""
-    y = F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def _importance_ranks(rows: DataFrame, features: list[str], corr=F.corr, **top: int) -> DataFrame:
     """Features by absolute correlation with the target, of training rows and of test rows."""
     entries, scores = [], []
@@ -100,7 +94,13 @@ def importance_delta_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top list, as long as the operator's default, over every numeric feature of the set, meet-by-meet rating included."""
     rows = ML.eligible_for_model(meet_rated_layer(spark, sf_dir), TARGET)
     rows = ML.encode_categories(ML.temporal_split(rows))
-    return M.importance_delta(_importance_ranks(rows, NUMERIC, _corr_or_null), "train", "test")
+    return M.importance_delta(_importance_ranks(rows, NUMERIC, M.correlation), "train", "test")
+
+
+def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole metrics row of one simple prediction."""
+    rows = _split(spark, sf_dir)
+    return rounded(M.model_metrics(rows, rows.filter("split = 'test'"), TARGET, "pred", 1))
 
 
 VERSIONS = {"v08": -0.5, "v09": -0.25, "v10": 0.0}
@@ -115,6 +115,16 @@ def version_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ML.compare_versions(tables, TARGET))
 
 
+def version_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics rows of the three versions, each beside the one before."""
+    rows, stacked = _split(spark, sf_dir), None
+    for n, (version, factor) in enumerate(VERSIONS.items(), 1):
+        scored = rows.filter("split = 'test'").withColumn("pred", F.col("prev_pct_change") * factor)
+        row = M.model_metrics(rows, scored, TARGET, "pred", n, 10 * n).withColumns({"version": F.lit(version), "target": F.lit(TARGET)})
+        stacked = row if stacked is None else stacked.unionByName(row)
+    return rounded(M.version_comparison(stacked))
+
+
 # --- fits: no SQL twin ----------------------------------------------------------
 
 FEATURES = ML.feature_set(10)
@@ -124,22 +134,32 @@ def _rated_split(spark: SparkSession, sf_dir: str, features=FEATURES) -> DataFra
     return ML.temporal_split(ML.model_frame(meet_rated_layer(spark, sf_dir), TARGET, features))
 
 
+_FITTED: dict[tuple[str, str], ML.Fitted] = {}
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> ML.Fitted:
+    """The fit that two queries show, made once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = ML.train_gbt(_rated_split(spark, sf_dir), TARGET, FEATURES)
+    return _FITTED[key]
+
+
 def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ML.train_gbt(_rated_split(spark, sf_dir), TARGET, FEATURES).predictions
+    return _fitted(spark, sf_dir).predictions
 
 
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted = ML.train_gbt(_rated_split(spark, sf_dir), TARGET, FEATURES)
-    return ML.feature_importance(fitted, spark, "v10").orderBy(F.desc("importance"), "feature")
+    return ML.feature_importance(_fitted(spark, sf_dir), spark, "v10").orderBy(F.desc("importance"), "feature")
 
 
 def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ML.param_search(_rated_split(spark, sf_dir), TARGET, FEATURES, ML.random_trials())
+    """As many trials of the reference's search space as the job tries."""
+    return ML.param_search(_rated_split(spark, sf_dir), TARGET, FEATURES, ML.random_trials(ML.JOB_TRIALS))
 
 
 def dual_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predictions, _ = ML.dual_target(meet_rated_layer(spark, sf_dir), FEATURES)
-    return predictions
+    return ML.dual_target(meet_rated_layer(spark, sf_dir), FEATURES).predictions
 
 
 QUERIES = {
@@ -153,7 +173,9 @@ QUERIES = {
     "prediction_overlap": prediction_overlap,
     "importance_delta": importance_delta,
     "importance_delta_all": importance_delta_all,
+    "model_metrics": model_metrics,
     "version_comparison": version_comparison,
+    "version_table": version_table,
     "train_gbt": train_gbt,
     "feature_importance": feature_importance,
     "param_search": param_search,
@@ -212,6 +234,40 @@ _CORR = " UNION ALL ".join(
     for f in CANDIDATES
 )
 
+_NUMERIC = ", ".join(f"{_MODEL[f]} AS {f}" if f in _MODEL else f for f in NUMERIC)
+_FREE = """SELECT sqrt(avg((y - pred) * (y - pred))) / stddev_pop(y) AS rmse_normalised, covar_pop(ry, rp) / nullif(stddev_pop(ry) * stddev_pop(rp), 0) AS spearman_rho FROM (SELECT *,
+  rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry,
+  rank() OVER (ORDER BY pred) + (count(*) OVER (PARTITION BY pred) - 1) / 2.0 AS rp FROM t)"""
+_AROUND = {
+    "lifted": "SELECT sqrt(avg(pow(y - m, 2))) AS b FROM s, (SELECT avg(y) AS m FROM s WHERE split = 'train') WHERE split = 'test'",
+    "parted": "SELECT "
+    + ", ".join(f"count(*) FILTER (WHERE split = '{part}') AS n_{part}" for part in ("train", "val", "test"))
+    + " FROM s",
+}
+_MEASURES = (
+    ["mse", "rmse", "mae", "r2", "median_ae", "baseline_rmse", "rmse_lift", "rmse_normalised", "spearman_rho"],
+    ["n", "n_train", "n_val", "n_test", "n_features", "n_trials"],
+)
+_SHOWN = ", ".join([*(f"round({c}, 6) AS {c}" for c in _MEASURES[0]), *_MEASURES[1]])
+
+
+def _row(source: str, features: int, trials: int) -> str:
+    """The metrics row of the test rows in ``source``."""
+    return f"""SELECT count(*) AS n, avg((y - pred) * (y - pred)) AS mse, sqrt(avg((y - pred) * (y - pred))) AS rmse,
+  avg(abs(y - pred)) AS mae, {_R2} AS r2, median(abs(y - pred)) AS median_ae, max(b) AS baseline_rmse,
+  max(b) - sqrt(avg((y - pred) * (y - pred))) AS rmse_lift, max(rmse_normalised) AS rmse_normalised, max(spearman_rho) AS spearman_rho,
+  max(n_train) AS n_train, max(n_val) AS n_val, max(n_test) AS n_test, {features}::BIGINT AS n_features, {trials}::BIGINT AS n_trials
+FROM {source}, lifted, ({_FREE.replace("FROM t)", f"FROM {source})")}), parted"""
+
+
+def _versions() -> str:
+    parts = (
+        f"SELECT *, '{v}' AS version, '{TARGET}' AS target FROM ({_row(f"(SELECT * FROM vt WHERE version = '{v}')", n, 10 * n)})"
+        for n, v in enumerate(VERSIONS, 1)
+    )
+    return " UNION ALL ".join(parts)
+
+
 SQL = {
     "model_frame": sql.query(
         f"SELECT primary_key, meet_name, name, date, {_FRAME}, CAST(starting_tier AS INTEGER) AS starting_tier, "
@@ -263,6 +319,34 @@ UNION ALL SELECT o.feature, CAST(o.rank AS INTEGER), 'entered' FROM k o
         i=_CORR,
         k="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY version ORDER BY importance DESC, feature) AS rank FROM i) WHERE rank <= 5",
     ),
+    "importance_delta_all": sql.query(
+        """SELECT o.feature, CAST(o.rank AS INTEGER) AS rank, 'dropped out' AS change FROM k o
+  WHERE o.version = 'train' AND o.feature NOT IN (SELECT feature FROM k WHERE version = 'test')
+UNION ALL SELECT o.feature, CAST(o.rank AS INTEGER), 'entered' FROM k o
+  WHERE o.version = 'test' AND o.feature NOT IN (SELECT feature FROM k WHERE version = 'train')""",
+        recursive=True,
+        **sql.meet_rating_parts("date, meet_name, sex, ipf_weight_class"),
+        e=_ELIGIBLE,
+        cuts=_CUTS,
+        sr=f"""SELECT {_NUMERIC}, CASE WHEN date <= c1 THEN 'train' WHEN date <= c2 THEN 'val' ELSE 'test' END AS split, {TARGET} AS y
+  FROM e JOIN (SELECT *, lag(elo_change) OVER (PARTITION BY primary_key ORDER BY date, meet_name) AS prev_elo_change FROM rated) r
+  USING (primary_key, date, meet_name), cuts""",
+        i=" UNION ALL ".join(
+            f"SELECT '{v}' AS version, '{f}' AS feature, abs(covar_pop(y, x) / nullif(stddev_pop(x) * stddev_pop(CASE WHEN x IS NOT NULL "
+            f"THEN y END), 0)) AS importance FROM (SELECT y, CAST({f} AS DOUBLE) AS x FROM sr WHERE split = '{v}')"
+            for v in ("train", "test")
+            for f in NUMERIC
+        ),
+        k="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY version ORDER BY importance DESC NULLS LAST, feature) AS rank FROM i)
+  WHERE rank <= 15""",
+    ),
+    "model_metrics": _q(f"SELECT {_SHOWN} FROM ({_row('t', 1, 1)})", t=_T, **_AROUND),
+    "version_table": _q(
+        f"""SELECT {_SHOWN}, version, target, round(r2 - lag(r2) OVER w, 6) AS r2_delta, round(rmse - lag(rmse) OVER w, 6) AS rmse_delta
+FROM ({_versions()}) WINDOW w AS (ORDER BY version)""",
+        vt=_VERSIONED,
+        **_AROUND,
+    ),
     "version_comparison": _q(
         f"""SELECT version, '{TARGET}' AS target, dim, value, n, round(rmse, 6) AS rmse, round(r2, 6) AS r2,
   round(r2 - lag(r2) OVER w, 6) AS r2_delta, round(rmse - lag(rmse) OVER w, 6) AS rmse_delta
