@@ -82,6 +82,29 @@ def test_archetypes_cover_every_career(spark):
     assert len(clusters) == 5  # one cluster per group
 
 
+def test_restarts_share_a_pass_and_find_the_best(spark):
+    from dataclasses import replace
+
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    spots = draw.normal(size=(60, 2)) + np.repeat([[0, 0], [9, 0], [0, 9]], 20, axis=0)
+    points = spark.createDataFrame([(f"p{i:02d}", [float(v) for v in z]) for i, z in enumerate(spots)], "k string, z array<double>")
+    settings = replace(A.SETTINGS, clusters=3, cluster_restarts=4)
+    assigned, centres = A.k_means(points, "k", settings)
+    groups = {}
+    for r in assigned.collect():
+        groups.setdefault(r.cluster, set()).add(int(r.k[1:]) // 20)
+    assert sorted(map(tuple, groups.values())) == [(0,), (1,), (2,)]
+    for cluster, (group,) in groups.items():
+        assert np.allclose(centres[cluster], spots[group * 20 : group * 20 + 20].mean(axis=0))
+    same = spark.createDataFrame([(f"p{i}", [1.0, 2.0]) for i in range(4)], "k string, z array<double>")  # fewer points than clusters
+    alike, _ = A.k_means(same, "k", settings)
+    assert {r.cluster for r in alike.collect()} == {0}
+    none = A.archetypes(spark.createDataFrame([], SCHEMA))
+    assert [t.count() for t in none] == [0, 0]
+
+
 def test_quality_report(base):
     got = {r.metric: r.value for r in D.quality_report(base).collect()}
     assert got["total_records"] == "15" and got["unique_lifters"] == "6"

@@ -34,6 +34,7 @@ class Settings:
     clusters: int = 5
     cluster_restarts: int = 10
     cluster_seed: int = 42
+    cluster_steps: int = 30
     max_event_no: int = 20
     weight_classes: dict[str, tuple[float, ...]] = field(
         default_factory=lambda: {

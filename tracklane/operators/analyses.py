@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklane.config import SETTINGS, Settings
@@ -129,22 +129,81 @@ def career_summary(df: DataFrame, entity: str = "primary_key") -> DataFrame:
     return careers.join(entity_median(rows, entity, "total_progress", "median_progress"), entity).na.drop("any")
 
 
-def archetypes(df: DataFrame, settings: Settings = SETTINGS) -> tuple[DataFrame, DataFrame]:
-    """K-means on standardised careers: assignments, and centroids in original units."""
-    careers = store(career_summary(df), "careers")
-    raw = VectorAssembler(inputCols=CAREER, outputCol="_raw").transform(careers)
-    scaler = StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="features").fit(raw)
-    scaled = scaler.transform(raw).persist()
-    fits = [
-        KMeans(k=settings.clusters, seed=settings.cluster_seed + i, predictionCol="cluster").fit(scaled)
-        for i in range(settings.cluster_restarts)
-    ]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    assigned = best.transform(scaled).select(*careers.columns, "cluster")
-    # k rows of centres, scaled back.
-    centres = [
-        (i, *[float(c * s + m) for c, s, m in zip(centre, scaler.std, scaler.mean)])
-        for i, centre in enumerate(best.clusterCenters())
+def _squared(centre: Column) -> Column:
+    """Squared distance of ``z`` from a centre."""
+    apart = F.zip_with("z", centre, lambda a, b: (a - b) * (a - b))
+    return F.aggregate(apart, F.lit(0.0), lambda total, x: total + x)
+
+
+def _seeds(points: DataFrame, key: str, settings: Settings) -> list[list[list[float]]]:
+    """First centres of every restart, a pass for each: drawn in proportion to the squared distance from those before.
+
+    The largest of distance over an exponential draw is such a draw, so a pass takes one maximum per restart. The draw is
+    made of 52 bits of an md5 of the key, the same in any engine.
+    """
+    centres: list[list[list[float]]] = [[] for _ in range(settings.cluster_restarts)]
+    each = points.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(settings.cluster_restarts - 1))))
+    for seed in range(settings.clusters):
+        name = F.concat_ws(":", F.col(key).cast("string"), F.col("restart"), F.lit(seed), F.lit(settings.cluster_seed))
+        drawn = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+        far = F.array_min(F.transform(F.get(F.lit(centres), F.col("restart")), _squared)) if seed else F.lit(1.0)
+        weighed = each.select("restart", F.struct((far / F.log(drawn)).alias("w"), F.col(key).alias("k"), F.col("z")).alias("pick"))
+        for r in weighed.groupBy("restart").agg(F.min("pick").alias("pick")).collect():  # one point per restart
+            centres[r["restart"]].append(list(r["pick"]["z"]))
+    return centres
+
+
+def _nearest(centres: Column) -> Column:
+    """(distance, cluster) of the nearest centre, the first of equally near ones."""
+    return F.array_min(F.transform(centres, lambda c, i: F.struct(_squared(c).alias("d"), i.alias("c"))))
+
+
+def k_means(points: DataFrame, key: str, settings: Settings = SETTINGS) -> tuple[DataFrame, list[list[float]]]:
+    """(key, z, cluster) and the centres of the best restart.
+
+    All restarts move in the same pass: a row is assigned in each, and one aggregate gives the means of restarts x
+    clusters. A cluster that loses its rows keeps its centre. Stops when no centre moves, after ``cluster_steps`` steps at the latest.
+    """
+    restarts, clusters = range(settings.cluster_restarts), range(settings.clusters)
+    centres = _seeds(points, key, settings)
+    size = len(centres[0][0])
+
+    def assigned() -> DataFrame:
+        at = F.transform(F.lit(centres), lambda c, r: F.struct(r.alias("restart"), _nearest(c).alias("at")))
+        return points.select("z", F.inline(at)).select("z", "restart", F.col("at.c").alias("c"), F.col("at.d").alias("d"))
+
+    means = [F.avg(F.col("z")[i]).alias(f"m{i}") for i in range(size)]
+    for _ in range(settings.cluster_steps):
+        found = {(r["restart"], r["c"]): [r[f"m{i}"] for i in range(size)] for r in assigned().groupBy("restart", "c").agg(*means).collect()}
+        moved = [[found.get((r, c), centres[r][c]) for c in clusters] for r in restarts]
+        if moved == centres:
+            break
+        centres = moved
+    costs = {r["restart"]: r["cost"] for r in assigned().groupBy("restart").agg(F.sum("d").alias("cost")).collect()}
+    best = min(restarts, key=lambda r: (round(costs[r], 6), r))
+    return points.select(key, "z", _nearest(F.lit(centres[best]))["c"].alias("cluster")), centres[best]
+
+
+def archetypes(df: DataFrame, entity: str = "primary_key", settings: Settings = SETTINGS) -> tuple[DataFrame, DataFrame]:
+    """K-means on standardised careers: assignments, and centroids in original units.
+
+    Clusters are numbered by the first key among their members, so the number does not depend on the
+    restart that found them. Without careers both tables are empty.
+    """
+    careers = store(career_summary(df, entity), "careers")
+    spread = careers.agg(*[f(c).alias(f"{n}_{c}") for c in CAREER for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scaled = [(F.col(c) - F.lit(spread[f"m_{c}"])) / F.lit(spread[f"s_{c}"] or 1.0) for c in CAREER]
+    points = store(careers.select(entity, F.array(*scaled).cast("array<double>").alias("z")), "career-points")
+    if points.isEmpty():
+        none = careers.withColumn("cluster", F.lit(0)).limit(0)
+        return none, none.select("cluster", *[F.col(c).cast("double").alias(c) for c in CAREER])
+    assigned, centres = k_means(points, entity, settings)
+    assigned = store(assigned.drop("z"), "clusters")
+    first = assigned.groupBy("cluster").agg(F.min(entity).alias("first")).orderBy("first").collect()  # a row per cluster
+    number = {r["cluster"]: i for i, r in enumerate(first)}
+    renamed = F.create_map(*[F.lit(x) for kv in number.items() for x in kv])[F.col("cluster")]
+    rows = [
+        (n, *[float(v * (spread[f"s_{c}"] or 1.0) + spread[f"m_{c}"]) for v, c in zip(centres[old], CAREER)]) for old, n in number.items()
     ]
     schema = "cluster int, " + ", ".join(f"{c} double" for c in CAREER)
-    return assigned, df.sparkSession.createDataFrame(centres, schema)
+    return careers.join(assigned.withColumn("cluster", renamed), entity), df.sparkSession.createDataFrame(rows, schema)

@@ -148,7 +148,62 @@ UNION ALL SELECT 'columns_with_gt_1pct_nulls', '{' || string_agg('"' || "column"
 
 _TO = ", ".join(f"count(*) FILTER (WHERE max_tier = {t}) AS to_{t}" for t in range(5))
 
+def _archetype_parts() -> dict[str, str]:
+    """Careers, standardised points, seeds and steps of all restarts, and the best restart, as ``A.archetypes`` finds them."""
+    n, k, dims = SETTINGS.cluster_restarts, SETTINGS.clusters, range(len(A.CAREER))
+    apart = lambda a, b: " + ".join(f"({a}.f{i} - {b}.f{i}) * ({a}.f{i} - {b}.f{i})" for i in dims)
+    fs = lambda a: ", ".join(f"{a}.f{i}" for i in dims)
+    scaled = ", ".join(f"(CAST({c} AS DOUBLE) - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS f{i}" for i, c in enumerate(A.CAREER))
+    parts = {
+        "careers": f"""SELECT * FROM (SELECT primary_key, min(sex) AS sex, max(cumulative_comps) AS total_comps, max(tenure) AS career_tenure,
+  max(total) AS max_total, max(wilks) AS max_wilks, median(total_progress) AS median_progress FROM f3 WHERE {KNOWN} GROUP BY primary_key)
+WHERE sex IS NOT NULL AND total_comps IS NOT NULL AND career_tenure IS NOT NULL AND max_total IS NOT NULL AND max_wilks IS NOT NULL
+  AND median_progress IS NOT NULL""",
+        "z": f"SELECT primary_key, {scaled} FROM careers",
+        "restarts": f"SELECT unnest(range({n})) AS restart",
+    }
+    for j in range(k):
+        drawn = f"(CAST('0x' || substr(md5(z.primary_key || ':' || restart || ':{j}:{SETTINGS.cluster_seed}'), 1, 13) AS BIGINT) + 0.5) / pow(2, 52)"
+        away = f"(SELECT min({apart('z', 's')}) FROM seeds{j - 1} s WHERE s.restart = restarts.restart)" if j else "1.0"
+        parts[f"seeds{j}"] = (f"SELECT * FROM seeds{j - 1} UNION ALL " if j else "") + (
+            f"SELECT restart, {j} AS cluster, {fs('p')} FROM (SELECT restart, z.*, row_number() OVER (PARTITION BY restart "
+            f"ORDER BY {away} / -ln({drawn}) DESC, primary_key) AS place FROM restarts, z) p WHERE place = 1"
+        )
+    near = f"""SELECT restart, cluster, primary_key, d, {fs('x')} FROM (SELECT c.restart, c.cluster, z.*, {apart('z', 'c')} AS d,
+  row_number() OVER (PARTITION BY c.restart, primary_key ORDER BY {apart('z', 'c')}, c.cluster) AS place FROM z, {{centres}} c) x WHERE place = 1"""
+    means = ", ".join(f"avg(f{i}) AS f{i}" for i in dims)
+    parts["moves"] = f"""SELECT CAST(0 AS BIGINT) AS step, restart, CAST(cluster AS BIGINT) AS cluster, {fs(f'seeds{k - 1}')} FROM seeds{k - 1}
+UNION ALL SELECT o.step + 1, o.restart, o.cluster, {', '.join(f'coalesce(n.f{i}, o.f{i})' for i in dims)} FROM moves o
+LEFT JOIN (SELECT restart, cluster, {means} FROM ({near.format(centres='moves')}) GROUP BY restart, cluster) n
+  ON o.restart = n.restart AND o.cluster = n.cluster WHERE o.step < {SETTINGS.cluster_steps}"""
+    parts["final"] = f"SELECT * FROM moves WHERE step = {SETTINGS.cluster_steps}"
+    parts["placed"] = near.format(centres="final")
+    parts["best"] = "SELECT restart FROM (SELECT restart, sum(d) AS cost FROM placed GROUP BY restart) ORDER BY round(cost, 6), restart LIMIT 1"
+    parts["numbered"] = """SELECT cluster, CAST(row_number() OVER (ORDER BY min(primary_key)) - 1 AS INTEGER) AS number
+FROM placed WHERE restart = (SELECT restart FROM best) GROUP BY cluster"""
+    return parts
+
+
+_BACK = ", ".join(
+    f"round(f{i} * (SELECT coalesce(nullif(stddev_pop({c}), 0), 1) FROM careers) + (SELECT avg({c}) FROM careers), 6) AS {c}"
+    for i, c in enumerate(A.CAREER)
+)
+
 SQL = {
+    "archetypes": sql.query(
+        """SELECT c.primary_key, c.sex, c.total_comps, c.career_tenure, round(c.max_total, 6) AS max_total, round(c.max_wilks, 6) AS max_wilks,
+  round(c.median_progress, 6) AS median_progress, number AS cluster
+FROM careers c JOIN placed USING (primary_key) JOIN numbered USING (cluster) WHERE restart = (SELECT restart FROM best)""",
+        "f3",
+        recursive=True,
+        **_archetype_parts(),
+    ),
+    "archetype_centroids": sql.query(
+        f"SELECT number AS cluster, {_BACK} FROM final JOIN numbered USING (cluster) WHERE restart = (SELECT restart FROM best)",
+        "f3",
+        recursive=True,
+        **_archetype_parts(),
+    ),
     "orders_progress": f"""WITH p AS (SELECT o_custkey AS entity, CAST(o_orderdate AS DATE) AS date, o_orderkey AS tie,
   o_totalprice AS total FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) >= 3),
 l AS (SELECT *, row_number() OVER w AS event_no, lag(total) OVER w AS t1, date_diff('day', lag(date) OVER w, date) AS gap
