@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracklane.operators import features as P
 from tracklane.operators import history
+from tracklane.operators.history import PanelKeys
 from tracklane.plans import base as B
 from tracklane.plans.base import KEYS, base_table, history_features
 from tracklane.sources.schemas import BASE_INPUT, BASE_NAMES, LANDING_TYPES
@@ -183,3 +184,15 @@ def test_every_past_only_column_is_checked_or_named(spark):
     leaky = out.withColumns({c: F.col(c) + 1 for c in DERIVED})
     found = {r.feature: r.status for r in leakage_rows(leaky).collect()}
     assert all(found[c] == "leak" for c in DERIVED)
+
+
+def test_truncation_finds_what_knows_the_future_or_its_own_event(spark):
+    keys = PanelKeys("k", "d", "m")
+    schema = "k string, d int, m string, n int, prev_fine double, prev_later double, prev_own double, prev_rank double"
+    rows = lambda later, own, rank: [("a", d, "m", d, float(d), later, own, rank) for d in (1, 2)] + [("b", 1, "m", 1, 9.0, later, own, None)]
+    full, cut = spark.createDataFrame(rows(1.0, 1.0, 5.0), schema), spark.createDataFrame(rows(2.0, 1.0, 5.0), schema)
+    own = spark.createDataFrame(rows(1.0, 3.0, 5.0), schema).drop("prev_rank")
+    columns = ["prev_fine", "prev_later", "prev_own", "prev_rank"]
+    found = {r.feature: (r.from_later, r.from_own) for r in P.truncation_report(full, cut, own, keys, "n", columns).collect()}
+    # b has a first event only, which may know itself
+    assert found == {"prev_fine": (0, 0), "prev_later": (3, 0), "prev_own": (0, 1), "prev_rank": (0, None)}

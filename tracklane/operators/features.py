@@ -165,3 +165,45 @@ def leakage_report(
     checks += [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("long").alias("mismatches")) for c in asked if c not in rules]
     counted = both.agg(*[F.count_if(rule).alias(f"_bad_{c}") for c, rule in rules.items()])
     return counted.select(F.inline(F.array(*checks)))
+
+
+def truncation_report(
+    full: DataFrame,
+    cut: DataFrame,
+    own: DataFrame,
+    keys: PanelKeys,
+    event_no: str,
+    columns: Sequence[str],
+    tolerance: float = 1e-6,
+) -> DataFrame:
+    """Per feature, rows it changes on when what it must not know is taken away.
+
+    ``full`` holds the rows up to a date, computed from whole histories, ``cut`` the same rows computed without any later row:
+    a difference (``from_later``) is knowledge of the future, of the entity or of others. ``own`` was computed with other
+    measures in each entity's last row; a difference in that row (``from_own``, not counted at an entity's first event)
+    is knowledge of the event itself. Columns that ``own`` lacks have a null there.
+    """
+    key = [keys.entity, *keys.order()]
+    shown = [c for c in columns if c in own.columns]
+    ends = full.groupBy(keys.entity).agg(F.max(event_no).alias("_last"))
+    rows = full.select(*key, event_no, *[F.col(c).cast("double").alias(f"_full_{c}") for c in columns])
+    rows = rows.join(cut.select(*key, *[F.col(c).cast("double").alias(f"_cut_{c}") for c in columns]), key, "left")
+    rows = rows.join(own.select(*key, *[F.col(c).cast("double").alias(f"_own_{c}") for c in shown]), key, "left")
+    rows = rows.join(ends, keys.entity)
+
+    def differs(c: str, other: str) -> Column:
+        a, b = F.col(f"_full_{c}"), F.col(f"_{other}_{c}")
+        return ~a.eqNullSafe(b) & F.coalesce(F.abs(a - b) > tolerance, F.lit(True))
+
+    tested = (F.col(event_no) == F.col("_last")) & (F.col(event_no) > 1)
+    counts = [F.count_if(differs(c, "cut")).alias(f"later_{c}") for c in columns]
+    counts += [F.count_if(tested & differs(c, "own")).alias(f"own_{c}") for c in shown]
+    entries = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            F.col(f"later_{c}").alias("from_later"),
+            (F.col(f"own_{c}") if c in shown else F.lit(None).cast("long")).alias("from_own"),
+        )
+        for c in columns
+    ]
+    return rows.agg(*counts).select(F.inline(F.array(*entries)))

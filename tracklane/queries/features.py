@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from tracklane.config import SETTINGS
 from tracklane.functions import columns as C
 from tracklane.operators import features as P
-from tracklane.operators.model import encode_categories
+from tracklane.operators.model import encode_categories, split_dates
 from tracklane.operators.rating import field_rating
-from tracklane.plans.base import KEYS, RATING_COLUMNS, SEGMENT, base_table
+from tracklane.plans.base import KEYS, RATING_COLUMNS, SEGMENT, base_table, history_features, segment_features
 from tracklane.queries import sql
 from tracklane.queries.layers import base_layer, meet_rated_layer, rated_layer, raw_layer, rounded
+from tracklane.runtime import store
+from tracklane.sources.schemas import BASE_INPUT, BASE_NAMES
 from tracklane.sources.star_schema import table
 
 KEY = ["primary_key", "date", "meet_name"]
@@ -184,8 +186,35 @@ def leakage_rows(rows: DataFrame) -> DataFrame:
     return found.withColumn("status", status)
 
 
+# What stands for other measures in an entity's last row.
+CHANGED = ("squat", "bench", "deadlift", "total", "wilks")
+
+
+def truncated(base: DataFrame) -> DataFrame:
+    """Every past-only column against histories cut at the end of the training rows, and against changed last events."""
+    cuts = store(split_dates(base), "cut-offs")
+    full = base.filter(F.col("date") <= cuts.select("train_end").scalar())
+    inputs = store(full.select(*[BASE_NAMES.get(c, c) for c in BASE_INPUT]), "cut-rows")
+    ends = inputs.groupBy("primary_key").agg(F.max(F.struct("date", "meet_name")).alias("_end"))
+    at_end = F.struct("date", "meet_name") == F.col("_end")
+    other = inputs.join(ends, "primary_key").withColumns({c: F.when(at_end, F.col(c) * 2 + 1).otherwise(F.col(c)) for c in CHANGED}).drop("_end")
+    cut = store(segment_features(store(history_features(inputs), "cut-history")), "cut-features")
+    columns = sorted(c for c in base.columns if PAST_ONLY.match(c))
+    return P.truncation_report(full, cut, history_features(other), KEYS, "cumulative_comps", columns)
+
+
+def leakage_guard_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What knows later rows or its own event; ranks over the whole segment do, by definition."""
+    return truncated(base_layer(spark, sf_dir))
+
+
 def leakage_guard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage_rows(rated_layer(spark, sf_dir))
+    """The rules, and the cut histories for columns without a rule: no column stays unchecked."""
+    found = leakage_rows(rated_layer(spark, sf_dir))
+    cut = truncated(base_layer(spark, sf_dir)).select("feature", (F.col("from_later") + F.coalesce("from_own", F.lit(0))).alias("_cut"))
+    mismatches = F.coalesce("mismatches", "_cut")
+    status = F.when(mismatches.isNull(), "unchecked").when(mismatches > 0, "leak").otherwise("ok")
+    return found.join(cut, "feature", "left").select("feature", mismatches.alias("mismatches"), status.alias("status"))
 
 
 def rating(period: str):
@@ -225,6 +254,7 @@ QUERIES = {
     "encode_categories": encoded,
     "leakage_guard": leakage_guard,
     "leakage_guard_all": leakage_guard_all,
+    "leakage_guard_cut": leakage_guard_cut,
     "elo_rating": rating("month"),
     "elo_rating_quarters": rating("quarter"),
     "rating_features": rating_features,
@@ -265,6 +295,39 @@ def _leakage_sql() -> str:
     return sql.query(tests)
 
 
+def _cut_sql() -> str:
+    """The feature chain three times: over all rows, over those up to the cut, and with other measures in the last of them."""
+    chain = ["eligible", "f0", "f1", "f2", "f3", "f4", "firsts", "base"]
+
+    def copied(prefix: str) -> dict[str, str]:
+        names = "|".join(chain)
+        return {f"{prefix}_{n}": re.sub(rf"\b({names})\b", rf"{prefix}_\1", sql.CTES[n]) for n in chain[1:]}
+
+    columns = sorted(c for c in ALL_FEATURES if PAST_ONLY.match(c))
+    history = [c for c in columns if c not in ("first_comp_percentile_vs_sex_wc", "prev_total_percentile_rank", "prev_total_vs_segment_mean")]
+    changed = ", ".join(f"CASE WHEN ending THEN {c} * 2 + 1 ELSE {c} END AS {c}" for c in CHANGED)
+    off = lambda c, t: f"(abs(b.{c} - {t}.{c}) > 1e-6 OR (b.{c} IS NULL) <> ({t}.{c} IS NULL))"
+    at_end = "b.cumulative_comps = n.n AND n.n > 1"
+    both = " AND ".join(f"b.{k} = {{t}}.{k}" for k in KEY)
+    tests = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {off(c, 't')}) AS from_later, "
+        + (f"count(*) FILTER (WHERE {at_end} AND {off(c, 'o')})" if c in history else "CAST(NULL AS BIGINT)")
+        + f" AS from_own FROM b JOIN cut_base t ON {both.format(t='t')} JOIN own_base o ON {both.format(t='o')} JOIN n ON b.primary_key = n.primary_key"
+        for c in columns
+    )
+    return sql.query(
+        tests,
+        cut_at="SELECT (list(date ORDER BY date))[CAST(floor(count(*) * CAST(0.67 AS DOUBLE)) AS BIGINT) + 1] AS d FROM base",
+        cut_eligible="SELECT * FROM eligible WHERE date <= (SELECT d FROM cut_at)",
+        own_eligible=f"""SELECT * REPLACE ({changed}) FROM (SELECT *, row_number() OVER (PARTITION BY primary_key
+  ORDER BY date DESC, meet_name DESC) = 1 AS ending FROM cut_eligible)""",
+        **copied("cut"),
+        **copied("own"),
+        b="SELECT * FROM base WHERE date <= (SELECT d FROM cut_at)",
+        n="SELECT primary_key, max(cumulative_comps) AS n FROM b GROUP BY primary_key",
+    )
+
+
 def _rating_sql(period: str) -> str:
     cols = ", ".join(sql.r(c, digits=4) for c in ("elo_rating", "meet_field_elo", "elo_change"))
     parts = sql.rating_parts(period, "sex, ipf_weight_class")
@@ -292,6 +355,7 @@ FROM (SELECT name, date, {sql.dots_case('sex', 'bodyweight_kg', 'total_kg')} AS
     ),
     "encode_categories": _encode_sql(),
     "leakage_guard": _leakage_sql(),
+    "leakage_guard_cut": _cut_sql(),
     "elo_rating": _rating_sql("month"),
     "elo_rating_quarters": _rating_sql("quarter"),
     "rating_features_meets": sql.query(
