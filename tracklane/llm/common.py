@@ -45,6 +45,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def row_key(key: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows apart that share a key: the key, then a hash of the text. Ordered as the keys are."""
+    return F.struct(F.col(key).alias("key"), F.xxhash64(text_of(text)).alias("text"))
+
+
 def collapsed(text: Column) -> Column:
     """Each run of blanks, tabs and line ends as one blank.
 

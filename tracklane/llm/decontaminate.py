@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import MARKS, Scratch, Words, grams, pieces, ship, table
+from tracklane.llm.common import MARKS, Scratch, Words, grams, pieces, row_key, ship, table
 
 N = 3  # words of a seed
 KEEP = 0.75
@@ -145,7 +145,7 @@ def matches(words: Words, items: Items, threshold: float) -> Iterator[tuple]:
             yield t, k, round(score, 6), best[1], best[2]
 
 
-RESULT = "key long, item long, score double, first_word long, end_word long"
+RESULT = "item long, score double, first_word long, end_word long"
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple]]:
@@ -176,7 +176,8 @@ def contaminated(
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontaminate")
     ship(spark)
-    source = docs.select(F.col(key).cast("long").alias("key"), F.lower(text).alias("text"))
+    source = docs.select(F.col(key).alias("key"), F.lower(text).alias("text"))
+    schema = f"key {dict(source.dtypes)['key']}, {RESULT}"
     out = None
     for rows in _blocks(benchmark, item, "text"):
         items = Items(rows)
@@ -206,10 +207,10 @@ def contaminated(
                     columns = [batch["key"].take(pa.array(t)), ids, *(pa.array(x) for x in rest)]
                     yield pa.RecordBatch.from_arrays(columns, ["key", "item", "score", "first_word", "end_word"])
 
-        found = scratch.store(source.mapInArrow(search, RESULT))
+        found = scratch.store(source.mapInArrow(search, schema))
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = spark.createDataFrame([], RESULT)
+        out = spark.createDataFrame([], schema)
     best = F.max(F.struct("score", -F.col("first_word"), -F.col("end_word"))).alias("best")
     best_of = out.groupBy("key", "item").agg(best).withColumnsRenamed({"key": key, "item": item})
     return best_of.select(
@@ -222,10 +223,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that match no test item, with their own columns; a document without id stays."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that match no test item, with their own columns; rows that share an id, or have none, are judged one by one."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), row_key().alias("_key"), F.col("text").alias("_text"))
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), "_key", "_text")
+    return rows.drop("_text").join(found.select("_key").distinct(), "_key", "left_anti").select("_row.*")
 
 
 QUERIES = {"op2_decontaminate": op2_decontaminate}

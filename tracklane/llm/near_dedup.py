@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import Scratch, Words, grams, mix, pieces, ship, table
+from tracklane.llm.common import Scratch, Words, grams, mix, pieces, row_key, ship, table
 from tracklane.llm.components import components
 
 SHINGLE = 5
@@ -478,10 +478,21 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id; documents without id stay."""
-    groups = near_groups(docs)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group, the one with the smallest id; documents without id stay.
+
+    Rows that share an id are documents of their own unless their texts are equal; of those one stays.
+    """
+    scratch = Scratch(spark, "near-dedup-stage")
+    own = F.when(F.col("doc_id").isNotNull(), row_key())
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), own.alias("_key"), F.col("text").alias("_text"))
+    groups = scratch.store(near_groups(rows, "_key", "_text").select("_key", "component_id"))
+    gone = groups.filter("component_id <> _key").select("_key").distinct()
+    kept = rows.drop("_text").join(gone, "_key", "left_anti")
+    again = scratch.store(groups.filter("_key IS NOT NULL").groupBy("_key").count().filter("count > 1").select("_key"))
+    if not again.isEmpty():
+        one = kept.join(again, "_key", "left_semi").dropDuplicates(["_key"])
+        kept = kept.join(again, "_key", "left_anti").unionByName(one)
+    return kept.select("_row.*")
 
 
 QUERIES = {"op7_near_dedup": op7_near_dedup}
