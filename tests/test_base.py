@@ -196,3 +196,15 @@ def test_truncation_finds_what_knows_the_future_or_its_own_event(spark):
     found = {r.feature: (r.from_later, r.from_own) for r in P.truncation_report(full, cut, own, keys, "n", columns).collect()}
     # b has a first event only, which may know itself
     assert found == {"prev_fine": (0, 0), "prev_later": (3, 0), "prev_own": (0, 1), "prev_rank": (0, None)}
+
+
+def test_published_score_counts_and_quality_rules_drop_rows(spark):
+    raw = as_raw(spark, panel_rows())
+    plain = {(r.primary_key, r.date): r.dots for r in B.row_features(B.eligible_rows(raw.drop("dots"))).collect()}
+    given = raw.withColumn("dots", F.when(F.col("primary_key").startswith("L1"), "123.5").otherwise("n/a"))
+    scored = {(r.primary_key, r.date): r.dots for r in B.row_features(B.eligible_rows(given)).collect()}
+    assert set(scored) == set(plain) and {v for (k, _), v in scored.items() if k.startswith("L1")} == {123.5}
+    assert all(v == plain[k] for k, v in scored.items() if not k[0].startswith("L1"))
+    bad = raw.withColumn("total_kg", F.when(F.col("primary_key").startswith("L3"), F.col("total_kg") + 50).otherwise(F.col("total_kg")))
+    kept = {r.primary_key[:2] for r in B.eligible_rows(bad, quality=True).collect()}
+    assert kept == {"L1", "L2"} and {r.primary_key[:2] for r in B.eligible_rows(bad).collect()} == {"L1", "L2", "L3"}

@@ -60,6 +60,8 @@ def test_jobs_from_csv_to_models(spark, tmp_path):
     base = jobs.build_base(spark, lake, period="quarter")
     assert 0 < base["rows"] <= raw["rows"] and base["nulls_elo_rating"] == 0
     table = lake.read(spark, "base", jobs.RESULTS)
+    drops = {r.rule: r for r in lake.read(spark, "base", "quality_drops").collect()}
+    assert set(drops) == {"bombout", "total_consistency", "bodyweight"} and drops["bombout"].rows_dropped == 0
     assert {"elo_rating", "prev_elo_change", "total_percentile_rank", "max_tier_so_far"} <= set(table.columns)
 
     jobs.build_reports(spark, lake)

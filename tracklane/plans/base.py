@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracklane.config import SETTINGS, Settings
 from tracklane.functions import columns as C
 from tracklane.operators import features as P
-from tracklane.operators.clean import fill_defaults, keep_event
+from tracklane.operators.clean import apply_rules, fill_defaults, keep_event, quality_rules
 from tracklane.operators.history import PanelKeys, split_hot, with_history
 from tracklane.operators.identity import resolve_entities
 from tracklane.operators.positions import lookup_percentile, percentile_ranks
@@ -26,23 +26,35 @@ KEYS = PanelKeys("primary_key", "date", "meet_name")
 SEGMENT = ["sex", "ipf_weight_class"]
 PARTS = ["squat", "bench", "deadlift"]
 MEASURES = ["total", *PARTS]
+SOURCE_SCORE = "source_dots"
 ABOVE_TIER = ("intermediate", "advanced", "elite", "world_class")
 
 
-def eligible_rows(raw: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """Base columns under base names, defaults filled, of eligible events of active entities."""
+def base_events(raw: DataFrame) -> DataFrame:
+    """Base columns under base names, defaults filled, of eligible events; a published score goes along as ``source_dots``."""
+    published = [F.col("dots").try_cast("double").alias(SOURCE_SCORE)] if "dots" in raw.columns else []
     return (
-        raw.select(*BASE_INPUT)
+        raw.select(*BASE_INPUT, *published)
         .withColumnsRenamed(BASE_NAMES)
         .transform(fill_defaults, {"parent_federation": "Independent", "meet_name": "local"})
         .transform(keep_event)
-        .transform(resolve_entities, settings=settings)
     )
 
 
+def eligible_rows(raw: DataFrame, settings: Settings = SETTINGS, quality: bool = False) -> DataFrame:
+    """``base_events`` of active entities; with ``quality`` only those that meet every quality rule."""
+    events = base_events(raw)
+    if quality:
+        events = apply_rules(events, quality_rules(settings))
+    return resolve_entities(events, settings=settings)
+
+
 def row_features(rows: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """Level 0: what a row alone determines."""
     age = F.year("date") - F.col("birth_year")
+    score = C.dots("sex", "bodyweight", "total", settings)
+    if SOURCE_SCORE in rows.columns:  # the published score counts, the formula fills its gaps
+        score = F.coalesce(SOURCE_SCORE, score)
     return rows.withColumns(
         {
             "ipf_weight_class": C.weight_class("sex", "bodyweight", settings),
@@ -52,7 +64,7 @@ def row_features(rows: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
             "years_from_peak_age": age - settings.peak_age,
             "abs_years_from_peak_age": F.abs(age - settings.peak_age),
             "total_per_bw": C.ratio("total", "bodyweight"),
-            "dots": C.dots("sex", "bodyweight", "total", settings),
+            "dots": score,
             **{f"{p}_ratio": C.ratio(p, "total") for p in PARTS},
         }
     )
@@ -211,9 +223,9 @@ def rating_features(rows: DataFrame, period: str = MEET, settings: Settings = SE
     return rows.join(rated, key, "left").withColumn("elo_gap_vs_field", F.col("elo_rating") - F.col("meet_field_elo"))
 
 
-def base_table(raw: DataFrame, period: str | None = None, settings: Settings = SETTINGS) -> DataFrame:
-    """The base layer; ``period`` adds the rating in rounds of that length."""
-    rows = store(eligible_rows(raw, settings), "eligible")
+def base_table(raw: DataFrame, period: str | None = None, settings: Settings = SETTINGS, quality: bool = False) -> DataFrame:
+    """The base layer; ``period`` adds the rating in rounds of that length, ``quality`` drops implausible rows first."""
+    rows = store(eligible_rows(raw, settings, quality), "eligible")
     featured = store(history_features(rows, settings=settings), "history")
     full = segment_features(featured, settings)
     if period:

@@ -18,7 +18,8 @@ from tracklane.operators import analyses as A
 from tracklane.operators import describe as D
 from tracklane.operators import metrics as M
 from tracklane.operators import model as ML
-from tracklane.plans.base import MEET, base_table
+from tracklane.operators.clean import drop_report, quality_rules
+from tracklane.plans.base import MEET, base_events, base_table
 from tracklane.plans.raw import REPEAT_KEYS, raw_results
 from tracklane.runtime import store
 from tracklane.sources.csv_files import convert_reference_tables, land_csv
@@ -41,6 +42,8 @@ REPORTS = {
     "analysis_lift_ratios": A.part_ratios,
     "analysis_wilks_trajectory": A.score_trajectory,
     "analysis_survival": A.milestone_attainment,
+    "describe_score_norms": D.score_norms,
+    "describe_tier_transitions": D.tier_transitions,
 }
 
 
@@ -61,9 +64,14 @@ def build_raw(spark: SparkSession, lake: Lake) -> dict[str, int]:
     return lake.write(raw, "raw", RESULTS, ENTITY_ORDER)
 
 
-def build_base(spark: SparkSession, lake: Lake, period: str = MEET, settings: Settings = SETTINGS) -> dict[str, int]:
-    base = base_table(lake.read(spark, "raw", RESULTS), period, settings)
-    return lake.write(base, "base", RESULTS, ENTITY_ORDER)
+def build_base(
+    spark: SparkSession, lake: Lake, period: str = MEET, settings: Settings = SETTINGS, quality: bool = True
+) -> dict[str, int]:
+    """Base layer. With ``quality``, rows that break a quality rule are left out and ``quality_drops`` tells how many."""
+    raw = lake.read(spark, "raw", RESULTS)
+    if quality:
+        lake.write(drop_report(base_events(raw), quality_rules(settings)), "base", "quality_drops")
+    return lake.write(base_table(raw, period, settings, quality), "base", RESULTS, ENTITY_ORDER)
 
 
 def build_reports(spark: SparkSession, lake: Lake) -> None:
@@ -109,6 +117,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--csv", help="results CSV for the land job")
     parser.add_argument("--reference", help="folder of reference CSVs")
     parser.add_argument("--period", default=MEET, help="rate meet by meet, or all meets of a month, quarter or year from one start")
+    parser.add_argument("--keep-implausible", action="store_true", help="keep rows that break a quality rule")
     parser.add_argument("--trials", type=int, default=ML.JOB_TRIALS, help="draws from the search space")
     parser.add_argument("jobs", nargs="*", help="land, reference, raw, base, reports, models")
     args = parser.parse_args(argv)
@@ -117,7 +126,7 @@ def main(argv: list[str] | None = None) -> None:
         "land": lambda: land(spark, lake, args.csv),
         "reference": lambda: load_reference(spark, lake, args.reference),
         "raw": lambda: build_raw(spark, lake),
-        "base": lambda: build_base(spark, lake, args.period),
+        "base": lambda: build_base(spark, lake, args.period, quality=not args.keep_implausible),
         "reports": lambda: build_reports(spark, lake),
         "models": lambda: build_models(spark, lake, trials=ML.random_trials(args.trials)),
     }

@@ -12,7 +12,7 @@ from tracklane.functions import columns as C
 from tracklane.operators import features as P
 from tracklane.operators.model import encode_categories, split_dates
 from tracklane.operators.rating import field_rating
-from tracklane.plans.base import KEYS, RATING_COLUMNS, SEGMENT, base_table, history_features, segment_features
+from tracklane.plans.base import KEYS, RATING_COLUMNS, SEGMENT, SOURCE_SCORE, base_table, history_features, segment_features
 from tracklane.queries import sql
 from tracklane.queries.layers import base_layer, meet_rated_layer, rated_layer, raw_layer, rounded
 from tracklane.runtime import store
@@ -194,7 +194,8 @@ def truncated(base: DataFrame) -> DataFrame:
     """Every past-only column against histories cut at the end of the training rows, and against changed last events."""
     cuts = store(split_dates(base), "cut-offs")
     full = base.filter(F.col("date") <= cuts.select("train_end").scalar())
-    inputs = store(full.select(*[BASE_NAMES.get(c, c) for c in BASE_INPUT]), "cut-rows")
+    published = [c for c in (SOURCE_SCORE,) if c in full.columns]
+    inputs = store(full.select(*[BASE_NAMES.get(c, c) for c in BASE_INPUT], *published), "cut-rows")
     ends = inputs.groupBy("primary_key").agg(F.max(F.struct("date", "meet_name")).alias("_end"))
     at_end = F.struct("date", "meet_name") == F.col("_end")
     other = inputs.join(ends, "primary_key").withColumns({c: F.when(at_end, F.col(c) * 2 + 1).otherwise(F.col(c)) for c in CHANGED}).drop("_end")
