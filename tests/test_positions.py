@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracklane.operators.positions import (
     Quantile,
     add_percentile_rank,
+    add_percentile_rank_asof,
     bucket_of,
     entity_median,
     group_quantiles,
@@ -76,6 +77,28 @@ def test_percentile_rank_is_the_average_rank(spark, seed):
         assert got[i] == (None if pd.isna(p) else pytest.approx(p))
 
 
+@pytest.mark.parametrize("days", [1, 2, 37])
+def test_percentile_rank_asof_knows_no_later_row(spark, days):
+    draw = random.Random(days)
+    day = lambda: draw.choice([None, *range(days)]) if days > 2 else draw.randrange(days)
+    rows = [(i, g, day(), x) for i, (g, x) in enumerate(sample(days))]
+    df = spark.createDataFrame(rows, "i int, g string, day int, x double").withColumn("day", F.date_add(F.lit("2020-02-20"), F.col("day")))
+    got = {r.i: r.p for r in add_percentile_rank_asof(df, ["g"], "day", "x", "p").collect()}
+    assert set(got) == set(range(len(rows)))
+    for i, g, d, x in rows:
+        if x is None or d is None:
+            assert got[i] is None
+            continue
+        known = [y for _, h, e, y in rows if h == g and e is not None and e <= d and y is not None]
+        want = (sum(y < x for y in known) + (sum(y == x for y in known) + 1) / 2) / len(known) * 100
+        assert got[i] == pytest.approx(want)
+
+
+def test_percentile_rank_asof_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "g string, day date, x double")
+    assert add_percentile_rank_asof(df, ["g"], "day", "x", "p").collect() == []
+
+
 def test_one_value_may_fill_a_group(spark):
     df = spark.range(10_000).selectExpr("'hot' AS g", "IF(id < 9990, 7.0D, CAST(id AS DOUBLE)) AS x")
     placed = value_positions(df, ["g"], "x")

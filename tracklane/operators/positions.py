@@ -64,17 +64,18 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str =
     return df.withColumn("_key", F.struct(*on)).join(right, "_key", how).drop("_key")
 
 
-def value_positions(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+def value_positions(df: DataFrame, groups: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """One row per group and distinct non-null value.
 
     ``copies`` rows carry the value, ``before`` rows of the group are smaller and
-    ``size`` rows have a value at all.
+    ``size`` rows have a value at all. With a ``weight`` a row counts as so many; one
+    of weight 0 asks for the position of its value and moves no other.
     """
     group = F.struct(*groups).alias("_group")  # null group keys form one group
     distinct = (
         df.filter(F.col(value).isNotNull())
         .groupBy(group, F.col(value))
-        .agg(F.count(F.lit(1)).alias("copies"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("copies"))
         .withColumn("_bucket", bucket_of(F.col(value).cast("double")))
     )
     counts = distinct.groupBy("_group", "_bucket").agg(F.sum("copies").alias("_in_bucket"))
@@ -117,6 +118,56 @@ def add_percentile_rank(df: DataFrame, groups: Sequence[str], value: str, out: s
     return lookup_percentile(df, ranks, out, groups, value, out)
 
 
+def percentile_ranks_asof(df: DataFrame, groups: Sequence[str], date: str, values: Mapping[str, Column]) -> DataFrame:
+    """One row per group, date, measure and value: the percentile among the rows up to that date, which counts in.
+
+    The days up to a date are a union of dyadic intervals, one per set bit of their
+    number. A row is counted in the interval of each size that holds its day and asks
+    the intervals its own date is made of, so a rank costs a factor of the logarithm of
+    the days and no join of rows with rows. Each interval is ranked as a group of
+    ``value_positions``, so neither a group nor an interval is sorted in one task. Only
+    the first and last date reach the driver. Rows without a date are not ranked.
+    """
+    entries = [F.struct(F.lit(name).alias("measure"), v.cast("double").alias("value")) for name, v in values.items()]
+    long = df.select(F.struct(*groups).alias("_key"), F.col(date).cast("date").alias("_date"), F.inline(F.array(*entries)))
+    counted = long.filter("_date IS NOT NULL AND value IS NOT NULL").groupBy("_key", "_date", "measure", "value")
+    points = store(counted.agg(F.count(F.lit(1)).alias("_rows")), "asof-points")
+    first, last = points.agg(F.min("_date"), F.max("_date")).first()
+    days = 1 if first is None else (last - first).days + 1
+    levels = F.array(*[F.lit(n) for n in range(days.bit_length())])
+
+    upto = F.datediff("_date", F.lit(first).cast("date")) + 1  # days from the first to this one
+    at = lambda level: F.call_function("shiftright", upto, level)
+    counts_in = F.transform(
+        levels,
+        lambda n: F.struct(
+            n.alias("level"),
+            F.call_function("shiftright", upto - 1, n).alias("interval"),
+            F.lit(None).cast("date").alias("asked"),
+            F.col("_rows").alias("weight"),
+        ),
+    )
+    asks = F.transform(
+        F.filter(levels, lambda n: at(n) % 2 == 1),
+        lambda n: F.struct(
+            n.alias("level"), (at(n) - 1).alias("interval"), F.col("_date").alias("asked"), F.lit(0).cast("long").alias("weight")
+        ),
+    )
+    interval = ["_key", "measure", "level", "interval"]
+    spread = points.select("_key", "measure", "value", F.inline(F.concat(counts_in, asks)))
+    placed = value_positions(spread, interval, "value", F.col("weight"))
+    asked = spread.filter("asked IS NOT NULL").select(*interval, "value", "asked")
+    found = asked.join(placed, [*interval, "value"]).groupBy("_key", "asked", "measure", "value")
+    sums = found.agg(*[F.sum(c).alias(c) for c in ("before", "copies", "size")])
+    percentile = (F.col("before") + (F.col("copies") + 1) / 2) / F.col("size") * 100
+    return sums.select("_key.*", F.col("asked").alias(date), "measure", "value", percentile.alias("percentile"))
+
+
+def add_percentile_rank_asof(df: DataFrame, groups: Sequence[str], date: str, value: str, out: str) -> DataFrame:
+    ranks = store(percentile_ranks_asof(df, groups, date, {out: F.col(value)}), "percentile-ranks")
+    return lookup_percentile(df, ranks, out, [*groups, date], value, out)
+
+
 def group_quantiles(
     df: DataFrame,
     groups: Sequence[str],

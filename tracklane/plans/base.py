@@ -16,7 +16,7 @@ from tracklane.operators import features as P
 from tracklane.operators.clean import apply_rules, fill_defaults, keep_event, quality_rules
 from tracklane.operators.history import PanelKeys, split_hot, with_history
 from tracklane.operators.identity import resolve_entities
-from tracklane.operators.positions import lookup_percentile, percentile_ranks
+from tracklane.operators.positions import lookup_percentile, percentile_ranks, percentile_ranks_asof
 from tracklane.operators.rating import field_rating, meet_rating
 from tracklane.operators.segments import add_segment_mean
 from tracklane.runtime import store
@@ -193,6 +193,21 @@ def segment_features(rows: DataFrame, settings: Settings = SETTINGS) -> DataFram
     )
 
 
+def past_rank_features(featured: DataFrame) -> DataFrame:
+    """Ranks that know no later row: of the previous total up to the event, of the first score up to the first event.
+
+    ``featured`` are rows with history features. The ranks of ``segment_features`` go over the whole history.
+    """
+    first_score = F.when(F.col("cumulative_comps") == 1, F.col("dots"))
+    measures = {"previous": F.col("previous_total"), "first": first_score}
+    ranks = store(percentile_ranks_asof(featured, SEGMENT, KEYS.date, measures), "percentile-ranks")
+    now = [*SEGMENT, KEYS.date]
+    first = [f"_first_{c}" for c in now]
+    return featured.transform(
+        lookup_percentile, ranks, "previous", now, "previous_total", "prev_total_percentile_rank_asof"
+    ).transform(lookup_percentile, ranks, "first", first, "_first_dots", "first_comp_percentile_asof")
+
+
 MEET = "meet"  # rate meet by meet
 RATING_COLUMNS = ["elo_rating", "elo_change", "meet_field_elo", "prev_elo_change"]
 

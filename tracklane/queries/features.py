@@ -12,7 +12,17 @@ from tracklane.functions import columns as C
 from tracklane.operators import features as P
 from tracklane.operators.model import encode_categories, split_dates
 from tracklane.operators.rating import field_rating
-from tracklane.plans.base import KEYS, RATING_COLUMNS, SEGMENT, SOURCE_SCORE, base_table, history_features, segment_features
+from tracklane.plans.base import (
+    KEYS,
+    RATING_COLUMNS,
+    SEGMENT,
+    SOURCE_SCORE,
+    base_table,
+    eligible_rows,
+    history_features,
+    past_rank_features,
+    segment_features,
+)
 from tracklane.queries import sql
 from tracklane.queries.layers import base_layer, meet_rated_layer, rated_layer, raw_layer, rounded
 from tracklane.runtime import store
@@ -81,6 +91,13 @@ def base_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(base_table(raw_layer(spark, sf_dir)).select(*KEY, *ALL_FEATURES))
 
 
+def past_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two ranks of the base layer as they stood at the event."""
+    rows = store(eligible_rows(raw_layer(spark, sf_dir)), "eligible")
+    ranked = past_rank_features(store(history_features(rows), "history"))
+    return rounded(ranked.select(*KEY, "prev_total_percentile_rank_asof", "first_comp_percentile_asof"))
+
+
 def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
@@ -248,6 +265,7 @@ def rating_features_meets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "base_features": base_features,
     **{name: _family(cols) for name, cols in FAMILIES.items()},
+    "past_ranks": past_ranks,
     "ratios": ratios,
     "experience_level": experience_level,
     "weight_class": weight_class,
@@ -279,6 +297,26 @@ def _encode_sql() -> str:
     )
 
 
+def _past_ranks_sql() -> str:
+    """Every row beside the rows of its segment up to its date, and every first event beside the first events up to it."""
+
+    def upto(rows: str, x: str, key: str) -> str:
+        return f"""SELECT {key}, (count(*) FILTER (b.{x} < a.{x}) + (count(*) FILTER (b.{x} = a.{x}) + 1) / 2.0) / count(*) * 100 AS p
+FROM (SELECT * FROM {rows} WHERE {x} IS NOT NULL) a JOIN (SELECT * FROM {rows} WHERE {x} IS NOT NULL) b
+  ON a.sex IS NOT DISTINCT FROM b.sex AND a.ipf_weight_class IS NOT DISTINCT FROM b.ipf_weight_class AND b.date <= a.date
+GROUP BY {key}"""
+
+    return sql.query(
+        f"""SELECT primary_key, date, meet_name, {sql.r('q.p', 'prev_total_percentile_rank_asof')},
+  {sql.r('s.p', 'first_comp_percentile_asof')}
+FROM f4 LEFT JOIN q USING (primary_key, date, meet_name) LEFT JOIN s USING (primary_key)""",
+        "f4",
+        q=upto("f4", "previous_total", "a.primary_key, a.date, a.meet_name"),
+        first_rows="SELECT * FROM f4 WHERE cumulative_comps = 1",
+        s=upto("first_rows", "dots", "a.primary_key"),
+    )
+
+
 def _leakage_sql() -> str:
     def off(c: str, want: str) -> str:
         return f"(abs(a.{c} - {want}) > 1e-9 OR (a.{c} IS NULL) <> (({want}) IS NULL))"
@@ -338,6 +376,7 @@ def _rating_sql(period: str) -> str:
 SQL = {
     "base_features": _select(ALL_FEATURES),
     **{name: _select(cols) for name, cols in FAMILIES.items()},
+    "past_ranks": _past_ranks_sql(),
     "ratios": """SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity, 0), 6) AS unit_price,
   round(l_tax / nullif(l_discount, 0), 6) AS tax_per_discount FROM lineitem""",
     "experience_level": sql.query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracklane.functions import columns as C
 from tracklane.operators import features as P
 from tracklane.operators.history import split_hot, with_history
-from tracklane.operators.positions import add_percentile_rank
+from tracklane.operators.positions import add_percentile_rank, add_percentile_rank_asof
 from tracklane.operators.segments import add_segment_mean
 from tracklane.queries.layers import ORDERS, orders_history, rounded
 from tracklane.sources.star_schema import events_panel, segmented_panel
@@ -135,6 +135,13 @@ def percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranked.select(*KEY, "total", "percentile_rank"))
 
 
+def percentile_rank_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals among those of the segment up to the row's date."""
+    rows = segmented_panel(spark, sf_dir).withColumn("total", F.floor(F.col("total") / 2500) * 2500.0)
+    ranked = add_percentile_rank_asof(rows, ["region", "market"], "date", "total", "percentile_rank")
+    return rounded(ranked.select(*KEY, "total", "percentile_rank"))
+
+
 QUERIES = {
     "lagged_measures": lagged_measures,
     "event_gaps": event_gaps,
@@ -149,6 +156,7 @@ QUERIES = {
     "segment_mean": segment_mean("date"),
     "segment_mean_rows": segment_mean("row"),
     "percentile_rank": percentile_rank,
+    "percentile_rank_asof": percentile_rank_asof,
 }
 
 _P = """p AS (SELECT o_custkey AS entity, CAST(o_orderdate AS DATE) AS date, o_orderkey AS tie, o_totalprice AS total FROM orders)"""
@@ -208,4 +216,8 @@ FROM g WINDOW w AS (PARTITION BY entity ORDER BY date, tie), r AS ({_W3} 3 PRECE
 SELECT entity, tie, CAST(total AS DOUBLE) AS total, round((rank() OVER (PARTITION BY region, market ORDER BY total)
   + (count(*) OVER (PARTITION BY region, market, total) - 1) / 2.0) / count(*) OVER (PARTITION BY region, market) * 100, 6)
   AS percentile_rank FROM f""",
+    "percentile_rank_asof": f"""WITH {_SEG}, f AS (SELECT entity, tie, date, region, market, floor(total / 2500) * 2500.0 AS total FROM p)
+SELECT a.entity, a.tie, CAST(any_value(a.total) AS DOUBLE) AS total, round((count(*) FILTER (b.total < a.total)
+  + (count(*) FILTER (b.total = a.total) + 1) / 2.0) / count(*) * 100, 6) AS percentile_rank
+FROM f a JOIN f b ON a.region = b.region AND a.market = b.market AND b.date <= a.date GROUP BY a.entity, a.tie""",
 }
