@@ -91,16 +91,10 @@ class Scratch:
 
 # Word hashing over whole Arrow buffers ------------------------------------------------
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
 BLANKS = np.zeros(256, dtype=bool)  # what parts words [^\x20\x09-\x0D]+
 BLANKS[[9, 10, 11, 12, 13, 32]] = True
 MARKS = np.zeros(256, dtype=bool)  # what parts words of ASCII letters, digits and all beyond ASCII
 MARKS[:128] = [not chr(i).isalnum() for i in range(128)]
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -113,6 +107,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+# The term of a byte at a place of its word; a word's hash is the sum of its terms. The terms of
+# different places are unrelated, so no pattern of bytes cancels as it does in a polynomial modulo 2^64.
+_rng = np.random.default_rng(20240229)
+_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_NEAR = 48  # places whose terms are looked up, the others are computed
+
+
+def _terms(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(_BYTE[byte] + place.astype(np.uint64) * _STEP)
+
+
+_TABLE = _terms(np.arange(256)[None, :], np.arange(_NEAR)[:, None])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 _IN_LENGTH = mix(np.arange(64, dtype=np.uint64))  # parts beginnings of different length
 
 _known_powers: dict[int, np.ndarray] = {}
@@ -165,20 +175,25 @@ class Words:
         end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         hashes = np.zeros(len(begin), dtype=np.uint64)
         heads = {k: np.zeros(len(begin), dtype=np.uint64) for k in prefixes}
-        piece = 1 << 20  # words are hashed about a MB at a time, so that powers stay small
+        piece = 1 << 20  # words are hashed about a MB at a time
         at = 0
         while at < len(begin):
             base = begin[at]
             upto = max(at + 1, int(np.searchsorted(end, base + piece)))
             span = data[base : end[upto - 1]]
-            terms = (_BYTE_LOWER if lower else _BYTE)[span] * _powers(_BASE, len(span))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
             b, e = begin[at:upto] - base, end[at:upto] - base
-            back = _powers(_BASE_INVERSE, len(span) + 1)[b]
-            hashes[at:upto] = (sums[e] - sums[b]) * back
+            # separators after a word count on as its places; nothing reads their terms
+            place = np.arange(len(span), dtype=np.int32) - np.repeat(b, np.diff(b, append=len(span))).astype(np.int32)
+            if lower:
+                span = _LOWER[span]
+            terms = _TABLE.ravel()[(np.minimum(place, _NEAR - 1) << 8) | span]
+            far = np.flatnonzero(place >= _NEAR)
+            terms[far] = _terms(span[far], place[far])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+            hashes[at:upto] = sums[e] - sums[b]
             for k, head in heads.items():
                 long = e - b >= k
-                head[at:upto] = np.where(long, (sums[np.minimum(b + k, e)] - sums[b]) * back, 0)
+                head[at:upto] = np.where(long, sums[np.minimum(b + k, e)] - sums[b], 0)
             at = upto
         self.data, self.begin, self.end = data, begin, end
         self.hashes = mix(hashes + (end - begin).astype(np.uint64))

@@ -29,6 +29,13 @@ def equal_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     group, null only where all are null. Rows that repeat a key are told apart by
     their text; rows that repeat key and text come out once. A null text is empty.
     """
+    return _groups(docs, key, text).select(
+        F.col("id").alias(key), F.col("sha").alias("text_sha256"), F.col("group.id").alias("keep"), F.col("size").alias("group_size")
+    )
+
+
+def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The same as (id, sha, group, size); ``group.id`` is the smallest key."""
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     full = F.encode(collapsed(text_of(text)), "UTF-8")
     rows = docs.select(F.col(key).alias("id"), full.alias("bytes")).select(
@@ -60,30 +67,32 @@ def equal_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         )
         groups = split.groupBy("parent", "digit").agg(F.min(name).alias("group"), F.count("*").alias("size"))
         rows = split.join(groups.filter("size > 1"), ["parent", "digit"]).select("id", "sha", "group", "size", "rest")
-    return done.select(
-        F.col("id").alias(key),
-        F.col("sha").alias("text_sha256"),
-        F.col("group.id").alias("keep"),
-        F.col("size").alias("group_size"),
-    ).distinct()
+    return done.distinct()
 
 
+RESULTS = ["keep_id", "group_size", "kept", "text_sha256"]
+
 def marked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text_sha256``, ``keep_id``, ``group_size`` and ``kept``.
 
     One row of a group is kept: the one with the smallest key, and any one of those
     that repeat that key and text. A null key is kept only where no row of the group has a key.
+    Columns of ``docs`` with the names of the four come out replaced, unless they are its key or text.
     """
-    with_sha = docs.withColumn("text_sha256", F.sha2(F.encode(collapsed(text_of(text)), "UTF-8"), 256))
-    groups = equal_groups(docs, key, text).withColumnRenamed(key, "_id").withColumnRenamed("text_sha256", "_sha")
-    same = F.col(key).eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha"))
-    number = F.row_number().over(Window.partitionBy(key, "text_sha256").orderBy(key))
-    return (
-        with_sha.join(groups, same, "left")
-        .withColumn("keep_id", F.when(F.col("_sha").isNull(), F.col(key)).otherwise(F.col("keep")))
-        .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
-        .withColumn("kept", F.col("keep_id").eqNullSafe(F.col(key)) & (number == 1))
-        .drop("_id", "_sha", "keep")
+    own = F.struct(*[c for c in docs.columns if c not in RESULTS or c in (key, text)])
+    sha = F.sha2(F.encode(collapsed(text_of(text)), "UTF-8"), 256)
+    rows = docs.select(own.alias("row"), F.col(key).alias("key"), sha.alias("text_sha256"))
+    same = F.col("key").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("sha"))
+    number = F.row_number().over(Window.partitionBy("key", "text_sha256").orderBy("key"))
+    found = rows.join(_groups(docs, key, text), same, "left").withColumn(
+        "keep_id", F.when(F.col("sha").isNull(), F.col("key")).otherwise(F.col("group.id"))
+    )
+    return found.select(
+        "row.*",
+        "keep_id",
+        F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("keep_id").eqNullSafe(F.col("key")) & (number == 1)).alias("kept"),
+        "text_sha256",
     )
 
 

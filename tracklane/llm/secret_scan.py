@@ -33,12 +33,14 @@ WEAK_SECRET = r"[A-Za-z0-9+/_=-]+"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+RUN = 512  # matches whose positions are added up at once: appending copies what is there
 
 
 def spans(text: Column, pattern: str, kind: str, keep, group: int = 0) -> Column:
     """Leftmost non-overlapping matches whose ``group`` passes ``keep``, as (start, kind, end).
 
-    The lengths of what lies between matches and of the matches give the positions.
+    The lengths of what lies between matches and of the matches give the positions: added up
+    within runs of matches, then over the runs, so that many matches cost no square of their number.
     """
     between = F.transform(F.split(text, pattern, -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
@@ -53,7 +55,21 @@ def spans(text: Column, pattern: str, kind: str, keep, group: int = 0) -> Column
         good = x["size"].isNotNull() & F.coalesce(keep(x["part"]), F.lit(False))
         return F.struct(end.alias("at"), F.when(good, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda state: state["out"])
+    def moved(state, run):
+        by = state["at"]
+        shift = lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"))
+        return F.struct(
+            (by + run["at"]).alias("at"), F.array_append(state["out"], F.transform(run["out"], shift)).alias("out")
+        )
+
+    def of_runs(parts):
+        first = F.sequence(F.lit(1), F.size(parts), F.lit(RUN))
+        runs = F.transform(first, lambda i: F.aggregate(F.slice(parts, i, RUN), start, step))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(runs, none, moved, lambda state: F.flatten(state["out"]))
+
+    # one element, so that the matches are found once and not for each run
+    return F.get(F.transform(F.array(parts), of_runs), F.lit(0))
 
 
 def strong_spans(text: Column) -> Column:

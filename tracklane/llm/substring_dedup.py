@@ -220,7 +220,7 @@ def _n_words(joined: Column) -> Column:
 
 
 def repeated_windows(rows: DataFrame, scratch: Scratch, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(texts with a repeated anchor, marks of each row) for rows (row, text).
+    """(texts with a repeated anchor, marks of each row) for rows (row, text), one for rows that share ``row``.
 
     The marks are structs (first window, windows, bits); a bit tells a repeated window.
     """
@@ -230,24 +230,32 @@ def repeated_windows(rows: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     )
     again = totals.filter("places > 1").select("anchor", ((F.col("lo") != F.col("hi")) | (F.col("most") > 1)).alias("mixed"))
     found = scratch.store(units.join(again, "anchor").select("row", "first", "windows", "anchor", "content", "mixed"))
-    listed = F.collect_list(F.when(F.col("mixed"), F.struct("first", "windows", "anchor", "content")))
-    per_row = found.groupBy("row").agg(listed.alias("units"))
-    touched = scratch.store(rows.join(per_row, "row").select("row", "text", "units"))
+    # equal rows have equal units: one of them speaks for all, and tells how many there are
+    unit = F.struct("first", "windows", "anchor", "content", "mixed")
+    per_row = found.groupBy("row").agg(F.collect_set(unit).alias("all"), F.count(F.lit(1)).alias("n"))
+    per_row = per_row.select(
+        "row", F.filter("all", lambda u: u["mixed"]).alias("units"), (F.col("n") / F.size("all")).cast("long").alias("copies")
+    )
+    touched = rows.join(per_row, "row").dropDuplicates(["row"])
+    touched = scratch.store(touched.select("row", "text", "units", "copies"))
 
     def contents(batches):
         for batch in pieces(batches):
             words = Words(batch["text"], lower=False)
             size = pc.list_value_length(batch["units"]).to_numpy()
             unit = batch["units"].flatten()
-            first, windows, anchor, content = (f.to_numpy(zero_copy_only=False) for f in unit.flatten())
+            first, windows, anchor, content, _ = (f.to_numpy(zero_copy_only=False) for f in unit.flatten())
+            copies = np.repeat(batch["copies"].to_numpy(), size)
             begin = first + np.repeat(words.first[:-1], size)
             # equal units of a batch go as one row
-            _, one, times = np.unique(np.stack([anchor, content]), axis=1, return_index=True, return_counts=True)
+            _, one, of = np.unique(np.stack([anchor, content]), axis=1, return_index=True, return_inverse=True)
+            times = np.zeros(len(one), dtype=np.int64)
+            np.add.at(times, of.ravel(), copies)
             long = (windows[one] + window - 1).astype(np.int64)
             at = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long) + np.repeat(begin[one], long)
             ends = np.concatenate([[0], np.cumsum(long)]).astype(np.int32)
             full = pa.ListArray.from_arrays(pa.array(ends), pa.array(words.hashes[at].view(np.int64)))
-            columns = [pa.array(anchor[one]), pa.array(content[one]), pa.array(times.astype(np.int64)), full]
+            columns = [pa.array(anchor[one]), pa.array(content[one]), pa.array(times), full]
             yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "times", "words"])
 
     copies = touched.filter(F.size("units") > 0).mapInArrow(contents, "anchor long, content long, times long, words array<long>")
@@ -259,7 +267,7 @@ def repeated_windows(rows: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     verdicts = scratch.store(verdicts.unionByName(_crowded(distinct.join(crowded, "anchor", "left_semi"), window)))
     whole = found.filter("NOT mixed").select("row", "first", "windows", F.expr("-1L").alias("bits"))
     part = found.filter("mixed").join(verdicts.filter("bits <> 0"), ["anchor", "content"]).select("row", "first", "windows", "bits")
-    marks = whole.unionByName(part).groupBy("row").agg(F.collect_list(F.struct("first", "windows", "bits")).alias("marks"))
+    marks = whole.unionByName(part).groupBy("row").agg(F.collect_set(F.struct("first", "windows", "bits")).alias("marks"))
     scratch.drop(distinct)
     return touched, marks
 
@@ -297,7 +305,6 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays(columns, ["row", "n_removed", "digest", "kept_text"])
 
     changed = touched.select("row", "text").join(marks, "row").mapInArrow(cut, "row long, n_removed long, digest string, kept_text string")
-    changed = changed.dropDuplicates(["row"])
     joined = docs.select("row", "key", _joined(F.col("text")).alias("words"))
     shown = ["words"] if with_text else []
     plain = joined.select("row", "key", _n_words(F.col("words")).alias("n_words"), F.sha2("words", 256).alias("plain"), *shown)
