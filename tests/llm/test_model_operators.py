@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracklane.llm import decontaminate, packing, quality, toxicity, url_filter
 
@@ -136,6 +137,18 @@ def test_classifiers_of_odd_tables(spark):
         assert quality.scored(docs.limit(0), module.fitted(docs, labels)).count() == 0
 
 
+def test_sample_of_labelled_documents(spark):
+    """Long documents count whole, labels without a document take no place, repeated rows count once."""
+    docs = spark.range(0, 400, 2).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 9000) AS text")
+    docs = docs.unionByName(docs.limit(1).selectExpr("doc_id", "text", "explode(sequence(1, 500)) AS n").drop("n"))
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "cast(id % 4 = 0 AS int) AS quality")
+    out = F.col("doc_id") < 0
+    drawn = quality.in_sample(docs, labels, "quality", out, 150).collect()
+    assert len(drawn) == len({r.doc_id for r in drawn}) == 150
+    assert all(r.text == f"w{r.doc_id} " * 9000 and r.label == int(r.doc_id % 4 == 0) for r in drawn)
+    assert quality.in_sample(docs, labels, "quality", out, 4000).count() == 200
+
+
 def test_identity_swap_does_not_move_scores():
     draw = random.Random(1)
     word = lambda: f"n{draw.randint(0, 60)}"

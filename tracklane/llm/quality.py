@@ -7,8 +7,8 @@ whether it repeats the word before, so that words never seen in training count a
 vectors and the mean of its shape vectors. The network gives a probability, its
 temperature is set on rows it was not trained on.
 
-The fit takes at most ``ROWS`` labelled rows, drawn by hash, of up to ``CHARS``
-characters each, to the driver; the model is a few MB, broadcast. Scoring is one pass
+The fit takes at most ``ROWS`` labelled documents, drawn by hash, whole, to the driver; the
+model is a few MB, broadcast. Scoring is one pass
 over the texts without a shuffle.
 """
 
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from tracklane.llm.common import Words, mix, pieces, ship, table, text_of
 
 ROWS = 4000
-CHARS = 20_000
 VOCABULARY = 8192
 DIM = 48  # of a vector
 NONZERO = 6  # of a random vector
@@ -42,18 +41,21 @@ for _bit, _marks in enumerate((b".,;:", b"!?", b"'\"()[]{}-", b"|<>=/\\_+", b"#$
 SHAPES = 1 << 10  # nine bits of kinds, one for a repeated word
 
 
-def in_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: Column, rows: int, chars: int) -> DataFrame:
-    """(text, label): at most ``rows`` labelled rows outside ``held_out``, drawn by hash of the key.
+def in_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: Column, rows: int) -> DataFrame:
+    """(doc_id, text, label): at most ``rows`` labelled documents outside ``held_out``, drawn by hash of the key.
 
-    The keys are drawn from the narrow label table first, so that texts are not shuffled. A key
-    with several labels takes the majority, a tie counts as 0.
+    Drawn among the labels whose document is there, by key and hash of the text, so that whole texts
+    are neither shuffled nor compared. Rows that repeat id and text count once. A key with several
+    labels takes the majority, a tie counts as 0.
     """
     one = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        (F.avg(target) > 0.5).cast("int").alias("_label")
+        (F.avg(target) > 0.5).cast("int").alias("label")
     )
-    drawn = one.filter(~held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", text_of().alias("text")).filter(F.length("text") <= chars)
-    return found.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", F.col("_label").alias("label"))
+    texts = docs.select("doc_id", text_of().alias("text")).withColumn("_text", F.xxhash64("text"))
+    there = texts.select("doc_id", "_text").join(one.filter(~held_out), "doc_id").distinct()
+    drawn = there.orderBy(F.xxhash64("doc_id"), "doc_id", "_text").limit(rows)
+    found = texts.join(F.broadcast(drawn), ["doc_id", "_text"])  # ``rows`` short rows
+    return found.dropDuplicates(["doc_id", "_text"]).select("doc_id", "text", "label")
 
 
 def random_vectors(tokens: np.ndarray, dim: int = DIM) -> np.ndarray:
@@ -223,8 +225,8 @@ def held_out(divisor: int, remainder: int) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = in_sample(docs, labels, "quality", held_out(4, 2), ROWS, CHARS)
-    return Model(sample.toArrow().sort_by("doc_id"))
+    sample = in_sample(docs, labels, "quality", held_out(4, 2), ROWS)
+    return Model(sample.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

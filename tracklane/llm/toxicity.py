@@ -7,8 +7,8 @@ gives way to an identity term, and the term is swapped for others. The squared c
 score within such a pair is added to the loss, so that naming a group neither raises nor
 lowers a score, and whole-sentence evidence has to carry the decision.
 
-The fit takes at most ``ROWS`` labelled rows, drawn by hash, of up to ``CHARS`` characters, to the
-driver. The model is a few weights for each of ``FEATURES`` features, broadcast; scoring is one pass.
+The fit takes at most ``ROWS`` labelled documents, drawn by hash, whole, to the driver, and twins of
+at most ``PAIRS`` of them. The model is a few weights for each of ``FEATURES`` features, broadcast; scoring is one pass.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from tracklane.llm.common import Words, table
 from tracklane.llm.quality import THRESHOLD, held_out, in_sample, scored
 
 ROWS = 6000
-CHARS = 20_000
 FEATURES = 4096
 HEADS = (4, 5, 6, 8)
 LEVELS = 3
@@ -152,8 +151,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = in_sample(docs, labels, "toxic", held_out(3, 1), ROWS, CHARS)
-    return Model(sample.toArrow().sort_by("doc_id"))
+    sample = in_sample(docs, labels, "toxic", held_out(3, 1), ROWS)
+    return Model(sample.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
