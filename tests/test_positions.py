@@ -17,6 +17,7 @@ from tracklane.operators.positions import (
     bucket_of,
     entity_median,
     group_quantiles,
+    percentile_ranks_asof,
     value_positions,
 )
 
@@ -99,6 +100,17 @@ def test_percentile_rank_asof_of_an_empty_table(spark):
     assert add_percentile_rank_asof(df, ["g"], "day", "x", "p").collect() == []
 
 
+def test_ranks_as_of_a_date_are_not_broadcast(spark):
+    df = spark.createDataFrame([("a", "2020-02-20", 1.0), ("a", "2020-02-21", 2.0)], "g string, day string, x double")
+    df = df.withColumn("day", F.col("day").cast("date"))
+    for ranked in (
+        percentile_ranks_asof(df, ["g"], "day", {"x": F.col("x")}),
+        add_percentile_rank_asof(df, ["g"], "day", "x", "p"),
+    ):
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_one_value_may_fill_a_group(spark):
     df = spark.range(10_000).selectExpr("'hot' AS g", "IF(id < 9990, 7.0D, CAST(id AS DOUBLE)) AS x")
     placed = value_positions(df, ["g"], "x")
