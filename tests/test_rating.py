@@ -121,6 +121,13 @@ def test_rounds_follow_the_longest_chain_not_the_dates(spark):
     assert last == 0 and none.count() == 0
 
 
+def test_a_small_round_writes_few_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(rating, "new_path", lambda spark, label: str(tmp_path / label))
+    rows = [(f"p{p:02d}", "open", date(2021, 1, d), "M", "83", float(p * d % 7), 2) for d in (1, 2, 3) for p in range(40)]
+    held(rows, rate(spark, rows).collect())
+    assert len(list(tmp_path.glob("rated/*/part-*"))) == 3  # one of each round
+
+
 def test_null_entities_count_as_one_and_empty_tables_stay_empty(spark):
     rows = [(p, "open", date(2021, 1, d), "M", "83", t, 2) for d in (1, 2) for p, t in ((None, 100.0), ("b", 200.0))]
     got = {(r.primary_key, r.date.day): r.elo_rating for r in rate(spark, rows).collect()}
