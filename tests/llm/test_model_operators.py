@@ -167,6 +167,19 @@ def test_identity_swap_does_not_move_scores():
     assert gap(fair) < gap(plain) / 2 and fair.score(pa.array(["n1 vileword men n3"]))[0] > 0.5
 
 
+def test_toxicity_is_fitted_on_some_texts_at_a_time(monkeypatch):
+    draw = random.Random(2)
+    texts = [" ".join(f"n{draw.randint(0, 300)}" for _ in range(2000)) + " vileword" * (i % 2) for i in range(600)]
+    sample = pa.table({"doc_id": list(range(600)), "text": texts, "label": [i % 2 for i in range(600)]})
+    asked, words = [], toxicity._words
+    monkeypatch.setattr(toxicity, "_words", lambda t: asked.append(sum(len(x) for x in t.to_pylist())) or words(t))
+    piecewise = toxicity.Model(sample)
+    assert sum(asked) > 10_000_000 and max(asked) < 3_000_000
+    monkeypatch.setattr(toxicity, "_parts", lambda t: iter([(0, t)]))
+    whole = toxicity.Model(sample)
+    assert (piecewise.known == whole.known).all() and (piecewise.weights == whole.weights).all() and piecewise.bias == whole.bias
+
+
 def test_url_filter(spark):
     rows = [
         (1, "http://A.com/x"), (2, "http://www.example.com/en/1"), (3, "http://b.example.com/en/1?x"), (4, "http://m.net/es/"),

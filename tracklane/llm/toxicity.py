@@ -13,11 +13,13 @@ at most ``PAIRS`` of them. The model is a few weights for each of ``FEATURES`` f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklane.llm.common import Words, table
+from tracklane.llm.common import Words, pieces, table
 from tracklane.llm.quality import THRESHOLD, held_out, in_sample, scored
 
 ROWS = 6000
@@ -52,6 +54,27 @@ def _words(texts: pa.Array) -> Words:
     return Words(texts, lower=True, prefixes=HEADS)
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(number of the first, texts) of some MB at a time: features take many times the bytes of their text."""
+    first = 0
+    for some in pieces(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+        yield first, some["text"]
+        first += some.num_rows
+
+
+def _holders(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the texts, and how many texts of label 1 and 0 hold each at every level: [2 * level + (label 0), feature]."""
+    text, hashes = features(_words(texts))
+    known, at = np.unique(hashes, return_inverse=True)
+    pairs, count = np.unique(at * len(y) + text, return_counts=True)
+    at, label = pairs // len(y), y[pairs % len(y)]
+    out = []
+    for level in range(LEVELS):
+        there = count > level
+        out += [np.bincount(at[there], weights=side[there], minlength=len(known)) for side in (label, 1 - label)]
+    return known, np.array(out)
+
+
 class Model:
     """Weights of the chosen features; without rows of both classes every score is the share of label 1."""
 
@@ -62,23 +85,23 @@ class Model:
         self.fitted = len(set(y.tolist())) == 2
         if not self.fitted:
             return
-        text, hashes = features(_words(pa.array(texts, pa.string())))
-        self._choose(text, hashes, y, terms)
+        self._choose(pa.array(texts, pa.string()), y, terms)
         twins, of = self._counterfactuals(texts, terms)
         rows = [self._held(pa.array(t, pa.string())) for t in (texts, *twins)]
         self._descend(rows, y, penalty if len(of) else 0.0)
 
-    def _choose(self, text: np.ndarray, hashes: np.ndarray, y: np.ndarray, terms: list[str]) -> None:
+    def _choose(self, texts: pa.Array, y: np.ndarray, terms: list[str]) -> None:
         """The features with the largest log odds between classes at some level, by how sure they are."""
-        known, at = np.unique(hashes, return_inverse=True)
-        pairs, count = np.unique(at * len(y) + text, return_counts=True)
-        at, label = pairs // len(y), y[pairs % len(y)]
+        known, holders = np.zeros(0, np.uint64), np.zeros((2 * LEVELS, 0))
+        for first, some in _parts(texts):
+            found, more = _holders(some, y[first : first + len(some)])
+            known, at = np.unique(np.concatenate([known, found]), return_inverse=True)
+            both = np.concatenate([holders, more], axis=1)
+            holders = np.array([np.bincount(at, weights=n, minlength=len(known)) for n in both])
         n1, n0 = y.sum(), len(y) - y.sum()
         sure = np.zeros(len(known))
         for level in range(LEVELS):
-            there = count > level
-            toxic = np.bincount(at[there], weights=label[there], minlength=len(known))
-            clean = np.bincount(at[there], weights=1 - label[there], minlength=len(known))
+            toxic, clean = holders[2 * level], holders[2 * level + 1]
             odds = np.log((toxic + 0.5) / (n1 - toxic + 0.5)) - np.log((clean + 0.5) / (n0 - clean + 0.5))
             error = np.sqrt(1 / (toxic + 0.5) + 1 / (n1 - toxic + 0.5) + 1 / (clean + 0.5) + 1 / (n0 - clean + 0.5))
             sure = np.maximum(sure, np.where(toxic + clean >= 5, np.abs(odds) / error, 0))
@@ -104,15 +127,20 @@ class Model:
 
     def _held(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
         """(text, weight number) of the known features at each level they reach; and how many texts."""
-        text, hashes = features(_words(texts))
-        at = np.searchsorted(self.known, hashes)
-        at[at == len(self.known)] = 0
-        hit = self.known[at] == hashes
-        pairs, count = np.unique(text[hit] * len(self.known) + at[hit], return_counts=True)
-        text, at = pairs // len(self.known), pairs % len(self.known)
-        reached = [count > level for level in range(LEVELS)]
-        numbers = [at[r] * LEVELS + level for level, r in enumerate(reached)]
-        return np.concatenate([text[r] for r in reached]), np.concatenate(numbers), len(texts)
+        none = np.zeros(0, dtype=np.int64)
+        held, numbers = [[none] for _ in range(LEVELS)], [[none] for _ in range(LEVELS)]
+        for first, some in _parts(texts):
+            text, hashes = features(_words(some))
+            at = np.searchsorted(self.known, hashes)
+            at[at == len(self.known)] = 0
+            hit = self.known[at] == hashes
+            pairs, count = np.unique(text[hit] * len(self.known) + at[hit], return_counts=True)
+            text, at = pairs // len(self.known), pairs % len(self.known)
+            for level in range(LEVELS):
+                reached = count > level
+                held[level].append(first + text[reached])
+                numbers[level].append(at[reached] * LEVELS + level)
+        return np.concatenate(sum(held, [])), np.concatenate(sum(numbers, [])), len(texts)
 
     def _logits(self, held: tuple) -> np.ndarray:
         text, at, n = held
