@@ -122,3 +122,25 @@ def test_join_invariant_reports_repeated_keys(spark):
     assert got == {"rows_before": 2, "rows_after": 3, "repeated_keys": 1}
     unique = lookup.filter(F.col("w") == 1)
     assert {r.value for r in identity.join_invariant(left, unique, "k").collect()} == {2, 0}
+
+
+def test_rows_alone_under_their_keys_are_not_exchanged(spark, monkeypatch):
+    rows = [("a", "x", 2), ("a", "x", 1), ("b", None, 3), ("b", None, 3), (None, "y", 5), ("c", "y", 4), (None, None, None)]
+    df = spark.createDataFrame(rows, "k string, m string, v int")
+    want = sorted(identity.one_row_per(df, ["k", "m"], ["v"]).collect(), key=str)
+    rare = identity.one_row_per_rare(df, ["k", "m"], ["v"])
+    assert sorted(rare.collect(), key=str) == want and rare.columns == df.columns
+    logical = rare._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in logical and logical.index("LeftAnti") < logical.index("Window")
+    monkeypatch.setattr(identity, "REPEATED_KEYS", 1)  # too many to tell: all rows go one way
+    plain = identity.one_row_per_rare(df, ["k", "m"], ["v"])
+    assert "Union" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(plain.collect(), key=str) == want
+
+
+def test_raw_results_sort_only_repeated_rows(spark):
+    base = {**dict.fromkeys(LANDING.names), "date": "2020-01-01", "age": 30.0, "place": "1"}
+    rows = [tuple({**base, "meet_name": m}[c] for c in LANDING.names) for m in ("X", "Y", "Y")]
+    raw = raw_results(spark.createDataFrame(rows, LANDING))
+    plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    assert raw.count() == 2 and "Union" in plan and "LeftAnti" in plan
