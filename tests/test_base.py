@@ -208,3 +208,19 @@ def test_published_score_counts_and_quality_rules_drop_rows(spark):
     bad = raw.withColumn("total_kg", F.when(F.col("primary_key").startswith("L3"), F.col("total_kg") + 50).otherwise(F.col("total_kg")))
     kept = {r.primary_key[:2] for r in B.eligible_rows(bad, quality=True).collect()}
     assert kept == {"L1", "L2"} and {r.primary_key[:2] for r in B.eligible_rows(bad).collect()} == {"L1", "L2", "L3"}
+
+
+def test_lookups_by_segment_and_value_carry_few_columns(spark, monkeypatch):
+    widths, lookups = [], B.segment_lookups
+    monkeypatch.setattr(B, "segment_lookups", lambda rows: widths.append(len(rows.columns)) or lookups(rows))
+    out = base_table(as_raw(spark, panel_rows()))
+    assert widths and max(widths) <= 12 < len(out.columns)
+    assert not [c for c in out.columns if c.startswith("_")]
+
+
+def test_lookups_before_the_history_equal_those_after_it(spark):
+    raw = as_raw(spark, panel_rows()).drop("dots")
+    raw = raw.unionByName(raw)  # keys repeat; equal rows are told apart by their number
+    got = base_table(raw).select("primary_key", "date", "total", "previous_total", *B.SEGMENT_COLUMNS, "total_vs_segment_mean")
+    want = B.segment_features(history_features(B.eligible_rows(raw))).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
