@@ -224,3 +224,13 @@ def test_lookups_before_the_history_equal_those_after_it(spark):
     got = base_table(raw).select("primary_key", "date", "total", "previous_total", *B.SEGMENT_COLUMNS, "total_vs_segment_mean")
     want = B.segment_features(history_features(B.eligible_rows(raw))).select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_rated_layer_is_joined_and_not_written(monkeypatch):
+    from types import SimpleNamespace
+
+    from tracklane.queries import layers
+
+    monkeypatch.setattr(layers, "store", lambda *a: pytest.fail("the wide rows were written again"))
+    session, built = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="joined-test")), object()
+    assert [layers._layer(session, "d", "rated", lambda: built) for _ in range(2)] == [built] * 2
