@@ -154,3 +154,27 @@ def test_regression_guard(spark):
     M.regression_guard(scores, {"kg": 0.351, "dots": 0.0})
     with pytest.raises(M.RegressionGuardError, match="kg"):
         M.regression_guard(scores, {"kg": 0.361, "dots": 0.0})
+
+
+def test_seeds_are_drawn_without_sorting_points_by_restart(spark, monkeypatch):
+    import hashlib
+    import math
+
+    from tracklane.config import Settings
+    from tracklane.operators import analyses
+
+    settings = Settings(clusters=2, cluster_restarts=2)
+    rows = [(f"k{i}", [float(i % 4), float(i)]) for i in range(12)]
+    points = spark.createDataFrame(rows, "k string, z array<double>")
+    grouped = type(points).groupBy
+    monkeypatch.setattr(type(points), "groupBy", lambda df, *by: pytest.fail(f"grouped by {by}") if by else grouped(df))
+    got = analyses._seeds(points, "k", settings)
+
+    def drawn(k, restart, seed):
+        text = f"{k}:{restart}:{seed}:{settings.cluster_seed}"
+        return math.log((int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 0.5) / 2**52)
+
+    for restart, (first, second) in enumerate(got):
+        assert first == min(rows, key=lambda r: 1 / drawn(r[0], restart, 0))[1]
+        apart = lambda z: sum((a - b) ** 2 for a, b in zip(z, first))
+        assert second == min(rows, key=lambda r: apart(r[1]) / drawn(r[0], restart, 1))[1]

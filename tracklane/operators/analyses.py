@@ -142,14 +142,16 @@ def _seeds(points: DataFrame, key: str, settings: Settings) -> list[list[list[fl
     made of 52 bits of an md5 of the key, the same in any engine.
     """
     centres: list[list[list[float]]] = [[] for _ in range(settings.cluster_restarts)]
-    each = points.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(settings.cluster_restarts - 1))))
     for seed in range(settings.clusters):
-        name = F.concat_ws(":", F.col(key).cast("string"), F.col("restart"), F.lit(seed), F.lit(settings.cluster_seed))
-        drawn = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-        far = F.array_min(F.transform(F.get(F.lit(centres), F.col("restart")), _squared)) if seed else F.lit(1.0)
-        weighed = each.select("restart", F.struct((far / F.log(drawn)).alias("w"), F.col(key).alias("k"), F.col("z")).alias("pick"))
-        for r in weighed.groupBy("restart").agg(F.min("pick").alias("pick")).collect():  # one point per restart
-            centres[r["restart"]].append(list(r["pick"]["z"]))
+        picks = []
+        for restart, before in enumerate(centres):
+            name = F.concat_ws(":", F.col(key).cast("string"), F.lit(restart), F.lit(seed), F.lit(settings.cluster_seed))
+            drawn = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+            far = F.array_min(F.transform(F.lit(before), _squared)) if seed else F.lit(1.0)
+            picks.append(F.min(F.struct((far / F.log(drawn)).alias("w"), F.col(key).alias("k"), F.col("z"))).alias(f"p{restart}"))
+        # One row of a column per restart: grouped by restart, the least of a struct would sort all points once per restart.
+        for before, pick in zip(centres, points.agg(*picks).first()):
+            before.append(list(pick["z"]))
     return centres
 
 
