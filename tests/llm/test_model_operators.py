@@ -104,6 +104,19 @@ def test_neighbours_are_found_over_the_whole_corpus(spark):
     assert sum(bool(held[i] & held[i + 3001]) for i in range(3001)) > 0.8 * 3001
 
 
+def test_memory_of_counting_does_not_follow_the_batch(spark, monkeypatch):
+    known = packing.terms_of
+
+    def bounded(rests, terms):
+        assert sum(len(r) for r in rests) < 300_000
+        return known(rests, terms)
+
+    monkeypatch.setattr(packing, "terms_of", bounded)
+    stored = packing.tokenized(spark.range(900).selectExpr("id", "repeat('word ', 1500) AS text").coalesce(1), "id", "text", None, False)
+    _, documents, _ = packing.frequencies(stored.localCheckpoint(), False)
+    assert documents == 900
+
+
 def test_a_seed_asks_with_all_ids_of_the_whole_document():
     long = np.arange(100, 100 + packing.WINDOW)
     rests = [np.array([7, 8]), np.array([150, 151]), np.array([9])]
