@@ -117,6 +117,22 @@ def test_memory_of_counting_does_not_follow_the_batch(spark, monkeypatch):
     assert documents == 900
 
 
+def test_an_encoder_takes_few_pieces_at_once_and_is_forgotten():
+    encoder, most = packing.Encoder(packing.vocabulary_path()), []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **how):
+            most.append(max(len(texts), *(t.count(" ") for t in texts)))
+            return known.encode_batch_fast(texts, **how)
+
+    known, encoder.tokenizer = encoder.tokenizer, Watched()
+    text = " ".join(f"w{i}x" for i in range(9000)) + "  y" * 9000
+    (got,) = encoder.encode(pa.array([text]))
+    assert got.tolist() == known.encode(text, add_special_tokens=False).ids and max(most[:-1]) <= 4096
+    packing.Encoder.at(packing.vocabulary_path())
+    assert list(packing._lots(iter(()))) == [] and not packing.Encoder._by_path
+
+
 def test_a_seed_asks_with_all_ids_of_the_whole_document():
     long = np.arange(100, 100 + packing.WINDOW)
     rests = [np.array([7, 8]), np.array([150, 151]), np.array([9])]

@@ -40,6 +40,7 @@ FITTED = 4000  # documents the directions are taken from
 PLACED = 32  # documents a shard by which the tree is cut
 K1, B = 1.2, 0.75
 CACHED = 1 << 19  # pieces of text whose ids a worker remembers
+LEARNED = 1 << 12  # pieces that are encoded at once: an encoding takes some hundred bytes an id
 LOT = 1 << 18  # bytes of ids and terms that are counted at once
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -78,20 +79,30 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Give back what a reused worker remembers, once the texts have been read."""
+        cls._by_path.clear()
+        pa.default_memory_pool().release_unused()
+
     def _learn(self, pieces: list[str]) -> None:
         if len(self.known) > CACHED:
             self.known = {}
         new = [p for p in pieces if p not in self.known]
         # a piece whose only blank is its first character shows where it begins: such pieces are one text
         joined = [p for p in new if p.rfind(" ") == 0]
-        encoded = self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids
-        ids = np.array(encoded, dtype="<u2")
-        at = np.append(np.flatnonzero(self.blank[ids]), len(ids)).tolist()
-        data = ids.tobytes()
-        self.known.update((p, data[2 * a : 2 * b]) for p, a, b in zip(joined, at, at[1:], strict=False))
+        for k in range(0, len(joined), LEARNED):
+            some = joined[k : k + LEARNED]
+            encoded = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(encoded, dtype="<u2")
+            at = np.append(np.flatnonzero(self.blank[ids]), len(ids)).tolist()
+            data = ids.tobytes()
+            self.known.update((p, data[2 * a : 2 * b]) for p, a, b in zip(some, at, at[1:], strict=False))
         other = [p for p in new if p.rfind(" ") != 0]
-        encoded = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        self.known.update((p, np.array(e.ids, dtype="<u2").tobytes()) for p, e in zip(other, encoded))
+        for k in range(0, len(other), LEARNED):
+            some = other[k : k + LEARNED]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update((p, np.array(e.ids, dtype="<u2").tobytes()) for p, e in zip(some, encoded))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, without the closing one."""
@@ -314,6 +325,7 @@ PIECES = "key {kind}, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _lots(batches):
     """The same rows in batches of about ``LOT`` bytes of rests and terms: counting them takes some 40 times as much."""
+    Encoder.forget()
     for batch in batches:
         rest, terms = (pc.fill_null(pc.binary_length(batch[c]), 0).to_numpy() for c in ("rest", "terms"))
         lot = np.cumsum(rest.astype(np.int64) + terms) // LOT
@@ -329,6 +341,7 @@ def _rests(batch) -> tuple[list[np.ndarray], list[bytes | None]]:
 
 def _shards(batches, with_ids: bool):
     """Rows in their order, as tables of about one shard; the last is between a half and one and a half if more came."""
+    Encoder.forget()
     held, load = None, np.zeros(0)
     for batch in batches:
         rest, terms = (pc.fill_null(pc.binary_length(batch[c]), 0).to_numpy().astype(np.int64) for c in ("rest", "terms"))
