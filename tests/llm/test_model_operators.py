@@ -117,6 +117,42 @@ def test_memory_of_counting_does_not_follow_the_batch(spark, monkeypatch):
     assert documents == 900
 
 
+def test_an_encoder_takes_letters_once_whatever_follows_them():
+    encoder, seen = packing.Encoder(packing.vocabulary_path()), []
+
+    class Watched:
+        def __init__(self, known):
+            self.known = known
+
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(texts)
+            return self.known.encode_batch_fast(texts, **how)
+
+    known = encoder.tokenizer
+    encoder.tokenizer, encoder.letters = Watched(known), Watched(encoder.letters)
+    ends = ["", ".", ",", "!?", "&&&", "$%", "'s", "'.", "-", "_", "7", "\u00b7"]
+    texts = [f"{w}{e} {w}{e}\n{w}{e} x{e}" for w in ("unseen", "\u00dcbung", "\u00e9t\u00e9", "na\u0131ve", "\u4e2d") for e in ends]
+    for _ in range(2):
+        got = encoder.encode(pa.array(texts))
+        assert [g.tolist() for g in got] == [known.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "".join(seen).count(" unseen") == 5  # alone, and before a sign that may not be apart
+
+
+def test_scores_of_frequent_and_rare_ids_are_the_sum_of_their_weights():
+    rng = np.random.default_rng(3)
+    rests = [np.minimum(rng.geometric(0.02, 60), 400) for _ in range(80)]
+    index, unused = packing.Index(rests), rng.random(80) < 0.6
+    document, ids, weight = index.document, index.id, index.weight
+    for _ in range(2):
+        for k in range(0, 80, 9):
+            own = np.isin(ids, rests[k])
+            plain = np.bincount(document[own], weights=weight[own], minlength=80) * unused
+            assert np.allclose(index.scores(index.ids_of(k), unused), plain[index.left])
+            best = index.neighbours(index.ids_of(k), unused)
+            assert len(best) == np.count_nonzero(plain) and (np.diff(plain[best]) < 1e-9).all()
+        index.keep(unused)
+
+
 def test_an_encoder_takes_few_pieces_at_once_and_is_forgotten():
     encoder, most = packing.Encoder(packing.vocabulary_path()), []
 

@@ -207,6 +207,21 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
+def text_hashes(texts: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each whole text."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw, size = texts.buffers()[2], np.diff(offsets)
+    data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+    terms = _TABLE.ravel()[(np.minimum(place, _NEAR - 1) << 8) | data]
+    far = np.flatnonzero(place >= _NEAR)
+    terms[far] = _terms(data[far], place[far])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+    return mix(sums[offsets[1:]] - sums[offsets[:-1]] + size.astype(np.uint64))
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the ``n`` words from each position; runs past the end of a text too."""
     if len(hashes) < n:

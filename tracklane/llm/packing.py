@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.llm.common import pieces as cut_batches
-from tracklane.llm.common import Scratch, ship, table, text_of
+from tracklane.llm.common import Scratch, ship, table, text_hashes, text_of
 
 WINDOW = 2048
 END = 1  # closes each document
@@ -39,9 +40,16 @@ DIMS = 32  # principal directions by which documents are placed
 FITTED = 4000  # documents the directions are taken from
 PLACED = 32  # documents a shard by which the tree is cut
 K1, B = 1.2, 0.75
-CACHED = 1 << 19  # pieces of text whose ids a worker remembers
-LEARNED = 1 << 12  # pieces that are encoded at once: an encoding takes some hundred bytes an id
+OFTEN = 8  # an id that one document of so many holds has a row of weights
+BEST = 64  # neighbours that are put in order at first
+CACHED = 1 << 22  # pieces of text whose ids a worker remembers, some 26 bytes each
+CACHED_IDS = 1 << 25  # and their ids
+CUT = 1 << 22  # bytes of text whose pieces are looked up at once
+ALONE = np.uint64(0x5851F42D4C957F2D)  # parts a piece that follows no blank from one that does
+LEARNED = 1 << 8  # pieces that are encoded at once: an encoding takes some hundred bytes an id
 LOT = 1 << 18  # bytes of ids and terms that are counted at once
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # after letters, they are encoded apart from them
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -52,7 +60,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE file; each distinct piece is encoded once while remembered.
+    """Ids of whole texts by a byte-level BPE file; each distinct piece is encoded once while remembered, by a 64-bit hash.
 
     The tokenizer never joins across a single blank or line end between two other characters:
     a text is cut before each and the ids of the pieces follow one another.
@@ -65,10 +73,14 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        # the file's pattern leaves letters after a blank whole, as this one does, which costs less
+        self.letters = Tokenizer(self.tokenizer.model)
+        parts = pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(list(parts))
+        self._empty()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.blank = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin with a blank
         self.blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -85,24 +97,45 @@ class Encoder:
         cls._by_path.clear()
         pa.default_memory_pool().release_unused()
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHED:
-            self.known = {}
-        new = [p for p in pieces if p not in self.known]
+    def _empty(self) -> None:
+        self.hash, self.pool = np.zeros(0, np.uint64), np.zeros(0, "<u2")  # ascending hashes of pieces; the ids of all pieces
+        self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)  # where those of a piece are
+
+    def _ids(self, pieces: pa.Array, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces one after another, and how many each has; ``blank`` tells which follow one."""
+        ids, sizes = [np.zeros(0, "<u2")], [np.zeros(0, np.int64)]
+        blank = blank & ~pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False)
+        letters = blank & pc.match_substring_regex(pieces, f"{LETTERS}$").to_numpy(zero_copy_only=False)
+        words, rest = np.flatnonzero(letters), np.flatnonzero(~letters)
+        lots = np.append(np.arange(0, len(words), LEARNED), len(words)).astype(np.int32)
+        lots = pc.binary_join(pa.ListArray.from_arrays(lots, pieces.take(pa.array(words))), " ").to_pylist()
+        texts = [" " * b + t for b, t in zip(blank[rest].tolist(), pieces.take(pa.array(rest)).to_pylist())]
+        joined = [k for k, t in enumerate(texts) if t.rfind(" ") == 0]
+        other = [k for k, t in enumerate(texts) if t.rfind(" ") != 0]
+        lots = [(self.letters, " " + t) for t in lots]
+        lots += [(self.tokenizer, "".join([texts[i] for i in joined[k : k + LEARNED]])) for k in range(0, len(joined), LEARNED)]
         # a piece whose only blank is its first character shows where it begins: such pieces are one text
-        joined = [p for p in new if p.rfind(" ") == 0]
-        for k in range(0, len(joined), LEARNED):
-            some = joined[k : k + LEARNED]
-            encoded = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
-            ids = np.array(encoded, dtype="<u2")
-            at = np.append(np.flatnonzero(self.blank[ids]), len(ids)).tolist()
-            data = ids.tobytes()
-            self.known.update((p, data[2 * a : 2 * b]) for p, a, b in zip(some, at, at[1:], strict=False))
-        other = [p for p in new if p.rfind(" ") != 0]
+        for tokenizer, text in lots:
+            ids.append(np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2"))
+            sizes.append(np.diff(np.flatnonzero(self.blank[ids[-1]]), append=len(ids[-1])))
         for k in range(0, len(other), LEARNED):
-            some = other[k : k + LEARNED]
-            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, dtype="<u2").tobytes()) for p, e in zip(some, encoded))
+            some = [texts[i] for i in other[k : k + LEARNED]]
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            ids += [np.array(e, dtype="<u2") for e in encoded]
+            sizes.append(np.array([len(e) for e in encoded], np.int64))
+        flat, size = np.concatenate(ids), np.concatenate(sizes)
+        place = np.empty(len(pieces), np.int64)
+        place[np.concatenate([words, rest[np.array(joined + other, np.int64)]])] = np.arange(len(pieces))
+        begin = (np.cumsum(size) - size)[place]
+        return gathered(flat, begin, size[place]), size[place]
+
+    def _learn(self, hashes: np.ndarray, pieces: pa.Array, blank: np.ndarray) -> None:
+        """Remember pieces by their ascending hashes."""
+        ids, size = self._ids(pieces, blank)
+        at = np.searchsorted(self.hash, hashes)
+        begin = len(self.pool) + np.cumsum(size) - size
+        self.hash, self.pool = np.insert(self.hash, at, hashes), np.concatenate([self.pool, ids])
+        self.begin, self.size = np.insert(self.begin, at, begin), np.insert(self.size, at, size)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, without the closing one."""
@@ -117,14 +150,57 @@ class Encoder:
         pieces, opening = flat.dictionary_encode(), flat.take(pa.array(first[:-1])).dictionary_encode()
         code = pieces.indices.to_numpy().astype(np.int64)
         code[first[:-1]] = opening.indices.to_numpy() + np.int64(len(pieces.dictionary))
-        distinct = [p if p[:1] == "\n" else " " + p for p in pieces.dictionary.to_pylist()] + opening.dictionary.to_pylist()
-        self._learn(distinct)
-        ids = [self.known[p] for p in distinct]
-        size = np.array([len(i) // 2 for i in ids], dtype=np.int64)[code]
+        distinct = pa.concat_arrays([pieces.dictionary, opening.dictionary])
+        ids, begin, size = self._encoded(distinct, len(pieces.dictionary))
+        size = size[code]
         end = np.concatenate([[0], np.cumsum(size)])
-        out = np.frombuffer(b"".join([ids[c] for c in code.tolist()]), dtype="<u2")
+        out = gathered(ids, begin[code], size)
         return [out[end[first[i]] : end[first[i + 1]]] for i in place]
 
+    def _encoded(self, distinct: pa.Array, opening: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces one after another, where those of each begin, and how many. From ``opening`` on they begin a text.
+
+        Marks after letters are a part of their own in the tokenizer's pattern: letters are known whatever follows.
+        """
+        stem = pc.utf8_rtrim(distinct, characters=MARKS)
+        apart = pc.match_substring_regex(stem, f"{LETTERS}$")
+        stem = pc.if_else(apart, stem, distinct)
+        tail = pc.if_else(apart, pc.replace_substring_regex(distinct, LETTERS, ""), "")
+        after = stem.slice(0, opening).dictionary_encode()
+        alone = pa.concat_arrays([stem.slice(opening), tail]).dictionary_encode()
+        first = len(after.dictionary)
+        begin, size = self._found(pa.concat_arrays([after.dictionary, alone.dictionary]), first)
+        code = np.concatenate([after.indices.to_numpy(), alone.indices.to_numpy() + np.int64(first)]).reshape(2, -1).T
+        ids, size = gathered(self.pool, begin[code].ravel(), size[code].ravel()), size[code].sum(axis=1)
+        return ids, np.cumsum(size) - size, size
+
+    def _found(self, distinct: pa.Array, opening: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pool holds each piece; those before ``opening`` follow a blank. New pieces are encoded."""
+        hashes = text_hashes(distinct)
+        hashes[opening:] ^= ALONE
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        at = np.searchsorted(self.hash, hashes)
+        new = np.ones(len(hashes), dtype=bool)
+        inside = np.flatnonzero(at < len(self.hash))
+        new[inside] = self.hash[at[inside]] != hashes[inside]
+        if new.sum() + len(self.hash) > CACHED or len(self.pool) > CACHED_IDS:
+            self._empty()
+            new[:] = True
+        if new.any():
+            unseen = order[new]
+            self._learn(hashes[new], distinct.take(pa.array(unseen)), unseen < opening)
+            at = np.searchsorted(self.hash, hashes)
+        begin, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        begin[order], size[order] = self.begin[at], self.size[at]
+        return begin, size
+
+
+def gathered(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of ``values`` one after another."""
+    before = np.cumsum(size) - size
+    return values[np.repeat(begin - before, size) + np.arange(size.sum())]
+
 
 def terms_of(rests: list[np.ndarray], terms: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, id, count) of whole documents, in this order: from the rest, or from ``packed_terms`` where given."""
@@ -169,11 +245,22 @@ class Index:
         weight = corpus.weights(self.n, document, ids, count)
         self.ids, self.own = ids, np.searchsorted(document, np.arange(self.n + 1))
         order = np.argsort(ids, kind="stable")
-        self._post(ids[order], document[order], weight[order])
-
-    def _post(self, ids: np.ndarray, document: np.ndarray, weight: np.ndarray) -> None:
-        self.id, self.document, self.weight = ids, document, weight
-        self.first = np.searchsorted(ids, np.arange(IDS + 1))
+        self._post(np.arange(self.n), ids[order], document[order], weight[order])
+
+    def _post(self, left: np.ndarray, ids: np.ndarray, document: np.ndarray, weight: np.ndarray) -> None:
+        """Weights of the documents left, in order of id; an id in more than one of ``OFTEN`` has a row with a place for each."""
+        self.left, self.id, self.document, self.weight = left, ids, document, weight
+        often = np.flatnonzero(OFTEN * np.bincount(ids, minlength=IDS) > len(left))
+        self.row = np.full(IDS, -1)
+        self.row[often] = np.arange(len(often))
+        place = np.empty(self.n, np.int64)
+        place[left] = np.arange(len(left))
+        row, place = self.row[ids], place[document]
+        wide = row >= 0
+        self.rows = np.zeros((len(often), len(left)))
+        self.rows[row[wide], place[wide]] = weight[wide]
+        self.place, self.rare = place[~wide], weight[~wide]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(ids[~wide], minlength=IDS))])
 
     def ids_of(self, k: int) -> np.ndarray:
         """The distinct ids of a whole document."""
@@ -182,19 +269,29 @@ class Index:
     def keep(self, unused: np.ndarray) -> None:
         """Forget documents that are used."""
         kept = unused[self.document]
-        self._post(self.id[kept], self.document[kept], self.weight[kept])
+        self._post(self.left[unused[self.left]], self.id[kept], self.document[kept], self.weight[kept])
+
+    def scores(self, ids: np.ndarray, unused: np.ndarray) -> np.ndarray:
+        """Score of each document left by a seed's distinct ids; 0 for used ones."""
+        row = self.row[ids]
+        score, rare = self.rows[row[row >= 0]].sum(axis=0), ids[row < 0]
+        size = self.first[rare + 1] - self.first[rare]
+        at = np.repeat(self.first[rare] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        score += np.bincount(self.place[at], weights=self.rare[at], minlength=len(self.left))
+        score[~unused[self.left]] = 0
+        return score
 
     def neighbours(self, ids: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share ids with a seed's, best first, ties by number."""
-        spans = [(self.first[i], self.first[i + 1]) for i in np.unique(ids)]
-        spans = [(a, b) for a, b in spans if b > a]
-        if not spans:
-            return np.zeros(0, dtype=np.int64)
-        document, weight = (np.concatenate([x[a:b] for a, b in spans]) for x in (self.document, self.weight))
-        score = np.bincount(document, weights=weight, minlength=self.n)
-        score[~unused] = 0
-        found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+        """Unused documents that share ids with a seed's distinct ones, best first, ties by number."""
+        return np.concatenate([*self.ranked(ids, unused), np.zeros(0, np.int64)])
+
+    def ranked(self, ids: np.ndarray, unused: np.ndarray):
+        """``neighbours`` in two parts: a window rarely takes more than the first."""
+        score = self.scores(ids, unused)
+        bound = -np.partition(-score, BEST)[BEST] if len(score) > BEST else 0.0
+        for part in (score >= bound, score < bound):
+            found = np.flatnonzero(part & (score > 0))
+            yield self.left[found[np.argsort(-score[found], kind="stable")]]
 
 
 class Places:
@@ -279,10 +376,10 @@ def windows(
         seed, begin = carried
         pieces, room = [(seed, begin, len(rests[seed]))], WINDOW - (len(rests[seed]) - begin)
         carried = None
-        if 2 * np.count_nonzero(unused) < indexed:
+        if 4 * np.count_nonzero(unused) < 3 * indexed:
             index.keep(unused)
             indexed = np.count_nonzero(unused)
-        queue = iter(index.neighbours(index.ids_of(seed), unused)) if room > 0 else iter(())
+        queue = chain.from_iterable(p.tolist() for p in index.ranked(index.ids_of(seed), unused)) if room > 0 else iter(())
         while room > 0:
             k = next(queue, None)
             if k is None:  # nothing shares an id: the next unused document
@@ -365,7 +462,7 @@ def tokenized(docs: DataFrame, key: str, text: str, path: str | None, with_ids:
         encoder = Encoder.at(path or vocabulary_path())
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 33
-        for batch in cut_batches(batches):
+        for batch in cut_batches(batches, size=CUT):
             out = []
             for ids in encoder.encode(batch["text"]):
                 ids = np.append(ids, np.uint16(END))
