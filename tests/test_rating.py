@@ -180,3 +180,34 @@ def test_a_query_and_the_fits_rate_meet_by_meet(monkeypatch):
     with pytest.raises(AttributeError):  # the stubbed layer has no columns
         all_queries()["rating_features_meets"](None, "")
     assert periods == ["meet"] * 3
+
+
+@pytest.mark.parametrize(("rows_of_a_window", "block"), [(5, 2), (30, 16)])
+def test_windows_equal_the_loop(spark, monkeypatch, rows_of_a_window, block):
+    monkeypatch.setattr(rating, "_few_dates", lambda dates, rows: False)
+    monkeypatch.setattr(rating, "WINDOW_ROWS", rows_of_a_window)
+    monkeypatch.setattr(rating, "BLOCK", block)
+    monkeypatch.setattr(rating, "ROUND_ROWS", 3)
+    rows = contests(1, days=12, people=9)
+    held(rows, rate(spark, rows).collect())
+
+
+def test_rounds_follow_the_rows_not_the_chain(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(rating, "new_path", lambda spark, label: str(tmp_path / label))
+    rows = [(p, "open", date(2021, 1, 1) + timedelta(days=d), "M", "83", float(d % 7), 2) for d in range(60) for p in ("a", "b")]
+    held(rows, rate(spark, rows).collect())
+    assert len(list(tmp_path.glob("rated/*/part-*"))) == 1  # a chain of 60 contests in one round
+
+
+def test_windows_keep_null_entities_repeats_and_contests_of_one(spark, monkeypatch):
+    monkeypatch.setattr(rating, "_few_dates", lambda dates, rows: False)
+    first, second, third = date(2021, 1, 1), date(2021, 2, 1), date(2021, 3, 1)
+    entered = [(None, 100.0), ("b", 200.0), (None, 300.0)]
+    rows = [(p, "open", first, "M", "83", t, 2) for p, t in entered] + [(p, "open", second, "M", "83", 100.0, 2) for p in (None, "b")]
+    rows.append((None, "open", third, "M", "83", 100.0, 2))
+    for size in (1, 2, 1000):  # both contests larger than a window, one of them, none
+        monkeypatch.setattr(rating, "WINDOW_ROWS", size)
+        got = {(r.primary_key, r.date): r for r in rate(spark, rows).collect()}
+        assert got[None, second].elo_rating == pytest.approx(1516.0) and got["b", second].elo_rating == pytest.approx(1500.0)
+        assert got[None, third].elo_rating == pytest.approx(1516.0 + got[None, second].elo_change)
+        assert got[None, third].elo_change is None
