@@ -234,3 +234,20 @@ def test_a_rated_layer_is_joined_and_not_written(monkeypatch):
     monkeypatch.setattr(layers, "store", lambda *a: pytest.fail("the wide rows were written again"))
     session, built = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="joined-test")), object()
     assert [layers._layer(session, "d", "rated", lambda: built) for _ in range(2)] == [built] * 2
+
+
+def test_the_cut_guard_stores_only_what_it_reads_again(spark, monkeypatch):
+    from tracklane.queries import features as Q
+
+    names = dict.fromkeys([*(Q.BASE_NAMES.get(c, c) for c in Q.BASE_INPUT), "primary_key", "meet_name", "cumulative_comps", "prev_total"])
+    base = spark.createDataFrame([], ", ".join(f"`{c}` {'date' if c == 'date' else 'string'}" for c in names if c != "date") + ", date date")
+    stored, reported = {}, []
+    monkeypatch.setattr(Q, "store", lambda df, label: stored.setdefault(label, df))
+    wide = {c: F.lit(0.0) for c in ("prev_total", "total", "dots", "_first_dots", "never_read")}
+    monkeypatch.setattr(Q, "history_features", lambda rows: rows.withColumns(wide))
+    monkeypatch.setattr(Q, "segment_features", lambda rows: rows.withColumn("another", F.lit(0)))
+    monkeypatch.setattr(Q.P, "truncation_report", lambda *a: reported.append(a) or a[1])
+    Q.truncated(base)
+    assert "never_read" not in stored["cut-history"].columns and "_first_dots" in stored["cut-history"].columns
+    assert {"total", "dots", "prev_total", "date"} <= set(stored["cut-history"].columns)
+    assert sorted(stored["cut-features"].columns) == sorted({"primary_key", "date", "meet_name", *reported[0][5]})
